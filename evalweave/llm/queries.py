@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from evalweave.llm import fuzzyhash
+from evalweave.llm import fuzzyhash, syntax, truncation
 
 QUERIES = {
+    "p2_found": truncation.p2_found,
+    "p2_report": truncation.p2_report,
     "p4_found": fuzzyhash.p4_found,
+    "p6_found": syntax.p6_found,
+    "p6_rates": syntax.p6_rates,
 }
 SQL: dict = {}
