@@ -42,7 +42,7 @@ def parse_outcomes(df: DataFrame, keep: list[str], fields: tuple[str, ...] = FIE
     give repeated rows; texts of any length are parsed whole; columns not named in ``keep`` are ignored.
     """
     src = df.select(*keep, *fields)
-    out_schema = src.select(*keep).schema.add("field_name", "string").add("valid", "boolean").add("failure", "string").add("token", "int").add("line", "int")
+    out_schema = src.select(*keep).schema.add("field_name", "string").add("valid", "boolean").add("failure", "string").add("token", "integer").add("line", "integer")
 
     def run(batches):
         for batch in batches:
