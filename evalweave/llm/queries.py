@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from evalweave.llm import fuzzyhash, syntax, truncation
+from evalweave.llm import fuzzyhash, splits, syntax, tiling, truncation
 
 QUERIES = {
     "p2_found": truncation.p2_found,
     "p2_report": truncation.p2_report,
     "p4_found": fuzzyhash.p4_found,
+    "p5_found": splits.p5_found,
+    "p5_report": splits.p5_report,
     "p6_found": syntax.p6_found,
     "p6_rates": syntax.p6_rates,
+    "p9_found": tiling.p9_found,
+    "p9_report": tiling.p9_report,
 }
 SQL: dict = {}
