@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from evalweave.operators import delivery, drift
+
+QUERIES: dict = {**delivery.QUERIES, **drift.QUERIES}
+SQL: dict = {**delivery.SQL, **drift.SQL}
