@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from evalweave.llm import fuzzyhash, splits, syntax, tiling, truncation
+from evalweave.llm import fuzzyhash, pairs, splits, syntax, tiling, truncation
 
 QUERIES = {
     "p2_found": truncation.p2_found,
     "p2_report": truncation.p2_report,
+    "p3_found": pairs.p3_found,
+    "p3_labels": pairs.p3_labels,
     "p4_found": fuzzyhash.p4_found,
     "p5_found": splits.p5_found,
     "p5_report": splits.p5_report,

@@ -94,7 +94,7 @@ def is_cut_off(text: str | None, at_limit: bool) -> bool:
     if not code:
         return at_limit and not _SENTENCE.search(text.rstrip()) and text.rstrip()[-1] not in "`}]);0123456789"
     if at_limit:
-        return not ends_complete(text) and not _prose_end(text)
+        return text[-1] in " \t" or not (ends_complete(text) or _prose_end(text))
     out = parse(text)
     if out.valid:
         return False
