@@ -6,8 +6,9 @@ through the hashes of their pieces:
 
 1. Pieces are put into one order for all records, the common ones last (a bounded table, see ``common``). Two sets of
    similarity t or more share one of the first n - ceil(t n) + 1 pieces of each, so only these are hashed into the join.
-2. Evaluation hashes are joined with training hashes; sizes and places in the order bound the similarity inside the join.
-3. The pairs are verified by the exact similarity. Both filters are exact: no pair at or above t is lost.
+2. Evaluation hashes are joined with training hashes. Two bounds hold inside the join: the places of the shared piece
+   limit how many pieces can be shared, and so does a 512-bit map of each set (bits in common, and what collisions hide).
+3. The pairs are verified by the exact similarity. All filters are exact: no pair at or above t is lost.
 """
 
 from __future__ import annotations
@@ -24,6 +25,17 @@ from evalweave.operators.skew import salted_join
 from evalweave.session import materialize, table
 
 
+#: 64-bit words of the map of a record's pieces.
+MAP_WORDS = 8
+
+
+def _maps(h: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
+    """rows x MAP_WORDS words; a piece sets the bit that its hash names."""
+    bits = np.zeros((rows, 64 * MAP_WORDS), np.uint8)
+    bits[doc, (mix(h ^ np.uint64(0xB17)) % np.uint64(64 * MAP_WORDS)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def _prepared(df: DataFrame, width: int, threshold: float) -> DataFrame:
     """id, train, set (hash of the piece set), size, prefix (array of piece hashes), for texts that have a piece."""
     values, counts = common_shingles(df, "text", width, code=False)
@@ -48,9 +60,10 @@ def _prepared(df: DataFrame, width: int, threshold: float) -> DataFrame:
         sets = [(t[ends[1:]] - t[ends[:-1]]).view(np.int64) for t in total]
         some = pa.array(n > 0)
         out = {"id": batch.column("id"), "train": batch.column("train"), "set_a": pa.array(sets[0]), "set_b": pa.array(sets[1]), "size": pa.array(n.astype(np.int32)), "prefix": prefix}
+        out |= {f"map{k}": pa.array(np.ascontiguousarray(column)) for k, column in enumerate(_maps(h, doc, len(n)).T)}
         return {k: v.filter(some) for k, v in out.items()}
 
-    return materialize(map_texts(df, "text", "id long, train boolean, set_a long, set_b long, size int, prefix array<long>", make))
+    return materialize(map_texts(df, "text", "id long, train boolean, set_a long, set_b long, size int, prefix array<long>, " + ", ".join(f"map{k} long" for k in range(MAP_WORDS)), make))
 
 
 def similar_texts(pairs: DataFrame, left_text: str, right_text: str, width: int, keep: list[str], schema: str) -> DataFrame:
@@ -83,12 +96,17 @@ def cross_split_overlaps(df: DataFrame, id_col: str, text_col: str, is_train: Co
     several = classes.where("copies > 1").select(F.struct("set_a", "set_b").alias("set"), "class")
     members = salted_join(rows.select("id", "train", F.struct("set_a", "set_b").alias("set")), several, "set", "left")
     members = materialize(members.select("id", "train", F.coalesce("class", "id").alias("class")))
-    heads = rows.select("id", "size", "prefix").join(classes.select(F.col("class").alias("id"), "has_train", "has_eval"), "id")
-    pieces = heads.select("id", "size", "has_train", "has_eval", F.posexplode("prefix").alias("place", "piece"))
-    evals = pieces.where("has_eval = 1").select("piece", F.col("id").alias("eval_class"), F.col("size").alias("n"), F.col("place").alias("p"))
-    trains = pieces.where("has_train = 1").select("piece", F.col("id").alias("train_class"), F.col("size").alias("m"), F.col("place").alias("q"))
+    maps = [f"map{k}" for k in range(MAP_WORDS)]
+    heads = rows.select("id", "size", "prefix", *maps).join(classes.select(F.col("class").alias("id"), "has_train", "has_eval"), "id")
+    pieces = heads.select("id", "size", "has_train", "has_eval", *maps, F.posexplode("prefix").alias("place", "piece"))
+    evals = pieces.where("has_eval = 1").select("piece", F.col("id").alias("eval_class"), F.col("size").alias("n"), F.col("place").alias("p"), *(F.col(c).alias(f"e_{c}") for c in maps))
+    trains = pieces.where("has_train = 1").select("piece", F.col("id").alias("train_class"), F.col("size").alias("m"), F.col("place").alias("q"), *maps)
+    ones_e = sum((F.bit_count(f"e_{c}") for c in maps), F.lit(0))
+    ones_t = sum((F.bit_count(c) for c in maps), F.lit(0))
+    ones_both = sum((F.bit_count(F.col(f"e_{c}").bitwiseAND(F.col(c))) for c in maps), F.lit(0))
+    most_shared = ones_both + F.least(F.col("n") - ones_e, F.col("m") - ones_t)
     needed = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - F.lit(1e-9)
-    possible = (evals["piece"] == trains["piece"]) & (F.col("eval_class") != F.col("train_class")) & (F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) + F.least("p", "q") >= needed)
+    possible = (evals["piece"] == trains["piece"]) & (F.col("eval_class") != F.col("train_class")) & (F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) + F.least("p", "q") >= needed) & (most_shared >= needed)
     pairs = materialize(evals.join(trains, possible).select("eval_class", "train_class").distinct())
     wanted = pairs.select(F.col("eval_class").alias("id")).union(pairs.select("train_class")).distinct()
     text = materialize(src.select("id", "text").join(wanted, "id", "left_semi"))
