@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalweave.llm import fuzzyhash, pairs, splits, syntax, tiling, truncation
+from evalweave.llm import fuzzyhash, packing, pairs, reading, splits, syntax, tiling, truncation
 
 QUERIES = {
     "p2_found": truncation.p2_found,
@@ -14,7 +14,11 @@ QUERIES = {
     "p5_report": splits.p5_report,
     "p6_found": syntax.p6_found,
     "p6_rates": syntax.p6_rates,
+    "p8_packing": packing.p8_packing,
+    "p8_report": packing.p8_report,
     "p9_found": tiling.p9_found,
     "p9_report": tiling.p9_report,
+    "p10_found": reading.p10_found,
+    "p10_profile": reading.p10_profile,
 }
 SQL: dict = {}
