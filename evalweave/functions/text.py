@@ -77,9 +77,10 @@ def match_score(generated: Column, expected: Column) -> Column:
     """Length of the common prefix, case and outer space aside, as a share of what was expected."""
     got, want = F.lower(strip(F.coalesce(generated, F.lit("")))), F.lower(strip(F.coalesce(expected, F.lit(""))))
     shorter = F.least(F.length(got), F.length(want))
-    differ = F.filter(F.when(shorter > 0, F.sequence(F.lit(1), shorter)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(got, i, F.lit(1)) != F.substring(want, i, F.lit(1)))
-    common = F.coalesce(F.get(differ, F.lit(0)) - 1, shorter)
-    return F.when(F.length(want) == 0, 0.0).otherwise(common / F.length(want))
+    same = F.zip_with(F.split(got, ""), F.split(want, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(same, F.lit(False))
+    common = F.least(F.when(first > 0, first - 1).otherwise(shorter), shorter)
+    return F.when((F.length(want) == 0) | (F.length(got) == 0), 0.0).otherwise(common / F.length(want))
 
 
 def suffix_start(tokens: Column, suffix: Column) -> Column:
@@ -94,7 +95,7 @@ def char_suffix_start(tokens: Column, suffix: Column) -> Column:
     """The token that holds the first character of the last occurrence of ``suffix``, spaces left out; else 0."""
     bare = F.transform(tokens, lambda t: F.replace(t, F.lit(" "), F.lit("")))
     full, want = F.array_join(bare, ""), F.replace(strip(suffix), F.lit(" "), F.lit(""))
-    at = F.length(full) - F.length(want) - F.locate_reverse(full, want) if hasattr(F, "locate_reverse") else F.length(full) - F.instr(F.reverse(full), F.reverse(want)) - F.length(want) + 1
+    at = F.length(full) - F.instr(F.reverse(full), F.reverse(want)) - F.length(want) + 1
     ends = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.length(F.array_join(F.slice(bare, F.lit(1), i), "")))
     first = F.array_min(F.transform(ends, lambda e, i: F.when(e > at, i)))
     return F.when((F.size(tokens) == 0) | ~F.contains(full, want), 0).otherwise(F.coalesce(first, F.lit(0)))

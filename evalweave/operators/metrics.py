@@ -139,7 +139,7 @@ def bootstrap_poisson(pairs: DataFrame, by: Sequence[str], replicates: int = 10_
     import numpy as np
     import pandas as pd
 
-    schema = pairs.select(*by).schema.add("b", "int").add("w", "double").add("wx", "double").add("wy", "double")
+    schema = pairs.select(*by).schema.add("b", "integer").add("w", "double").add("wx", "double").add("wy", "double")
 
     def run(batches):
         for k, pdf in enumerate(batches):

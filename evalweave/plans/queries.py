@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from evalweave.operators import delivery, drift
+from evalweave.plans import evaluation
 
-QUERIES: dict = {**delivery.QUERIES, **drift.QUERIES}
-SQL: dict = {**delivery.SQL, **drift.SQL}
+QUERIES: dict = {**evaluation.QUERIES, **delivery.QUERIES, **drift.QUERIES}
+SQL: dict = {**evaluation.SQL, **delivery.SQL, **drift.SQL}
