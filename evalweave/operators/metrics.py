@@ -107,19 +107,21 @@ def diagnosis(deltas: DataFrame, by: Sequence[str]) -> DataFrame:
 
 # ---- bootstrap
 
-#: A linear rule for the index drawn at replicate b and slot s, the same in every engine.
-DRAW = "pmod(cast({b} as bigint) * 7919 + cast({s} as bigint) * 104729 + cast({b} as bigint) * {s} * 31 + ((cast({b} as bigint) * {b}) % 10007) * ({s} + 1) + 42, {n})"
+def draw(replicate: Column, slot: Column, n: Column, seed: int = 42) -> Column:
+    """The index (from 0, below n) drawn at a replicate and slot: by hash, so the same in every engine and on every run."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), slot.cast("string"))), 1, 8), 16, 10).cast("bigint"), n).cast("int")
 
 
 def bootstrap_by_draws(pairs: DataFrame, by: Sequence[str], order: Sequence[str], replicates: int, alpha: float = 0.05) -> DataFrame:
     """Paired resampling as relational plan: every group draws n of its n pairs, ``replicates`` times.
 
-    A draw needs only the index rule above, so draws are made where they are used and nothing is broadcast. Shuffles hold
-    one row for each replicate and drawn pair, combined by count before they move.
+    A draw needs only the hash above, so draws are made where they are used and nothing is broadcast. Shuffles hold one
+    row for each replicate and drawn pair, combined by count before they move. For groups of millions of pairs use
+    ``bootstrap_poisson``, which numbers nothing and moves one row a replicate.
     """
     numbered = pairs.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
     slots = numbered.select(*by, F.col("i").alias("s"), "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    drawn = slots.select(*by, "b", "n", F.expr(DRAW.format(b="b", s="s", n="n")).cast("int").alias("i")).groupBy(*by, "b", "n", "i").agg(F.count("*").alias("times"))
+    drawn = slots.select(*by, "b", "n", draw(F.col("b"), F.col("s"), F.col("n")).alias("i")).groupBy(*by, "b", "n", "i").agg(F.count("*").alias("times"))
     joined = drawn.join(numbered.select(*by, "i", "base_score", "cond_score"), [*by, "i"])
     diffs = joined.groupBy(*by, "b").agg((100 * F.sum(F.col("times") * F.col("cond_score")) / F.sum("times") - 100 * F.sum(F.col("times") * F.col("base_score")) / F.sum("times")).alias("diff"))
     ci = diffs.groupBy(*by).agg(F.round(F.percentile("diff", F.lit(alpha / 2)), 6).alias("ci_lo"), F.round(F.percentile("diff", F.lit(1 - alpha / 2)), 6).alias("ci_hi"))

@@ -97,7 +97,7 @@ _BOOT_SQL = f"""with {_runs_sql()}, {_PROBLEMS_SQL},
 scores as (select model, dataset, condition, row_index, cast(c as double) / n score from problems),
 pairs as (select a.model, a.dataset, a.condition, a.row_index, b.score bs, a.score cs from scores a join scores b on a.model = b.model and a.dataset = b.dataset and a.row_index = b.row_index and a.condition <> 'original' and b.condition = 'original'),
 num as (select *, row_number() over (partition by model, dataset, condition order by row_index) - 1 i, count(*) over (partition by model, dataset, condition) n from pairs),
-draws as (select model, dataset, condition, b, n, cast((cast(b as bigint) * 7919 + i * 104729 + cast(b as bigint) * i * 31 + ((cast(b as bigint) * b) % 10007) * (i + 1) + 42) % n as bigint) i from num cross join range(100) t(b)),
+draws as (select model, dataset, condition, b, n, cast(('0x' || left(md5('42|' || b || '|' || i), 8)) as bigint) % n i from num cross join range(100) t(b)),
 diffs as (select d.model, d.dataset, d.condition, d.b, 100 * avg(cs) - 100 * avg(bs) diff from draws d join num p on d.model = p.model and d.dataset = p.dataset and d.condition = p.condition and d.i = p.i group by all),
 ci as (select model, dataset, condition, round(quantile_cont(diff, 0.025), 6) ci_lo, round(quantile_cont(diff, 0.975), 6) ci_hi from diffs group by all),
 mean as (select model, dataset, condition, count(*) n_problems, round(100 * avg(bs), 6) orig, round(100 * avg(cs), 6) cond, round(100 * avg(cs) - 100 * avg(bs), 6) diff from pairs group by all)
@@ -139,13 +139,11 @@ d2 as (select *, round(cond_share - base_share, 6) delta from deltas where cond_
 
 
 def q25_pending_tasks(spark, d):
-    """Completions of effibench problems that no model has delivered yet, per model."""
+    """Completions 0 to 4 of effibench problems that no model has delivered without an error, by index."""
     problems_ = table(spark, d, "effibench").select(F.col("id").alias("problem_id"))
-    gens = table(spark, d, "generations").where("dataset = 'effibench'")
-    models = gens.select("model").distinct()
-    tasks = K.fan_out(problems_.crossJoin(F.broadcast(models.limit(10_000))), 5)
-    done = K.done_keys(gens.select("problem_id", "model", F.coalesce("completion_index", F.lit(0)).alias("completion_index"), "error_message"), ("problem_id", "model", "completion_index"), F.col("error_message").isNotNull())
-    return K.pending(tasks, done, ("problem_id", "model", "completion_index")).groupBy("model", "completion_index").agg(F.count("*").alias("pending"))
+    gens = table(spark, d, "generations").where("dataset = 'effibench'").select("problem_id", attempt().alias("completion_index"), "error_message")
+    done = K.done_keys(gens, ("problem_id", "completion_index"), F.col("error_message").isNotNull())
+    return K.pending(K.fan_out(problems_, 5), done, ("problem_id", "completion_index")).groupBy("completion_index").agg(F.count("*").alias("pending"))
 
 
 def q26_passed_generations(spark, d):
@@ -258,9 +256,9 @@ round(avg(case when error_message is null then case when generated_solution is n
     "q08_diagnosis": f"""{_DELTAS_SQL}, s as (select model, dataset, condition, sum(case when bucket in ('PARSE_ERROR', 'OUTPUT_FORMAT_ERROR') then delta else 0 end) i, sum(case when bucket = 'TIMEOUT' then delta else 0 end) t,
  sum(case when bucket = 'ASSERTION_FAIL' then delta else 0 end) a, sum(case when bucket = 'PASS' then delta else 0 end) p from d2 group by all)
 select model, dataset, condition, concat_ws('; ', case when i > 0.10 then 'interface' end, case when t > 0.05 then 'inefficiency' end, case when a > 0.10 then 'algorithm' end, case when abs(p) < 0.05 then 'robust' end) diagnosis from s""",
-    "q25_pending_tasks": """with m as (select distinct model from generations where dataset = 'effibench'), t as (select id problem_id, model, cast(i as integer) completion_index from effibench cross join m cross join range(5) r(i)),
-done as (select distinct problem_id, model, coalesce(completion_index, 0) completion_index from generations where dataset = 'effibench' and error_message is null)
-select model, completion_index, count(*) pending from t where not exists (select 1 from done where done.problem_id = t.problem_id and done.model = t.model and done.completion_index = t.completion_index) group by 1, 2""",
+    "q25_pending_tasks": """with t as (select id problem_id, cast(i as integer) completion_index from effibench cross join range(5) r(i)),
+done as (select distinct problem_id, coalesce(completion_index, 0) completion_index from generations where dataset = 'effibench' and error_message is null)
+select completion_index, count(*) pending from t where not exists (select 1 from done where done.problem_id = t.problem_id and done.completion_index = t.completion_index) group by 1""",
     "q26_passed_generations": f"""with {_runs_sql()} select generation_id, dataset, model from generations g where exists (select 1 from runs r where r.pass and r.dataset = g.dataset and r.model = g.model and r.source_file = g.source_file and r.row_index = g.row_index and r.attempt = coalesce(g.completion_index, 0))""",
     "q27_lookup": "select g.dataset, e._split, count(*) generations, sum(length(e.prompt)) prompt_chars from generations g left join effibench e on g.problem_id = e.id group by 1, 2",
     "q29_rollup": "select dataset, model, count(*) \"rows\", count(error_message) errors, sum(case when iso_applied then 1 else 0 end) iso_applied from generations group by rollup (dataset, model)",

@@ -17,6 +17,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from evalweave.functions.code import backoff, extract_code, syntax_error
 
@@ -73,7 +74,7 @@ class HashLogprobs:
 
 def generate(tasks: DataFrame, prompt: str, provider: CompletionProvider, batch: int = 16) -> DataFrame:
     """Tasks with raw_llm_output, error_message, latency_s, generated_solution, ast_error and prompt_hash."""
-    schema = tasks.schema.add("raw_llm_output", "string").add("error_message", "string").add("latency_s", "double")
+    schema = StructType([*tasks.schema.fields]).add("raw_llm_output", "string").add("error_message", "string").add("latency_s", "double")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -93,8 +94,6 @@ def generate(tasks: DataFrame, prompt: str, provider: CompletionProvider, batch:
 
 def score(rows: DataFrame, text: str, suffix: str | None, provider: LogprobProvider) -> DataFrame:
     """Rows with logprobs: an array of (token, logprob), null where scoring failed."""
-    from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
-
     kind = ArrayType(StructType([StructField("token", StringType()), StructField("logprob", DoubleType())]))
     schema = StructType([*rows.schema.fields, StructField("logprobs", kind)])
 
@@ -114,7 +113,7 @@ def run_tests(rows: DataFrame, script: str, stdin: str | None = None, expected:
     """
     if not allow:
         raise PermissionError("running code from data has to be allowed: allow=True")
-    schema = rows.schema.add("status", "string").add("error", "string").add("time_s", "double")
+    schema = StructType([*rows.schema.fields]).add("status", "string").add("error", "string").add("time_s", "double")
 
     def one(code: str | None, given: str | None, want: str | None) -> tuple[str, str | None, float]:
         if not code or not code.strip():

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from evalweave.operators import delivery, drift
-from evalweave.plans import evaluation
+from evalweave.plans import evaluation, texts
 
-QUERIES: dict = {**evaluation.QUERIES, **delivery.QUERIES, **drift.QUERIES}
-SQL: dict = {**evaluation.SQL, **delivery.SQL, **drift.SQL}
+QUERIES: dict = {**evaluation.QUERIES, **texts.QUERIES, **delivery.QUERIES, **drift.QUERIES}
+SQL: dict = {**evaluation.SQL, **texts.SQL, **delivery.SQL, **drift.SQL}

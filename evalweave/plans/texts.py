@@ -1,0 +1,319 @@
+"""Queries over texts, datasets, records and events: rewriting, chunks, fuzzing, profiles, probing, divergence."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from evalweave.functions import code as C
+from evalweave.functions import dimensions as D
+from evalweave.functions import integers as I
+from evalweave.functions import text as T
+from evalweave.operators import divergence as V
+from evalweave.operators import probe as P
+from evalweave.operators import profile as R
+from evalweave.operators import rewriting as W
+from evalweave.session import table
+from evalweave.sources import corpora
+
+AFFINE = {"a": 2, "b": 3}
+
+
+def _transformed(name: str, params: dict, back: bool = False):
+    def query(spark, d) -> DataFrame:
+        t = I.transform(name, params=params)
+        rows = table(spark, d, "bigobench").select("solution_no", "inputs_example")
+        return I.apply_transform(rows, "inputs_example", "rewritten", t, back).select("solution_no", "rewritten")
+
+    return query
+
+
+def q10_roundtrip(spark, d):
+    """Rewriting of all effibench tests by the affine transform, with proof: counters per file and in total."""
+    t = I.transform("affine_int", 42)
+    rows = W.rewrite_dataset(table(spark, d, "effibench"), W.ADAPTERS["effibench"], t, 42, most_chars=100_000)
+    return W.rewrite_counters(rows, "_src_file")
+
+
+def q10_rewritten_tests(spark, d):
+    """The encoded tests of all bigobench rows, one row a test."""
+    t = I.transform("affine_int", params=AFFINE)
+    rows = W.rewrite_dataset(table(spark, d, "bigobench"), W.ADAPTERS["bigobench"], t, 0)
+    return rows.select("solution_no", F.posexplode("tests_transformed").alias("place", "t")).select("solution_no", "place", "t.kind", "t.input", "t.output")
+
+
+def q11_enc_only_prompts(spark, d):
+    """Prompts with contract and worked examples, by mode, as lengths."""
+    t = I.transform("affine_int", 42)
+    out = None
+    for mode in ("iso", "iso_enc_only", "iso_dec_only"):
+        rows = W.rewrite_dataset(table(spark, d, "bigobench"), W.ADAPTERS["bigobench"], t, 42, mode)
+        part = rows.groupBy("iso_variant").agg(F.count("*").alias("rows"), F.count_if(F.contains("prompt_with_contract", F.lit("### Decoded-Input Examples"))).alias("with_examples"), F.count_if(F.col("prompt_with_contract").contains("### ")).alias("with_contract"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q14_char_chunks(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.char_chunks(F.col("text"))).alias("chunk", "text"))
+
+
+def q15_word_chunks(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.word_chunks(F.col("text"))).alias("chunk", "text"))
+
+
+def q16_html_text(spark, d):
+    return table(spark, d, "effibench").select("_idx", T.strip_html(F.col("prompt")).alias("text"))
+
+
+def q17_hash_sample(spark, d):
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    return P.hash_sample(rows, "text", 50, 7).select("doc_id")
+
+
+def q18_jsd_centroid(spark, d):
+    rows = table(spark, d, "events").select((F.col("user_id") % 10).alias("problem_id"), "user_id", "event_type")
+    shares = V.histograms(rows, ("problem_id",), "user_id", "event_type")
+    return V.mean_divergence(shares, V.centroids(shares, ("problem_id",), "user_id"), ("problem_id",), "user_id").drop("vocabulary")
+
+
+def q19_cross_condition(spark, d):
+    rows = table(spark, d, "events").select((F.col("user_id") % 10).alias("problem_id"), "user_id", "event_type", (F.hour("ts") < 12).alias("early"))
+    sides = []
+    for early in (True, False):
+        shares = V.histograms(rows.where(F.col("early") == early), ("problem_id",), "user_id", "event_type")
+        sides.append(V.centroids(shares, ("problem_id",), "user_id"))
+    return V.cross_divergence(sides[0], sides[1], ("problem_id",))
+
+
+def q20_auc(spark, d):
+    rows = table(spark, d, "customer").where("c_mktsegment in ('FURNITURE', 'BUILDING')")
+    return P.auc(rows.withColumn("seen", F.col("c_mktsegment") == "FURNITURE"), ("c_nationkey",), "c_acctbal", "seen")
+
+
+def q21_separation(spark, d):
+    rows = table(spark, d, "customer").where("c_mktsegment in ('FURNITURE', 'BUILDING')")
+    return P.separation(rows.withColumn("seen", F.col("c_mktsegment") == "FURNITURE"), ("c_nationkey",), "c_acctbal", "seen")
+
+
+def _probe(spark, d):
+    docs = table(spark, d, "documents").where("length(text) > 0").select("source", "doc_id", "text")
+    ctx = P.contexts(docs, ("source",), "doc_id", "text", 3, 1, 42)
+    return docs, ctx
+
+
+def q23_contexts(spark, d):
+    _, ctx = _probe(spark, d)
+    return ctx.select("source", "doc_id", "seed", "place", F.md5("context").alias("context_md5"))
+
+
+def q23_contamination(spark, d):
+    docs, ctx = _probe(spark, d)
+    scores = P.unigram_scores(docs, ("source",), "doc_id", "text", ctx)
+    return P.contamination(P.shifts(scores, ("source",), "doc_id"), ("source",))
+
+
+def q24_cumulative_diff(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("p"))
+    return P.cumulative_difference(rows.select("l_orderkey", "l_linenumber", F.col("q").alias("v")), rows.select("l_orderkey", "l_linenumber", (F.col("p") / 1000).alias("v")), ("l_orderkey",), "l_linenumber", "v")
+
+
+def q28_schema_profile(spark, d):
+    return R.profile(table(spark, d, "raw_records"), ("record_kind",), "raw")
+
+
+def q28_samples(spark, d):
+    return R.samples(table(spark, d, "raw_records"), ("record_kind",), "raw", ("raw_id",))
+
+
+def q28_candidates(spark, d):
+    rows = table(spark, d, "raw_records").select(F.concat_ws("/", "run_id", "file_name").alias("file"), "line_no", "raw")
+    return R.candidates(rows, ("file",), "raw", "line_no")
+
+
+def q28_lines(spark, d):
+    from evalweave.sources.jsonl import line_account
+
+    return line_account(table(spark, d, "raw_records").select("run_id", F.coalesce("raw", F.lit("")).alias("raw")), "raw", "run_id")
+
+
+def q30_synonym_fuzz(spark, d):
+    words = spark.createDataFrame(sorted(T.THESAURUS.items()), "word string, synonyms array<string>")
+    rows = table(spark, d, "effibench").select("_idx", "prompt")
+    return T.fuzz_synonyms(rows, "prompt", "_idx", 0.4, 42, words).select("_idx", "fuzzed", "n_replaced")
+
+
+def q31_detokenise(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.detokenise(F.col("text")).alias("text"))
+
+
+def q32_dead_code(spark, d):
+    return table(spark, d, "effibench").select("_idx", F.md5(T.insert_dead_code(F.col("prompt"), F.col("_idx"), 3, 42)).alias("text_md5"))
+
+
+def q33_prompt_fallback(spark, d):
+    rows = table(spark, d, "effibench").select("_idx", C.prompt_with_fallback(F.col("starter_code_python3"), F.col("prompt"), F.col("title")).alias("p"))
+    return rows.groupBy("p.source").agg(F.count("*").alias("rows"), F.sum(F.length("p.prompt")).alias("chars"))
+
+
+def q35_date_cutoff(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("contest_date"), F.lit("probe-1").alias("model"))
+    day = F.try_to_date(F.substring_index("contest_date", "T", 1))
+    return rows.where(day > F.lit("1997-01-01").cast("date")).groupBy(F.year(day).alias("year")).agg(F.count("*").alias("rows"))
+
+
+def q37_natural_language(spark, d):
+    return table(spark, d, "documents").groupBy("doc_kind").agg(F.count("*").alias("rows"), F.count_if(T.is_natural_language(F.col("text"))).alias("natural"))
+
+
+def q42_prompts(spark, d):
+    rows = table(spark, d, "effibench").select("_idx", F.md5(C.assemble_prompt(F.col("prompt"), F.lit(False), F.col("starter_code_python3"))).alias("prompt_md5"))
+    return rows
+
+
+def q42_mbpp_prompts(spark, d):
+    return table(spark, d, "mbpp").select("task_id", C.assemble_prompt(F.col("prompt"), F.lit(True), None, F.col("test_list")).alias("prompt_used"))
+
+
+def q43_problem_ids(spark, d):
+    rows = table(spark, d, "generations").select("generation_id", C.stable_id(F.when(F.col("dataset") == "mbpp", F.lit(None)).otherwise(F.col("problem_id")), F.col("source_file"), F.col("row_index")).alias("pid"))
+    return rows
+
+
+def q44_asserts(spark, d):
+    t = I.transform("affine_int", params=AFFINE)
+    rows = table(spark, d, "mbpp").select("task_id", F.posexplode("test_list").alias("place", "test"))
+    a = C.split_assert(F.col("test"))
+    return rows.select("task_id", "place", a["function"].alias("function"), a["args"].alias("args"), a["expected"].alias("expected"), W.rewrite_assert(F.col("test"), t).alias("rewritten"))
+
+
+def q46_submissions(spark, d):
+    rows = table(spark, d, "effibench").select("_idx", F.md5(C.compose_submission(F.lit("    return 0\n"), F.col("starter_code_python3"), F.coalesce("test_runner_python3", F.lit("")))).alias("script_md5"))
+    return rows
+
+
+def q46_scripts(spark, d):
+    return table(spark, d, "mbpp").select("task_id", C.compose_script(F.lit("def f():\n    pass"), F.col("test_imports"), F.col("test_list")).alias("script"))
+
+
+def q47_corpus_chunks(spark, d):
+    rows = corpora.chunks(table(spark, d, "bigobench"), "bigobench")
+    return rows.groupBy("dataset").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
+
+
+def q50_mean_logprob(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    return rows.select("vec_id", F.round(P.mean_logprob(F.col("e"), 10), 6).alias("mean"))
+
+
+def q51_alignment(spark, d):
+    rows = table(spark, d, "mbpp").select("task_id", F.regexp_extract_all("prompt", F.lit(r"\s*\S+"), F.lit(0)).alias("tokens"), F.regexp_extract("prompt", r"(\S+\s+\S+\s+\S+)\s*$", 1).alias("tail"))
+    return rows.select("task_id", T.suffix_start(F.col("tokens"), F.col("tail")).alias("by_text"), T.char_suffix_start(F.col("tokens"), F.col("tail")).alias("by_chars"), F.size("tokens").alias("n_tokens"))
+
+
+def q52_catalogue(spark, d):
+    return D.listing(corpora.catalogue(spark))
+
+
+def q53_families(spark, d):
+    rows = table(spark, d, "generations").select("model").distinct().unionByName(D.probe_models(spark).select("model"))
+    return rows.select("model", D.corpus_family(F.col("model")).alias("family"), D.cutoff(F.col("model")).cast("string").alias("cutoff"))
+
+
+def q54_intervals_csv(spark, d):
+    from evalweave.plans.evaluation import q01_pass_at_k
+    from evalweave.sources.sinks import with_fixed
+
+    rows = q01_pass_at_k(spark, d).select("model", "dataset", "condition", (100 * F.col("pass_at_1")).alias("pass_at_1"), (100 * F.col("pass_at_5")).alias("pass_at_5"))
+    return with_fixed(rows, {"pass_at_1": 1, "pass_at_5": 1})
+
+
+def _pieces(sql: str, key: str, rewrite: str) -> str:
+    """DuckDB: texts with each integer rewritten; m[k] is the integer. A minus after a digit or point is set aside first."""
+    return f"""with src as ({sql}), n as (select {key}, regexp_replace(t, '([.0-9])-', '\\1' || chr(1), 'g') u from src),
+p as (select {key}, u, regexp_extract_all(u, '-?[.0-9]+') m, regexp_split_to_array(u, '-?[.0-9]+') parts from n)
+select {key}, case when u is not null then replace(array_to_string(list_transform(range(1, len(parts) + 1), lambda k: parts[k] || case when k <= len(m) then case when contains(m[k], '.') or not regexp_matches(m[k], '[0-9]') then m[k] else {rewrite} end else '' end), ''), chr(1), '-') end rewritten from p"""
+
+
+_SRC = "select solution_no, inputs_example t from bigobench"
+_INT = "cast(m[k] as hugeint)"
+_HEXIN = "case when " + _INT + " < 0 then '-' else '' end || cast(list_reduce(list_transform(string_split(cast(abs(" + _INT + ") as varchar), ''), lambda z: cast(z as hugeint)), lambda x, y: x * 16 + y) as varchar)"
+_STRIP = "regexp_replace({0}, '^[ \\t\\n\\r\\f\\x0b]+|[ \\t\\n\\r\\f\\x0b]+$', '', 'g')"
+_NORM = "regexp_replace(" + _STRIP + ", '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')"
+_NL = "length(text) >= 100 and (" + " or ".join("contains(text, {})".format({". ": "'. '", "? ": "'? '", "! ": "'! '", "\n\n": "chr(10) || chr(10)"}[m]) for m in T.SENTENCE_MARKS) + " or " + " + ".join(f"cast(contains(lower(text), '{w}') as integer)" for w in T.PROMPT_WORDS) + " >= 2)"
+_AUC_SRC = "select *, c_mktsegment = 'FURNITURE' seen from customer where c_mktsegment in ('FURNITURE', 'BUILDING')"
+_RING = """docs as (select source, doc_id, text from documents where length(text) > 0), t as (select distinct source, text from docs where regexp_matches(text, '[^ \\t\\n\\r\\f\\x0b]')),
+ring as (select *, row_number() over (partition by source order by md5('42|0|' || text), text) - 1 i, count(*) over (partition by source) n from t),
+ctx as (select d.source, d.doc_id, 0 seed, j place, b.text context from docs d join ring a on d.source is not distinct from a.source and d.text = a.text cross join range(3) p(j) join ring b on b.source is not distinct from a.source and b.i = (a.i + j + 1) % a.n and j + 1 < a.n where d.source is not null)"""
+_WORDS = "regexp_extract_all(lower({0}), '[a-z0-9_]+')"
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+QUERIES = {
+    "q09_affine": _transformed("affine_int", AFFINE), "q09_affine_inverse": _transformed("affine_int", AFFINE, True),
+    "q10_roundtrip": q10_roundtrip, "q10_rewritten_tests": q10_rewritten_tests, "q11_contract_modes": q11_enc_only_prompts,
+    "q11_cubic": _transformed("cubic_int", {"c": 31}), "q11_cubic_inverse": _transformed("cubic_int", {"c": 31}, True),
+    "q12_base_digits": _transformed("basek_int", {"base": 16}), "q12_base_digits_inverse": _transformed("basek_int", {"base": 16}, True),
+    "q13_delimiter": _transformed("delimiter_rewrite", {"style": 1}), "q13_delimiter_lines": _transformed("delimiter_rewrite", {"style": 2}),
+    "q14_char_chunks": q14_char_chunks, "q15_word_chunks": q15_word_chunks, "q16_html_text": q16_html_text, "q17_hash_sample": q17_hash_sample,
+    "q18_jsd_centroid": q18_jsd_centroid, "q19_cross_condition": q19_cross_condition, "q20_auc": q20_auc, "q21_separation": q21_separation,
+    "q23_contexts": q23_contexts, "q23_contamination": q23_contamination, "q24_cumulative_diff": q24_cumulative_diff,
+    "q28_schema_profile": q28_schema_profile, "q28_samples": q28_samples, "q28_candidates": q28_candidates, "q28_lines": q28_lines,
+    "q30_synonym_fuzz": q30_synonym_fuzz, "q31_detokenise": q31_detokenise, "q32_dead_code": q32_dead_code, "q33_prompt_fallback": q33_prompt_fallback,
+    "q35_date_cutoff": q35_date_cutoff, "q37_natural_language": q37_natural_language, "q42_prompts": q42_prompts, "q42_mbpp_prompts": q42_mbpp_prompts,
+    "q43_problem_ids": q43_problem_ids, "q44_asserts": q44_asserts, "q46_submissions": q46_submissions, "q46_scripts": q46_scripts,
+    "q47_corpus_chunks": q47_corpus_chunks, "q50_mean_logprob": q50_mean_logprob, "q51_alignment": q51_alignment, "q52_catalogue": q52_catalogue,
+    "q53_families": q53_families, "q54_fixed_format": q54_intervals_csv,
+}
+
+SQL = {
+    "q09_affine": _pieces(_SRC, "solution_no", f"cast(2 * {_INT} + 3 as varchar)"),
+    "q09_affine_inverse": _pieces(_SRC, "solution_no", f"case when ({_INT} - 3) % 2 = 0 then cast(({_INT} - 3) // 2 as varchar) else m[k] end"),
+    "q11_cubic": _pieces(_SRC, "solution_no", f"cast({_INT} * {_INT} * {_INT} + 31 as varchar)"),
+    "q11_cubic_inverse": _pieces(_SRC, "solution_no", f"case when cast(round(cbrt(cast(abs({_INT} - 31) as double))) as hugeint) * cast(round(cbrt(cast(abs({_INT} - 31) as double))) as hugeint) * cast(round(cbrt(cast(abs({_INT} - 31) as double))) as hugeint) = abs({_INT} - 31) then cast(sign({_INT} - 31) * cast(round(cbrt(cast(abs({_INT} - 31) as double))) as hugeint) as varchar) else m[k] end"),
+    "q12_base_digits": _pieces(_SRC, "solution_no", _HEXIN),
+    "q12_base_digits_inverse": _pieces(_SRC, "solution_no", f"case when regexp_matches(to_hex(cast(abs({_INT}) as bigint)), '^[0-9]+$') then case when {_INT} < 0 then '-' else '' end || to_hex(cast(abs({_INT}) as bigint)) else m[k] end"),
+    "q13_delimiter": "select solution_no, case when inputs_example is not null then array_to_string(list_transform(string_split(inputs_example, chr(10)), lambda x: case when contains(x, ' ') then '[' || replace(x, ' ', ', ') || ']' else x end), chr(10)) end rewritten from bigobench",
+    "q13_delimiter_lines": "select solution_no, replace(inputs_example, chr(10), ';') rewritten from bigobench",
+    "q14_char_chunks": f"""select doc_id, cast(i - 1 as integer) chunk, c[i] "text" from (select doc_id, c, unnest(range(1, len(c) + 1)) i from (select doc_id, list_filter(list_transform(range(0, greatest(length(text), 1), 600), lambda i: {_STRIP.format("substr(text, i + 1, 600)")}), lambda c: length(c) >= 300) c from documents where text is not null) x) y""",
+    "q15_word_chunks": """select doc_id, cast(i as integer) chunk, array_to_string(w[i * 100 + 1:i * 100 + 100], ' ') "text" from (select doc_id, w, unnest(range(0, len(w) // 100)) i from (select doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0b]+'), lambda w: w <> '') w from documents where text is not null) x) y""",
+    "q16_html_text": f"""select _idx, {_NORM.format("coalesce(regexp_replace(prompt, '<[^>]+>', ' ', 'g'), '')")} "text" from effibench""",
+    "q17_hash_sample": "select doc_id from (select doc_id, text, sha256('7|' || text) h from documents where text is not null order by h, text limit 50) x",
+    "q18_jsd_centroid": """with h as (select user_id % 10 problem_id, user_id sol, event_type op, count(*) n from events group by 1, 2, 3), p as (select problem_id, sol, op, n * 1.0e0 / sum(n) over (partition by problem_id, sol) p from h),
+k as (select problem_id, count(distinct sol) ns from p group by 1), q as (select p.problem_id, op, sum(p) / max(ns) q from p join k on p.problem_id = k.problem_id group by 1, 2),
+d as (select p.problem_id, p.sol, sum(0.5 * p * log2(p / ((p + q) / 2)) + 0.5 * q * log2(q / ((p + q) / 2))) + 0.5 * (1 - sum(q)) jsd from p join q on p.problem_id = q.problem_id and p.op = q.op group by 1, 2)
+select problem_id, count(*) n_solutions, round(avg(greatest(jsd, 0)), 6) jsd from d group by 1""",
+    "q19_cross_condition": """with e as (select user_id % 10 problem_id, user_id sol, event_type op, hour(ts) < 12 early from events), h as (select problem_id, early, sol, op, count(*) n from e group by all),
+p as (select *, n * 1.0e0 / sum(n) over (partition by problem_id, early, sol) p from h), k as (select problem_id, early, count(distinct sol) ns from p group by all),
+q as (select p.problem_id, p.early, op, sum(p) / max(ns) q from p join k on p.problem_id = k.problem_id and p.early = k.early group by all), s as (select *, q / sum(q) over (partition by problem_id, early) x from q),
+j as (select coalesce(a.problem_id, b.problem_id) problem_id, coalesce(a.x, 0) p, coalesce(b.x, 0) r from (select * from s where early) a full join (select * from s where not early) b on a.problem_id = b.problem_id and a.op = b.op)
+select problem_id, round(greatest(sum(case when p > 0 then 0.5 * p * log2(p / ((p + r) / 2)) else 0 end + case when r > 0 then 0.5 * r * log2(r / ((p + r) / 2)) else 0 end), 0), 6) cross_jsd, round(sqrt(sum((p - r) * (p - r))), 6) cross_l2 from j where problem_id in (select problem_id from s where early) and problem_id in (select problem_id from s where not early) group by 1""",
+    "q20_auc": f"""with s as ({_AUC_SRC}), n as (select c_nationkey, sum(case when seen then 1 else 0 end) n_seen, sum(case when seen then 0 else 1 end) n_unseen from s where c_acctbal is not null group by 1),
+w as (select a.c_nationkey, avg(case when a.c_acctbal > b.c_acctbal then 1.0e0 when a.c_acctbal = b.c_acctbal then 0.5e0 else 0 end) auc from s a join s b on a.c_nationkey = b.c_nationkey and a.seen and not b.seen group by 1)
+select n.c_nationkey, n_seen, n_unseen, round(auc, 8) auc from n left join w on n.c_nationkey = w.c_nationkey""",
+    "q21_separation": f"with s as ({_AUC_SRC}) select c_nationkey, round(avg(case when seen then 100 * c_acctbal end), 6) seen_mean, round(min(case when seen then 100 * c_acctbal end), 6) seen_min, round(avg(case when not seen then 100 * c_acctbal end), 6) unseen_mean, round(max(case when not seen then 100 * c_acctbal end), 6) unseen_max, round(min(case when seen then 100 * c_acctbal end) - max(case when not seen then 100 * c_acctbal end), 6) separation_gap from s group by 1",
+    "q23_contexts": f"with {_RING} select source, doc_id, cast(seed as integer) seed, cast(place as integer) place, md5(context) context_md5 from ctx",
+    "q23_contamination": f"""with {_RING}, w as (select source, doc_id, token, count(*) k from (select source, doc_id, unnest({_WORDS.format('text')}) token from docs) x group by all),
+c as (select token, sum(k) cn from w group by 1), z as (select sum(cn) total, count(*) vocab from c), pr as (select token, (cn + 1) / (total + vocab) p from c cross join z),
+x as (select source, doc_id, seed, token, count(*) xn from (select source, doc_id, seed, unnest({_WORDS.format('context')}) token from ctx) y group by all), tot as (select source, doc_id, seed, sum(xn) xt from x group by all),
+m as (select w.source, w.doc_id, tot.seed, sum(k * ln(p)) / sum(k) b, sum(k * ln(0.3 * coalesce(xn, 0) / xt + 0.7 * p)) / sum(k) i from w join pr on w.token = pr.token join tot on tot.source = w.source and tot.doc_id = w.doc_id left join x on x.source = w.source and x.doc_id = w.doc_id and x.seed = tot.seed and x.token = w.token group by all),
+dl as (select source, doc_id, avg(i - b) delta from m group by all) select source, round(avg(case when delta < 0 then 1.0 else 0.0 end), 6) score, count(*) n_samples, round(avg(delta), 6) mean_delta from dl group by 1""",
+    "q24_cumulative_diff": """with r as (select l_orderkey, l_linenumber, sum(l_extendedprice) / 1000 - sum(l_quantity) d from lineitem group by 1, 2) select l_orderkey, l_linenumber, round(d, 6) diff, round(sum(d) over (partition by l_orderkey order by l_linenumber rows unbounded preceding), 6) cumulative from r""",
+    "q28_schema_profile": """with k as (select record_kind, j.key "key", j.type t, j.value v from (select record_kind, raw from raw_records where raw is not null and json_valid(raw) and json_type(raw) = 'OBJECT') r, json_each(r.raw) j),
+y as (select record_kind, "key", case t when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then 'null' else 'number' end json_type, case when t = 'VARCHAR' then length(json_extract_string(v, '$')) end l from k)
+select record_kind, "key", json_type, count(*) n, min(l) min_length, max(l) max_length from y group by 1, 2, 3""",
+    "q28_lines": "select run_id, count(*) lines, sum(case when trim(coalesce(raw, ''), ' ') = '' then 1 else 0 end) blank, sum(case when trim(coalesce(raw, ''), ' ') <> '' and not json_valid(raw) then 1 else 0 end) malformed from raw_records group by 1",
+    "q33_prompt_fallback": f"""with p as (select nullif({_STRIP.format('starter_code_python3')}, '') a, nullif({_STRIP.format('prompt')}, '') b, nullif({_STRIP.format('title')}, '') c from effibench)
+select case when a is not null then 'first' when coalesce(b, c) is not null then 'fallback' else 'missing' end source, count(*) "rows", sum(length(coalesce(a, b, c, ''))) chars from p group by 1""",
+    "q35_date_cutoff": "select cast(year(o_orderdate) as integer) \"year\", count(*) \"rows\" from orders where cast(o_orderdate as date) > date '1997-01-01' group by 1",
+    "q37_natural_language": f"select doc_kind, count(*) \"rows\", sum(case when {_NL} then 1 else 0 end) \"natural\" from documents group by 1",
+    "q42_prompts": f"select _idx, md5({_q(C.WRAPPER_PLAIN)} || coalesce(prompt, '') || case when length({_STRIP.format('starter_code_python3')}) > 0 then {_q(chr(10) * 2 + 'Complete the following code. Return the ENTIRE class/function with your implementation:' + chr(10) * 2 + '```python' + chr(10))} || {_STRIP.format('starter_code_python3')} || {_q(chr(10) + '    # Your implementation here' + chr(10) + '```')} else '' end) prompt_md5 from effibench",
+    "q42_mbpp_prompts": f"""select task_id, {_q(C.WRAPPER_ISO)} || coalesce(prompt, '') || case when regexp_extract(test_list[1], 'assert\\s+(\\w+)\\s*\\(', 1) <> '' then {_q(chr(10) * 2 + 'Your function must be named `')} || regexp_extract(test_list[1], 'assert\\s+(\\w+)\\s*\\(', 1) || {_q('`.' + chr(10) * 2 + 'Example test:' + chr(10) + '```python' + chr(10))} || test_list[1] || {_q(chr(10) + '```')} else '' end prompt_used from mbpp""",
+    "q43_problem_ids": "select generation_id, case when dataset is distinct from 'mbpp' and length(problem_id) > 0 then problem_id else substr(sha256(concat_ws(':', source_file, cast(row_index as varchar))), 1, 16) end pid from generations",
+    "q46_scripts": "select task_id, concat_ws(chr(10), coalesce(array_to_string(test_imports, chr(10)), ''), 'def f():' || chr(10) || '    pass', array_to_string(test_list, chr(10))) script from mbpp",
+    "q47_corpus_chunks": f"select 'bigobench' dataset, count(*) chunks, sum(length(solution_code)) chars from bigobench where length({_STRIP.format('solution_code')}) > 0",
+    "q50_mean_logprob": "select vec_id, round(list_avg(list_transform(case when len(embedding) > 10 then embedding[11:] else embedding end, lambda x: cast(x as double))), 6) mean from embeddings",
+    "q31_detokenise": f"""select doc_id, {_STRIP.format("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+([.,;:!?)\\]}])', '\\1', 'g'), '([(\\[{])[ \\t\\n\\r\\f\\x0b]+', '\\1', 'g'), '` +', '`', 'g'), ' +`', '`', 'g'), '[ \\t\\n\\r\\f\\x0b]{2,}', ' ', 'g')")} "text" from documents""",
+}

@@ -20,7 +20,7 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False, by: Sequence[str
 
 def fixed(value: Column, digits: int = 2, sign: bool = False) -> Column:
     """A number with a fixed count of digits, empty for null."""
-    return F.coalesce(F.format_string(f"%{'+' if sign else ''}.{digits}f", value.cast("double")), F.lit(""))
+    return F.when(value.isNotNull(), F.format_string(f"%{'+' if sign else ''}.{digits}f", value.cast("double"))).otherwise("")
 
 
 def with_fixed(df: DataFrame, digits: dict[str, int]) -> DataFrame:

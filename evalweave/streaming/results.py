@@ -22,9 +22,9 @@ def first_deliveries(rows: DataFrame, time: str, key: Sequence[str], delay: str
     return marked.dropDuplicatesWithinWatermark(list(key)) if rows.isStreaming else rows.dropDuplicates(list(key))
 
 
-def windowed_rates(rows: DataFrame, time: str, by: Sequence[str], passed: str, width: str = "1 hour", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Results and pass rate per window and group; a window closes ``delay`` after its end."""
-    marked = rows.withWatermark(time, delay) if rows.isStreaming else rows
+def windowed_rates(rows: DataFrame, time: str, by: Sequence[str], passed: str, width: str = "1 hour", slide: str | None = None, delay: str | None = "1 hour") -> DataFrame:
+    """Results and pass rate per window and group; a window closes ``delay`` after its end (None: a watermark is set)."""
+    marked = rows.withWatermark(time, delay) if rows.isStreaming and delay else rows
     window = F.window(time, width, slide) if slide else F.window(time, width)
     ok = F.coalesce(F.col(passed), F.lit(False)).cast("double")
     out = marked.groupBy(window.alias("w"), *by).agg(F.count("*").alias("results"), F.round(F.avg(ok), 6).alias("pass_rate"))
