@@ -5,7 +5,8 @@
 2. A value at a limit is cut off unless it ends like a complete answer (``ends_complete``): the text equivalent is terminal
    punctuation, for a program it is the last statement of its outermost function, or the call that starts it.
 3. Values below any limit may have been cut in transfer. Such a text breaks off inside a token, a bracket or a statement:
-   the derivative parser runs to its last line without a failing token, or the mark of a cut stands at the end.
+   the derivative parser runs to its last line without a failing token, or the mark of a cut stands at the end, or a new
+   name stands alone at the end of a body.
    A failing token further up is a fault of a text that may well be complete, so it is no evidence.
 """
 
@@ -30,6 +31,8 @@ _FIRST_DEF = re.compile(r"^([ \t]*)(?:async\s+)?def\s+(\w+)\s*\(([^)]*)", re.MUL
 _CALL = re.compile(r"^([A-Za-z_]\w*)\(.*\)\s*;?$")
 _TERMINAL = re.compile(r"^(?:return\b|yield\b|raise\b|print\b)")
 _COMMENT = re.compile(r"\s+#[^'\"]*$")
+#: A name that is a statement of its own: what is left of a longer statement, if the name is new.
+_LONE_NAME = re.compile(r"^(?!(?:pass|break|continue|return)$)[A-Za-z_]\w*$")
 _SENTENCE = re.compile(r"[.!?:][\"')\]]*$")
 _QUOTED = re.compile(r"(['\"]).*?\1")
 _WORDS = re.compile(r"[A-Za-z_]\w*")
@@ -80,7 +83,8 @@ def _names_known(last: str, before: str) -> bool:
     """Whether a returning statement names something, and only what stands in the text before: a cut name rarely does."""
     names = _WORDS.findall(_QUOTED.sub("", last))
     rest = {w for w in names if w not in _BUILTIN}
-    return rest <= set(_WORDS.findall(before)) and (len(names) > 1 or last.strip() not in ("return", "yield", "raise", "print"))
+    value = bool(rest) or re.search(r"[0-9\"']|\b(?:None|True|False)\b|\(.*\)", last) is not None
+    return value and rest <= set(_WORDS.findall(before))
 
 
 def is_cut_off(text: str | None, at_limit: bool) -> bool:
@@ -97,7 +101,8 @@ def is_cut_off(text: str | None, at_limit: bool) -> bool:
         return text[-1] in " \t" or not (ends_complete(text) or _prose_end(text))
     out = parse(text)
     if out.valid:
-        return False
+        last, before, indent = _last_statement(text)
+        return indent > 0 and _LONE_NAME.match(last) is not None and last not in _WORDS.findall(before)
     bottom = text.rstrip().count("\n") + 1
     if not out.truncated and out.line < bottom:
         return False
