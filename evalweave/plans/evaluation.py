@@ -9,7 +9,7 @@ from evalweave.functions import code as C
 from evalweave.functions import text as T
 from evalweave.operators import metrics as M
 from evalweave.operators import tasks as K
-from evalweave.session import table
+from evalweave.session import materialize, spread, table
 
 GROUP = ("model", "dataset", "condition")
 
@@ -191,16 +191,16 @@ def q39_opcode_divergence(spark, d):
     """Mean divergence of the operations of a problem's solutions, per problem and condition (two solutions at least)."""
     from evalweave.operators import divergence as V
 
-    gens = table(spark, d, "generations").where("generated_solution is not null").select("generation_id", "problem_id", M.condition(F.col("source_file")).alias("condition"), "generated_solution")
+    gens = spread(table(spark, d, "generations").where("generated_solution is not null").select("generation_id", "problem_id", M.condition(F.col("source_file")).alias("condition"), "generated_solution"))
     marked = gens.withColumn("m", C.inject_marker("generated_solution"))
-    ops = marked.select("generation_id", "problem_id", "condition", C.opcodes("m.code_with_marker", "m.core_start_line").alias("ops"))
+    ops = materialize(marked.select("generation_id", "problem_id", "condition", C.opcodes("m.code_with_marker", "m.core_start_line").alias("ops")))  # read twice below
     shares = V.histograms_from_maps(ops, ("problem_id", "condition"), "generation_id", "ops")
     centers = V.centroids(shares, ("problem_id", "condition"), "generation_id", 2)
     return V.mean_divergence(shares, centers, ("problem_id", "condition"), "generation_id")
 
 
 def q40_ast_valid(spark, d):
-    rows = table(spark, d, "generations").select("dataset", C.syntax_error("code").alias("error"))
+    rows = spread(table(spark, d, "generations").select("dataset", "code")).select("dataset", C.syntax_error("code").alias("error"))
     return rows.groupBy("dataset", F.coalesce("error", F.lit("valid")).alias("outcome")).agg(F.count("*").alias("rows"))
 
 

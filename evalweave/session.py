@@ -54,3 +54,16 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for stages that are heavy for each row.
+
+    Only a plan without an exchange is touched, and only if it has fewer partitions: a small table in one file would
+    otherwise run in one task. A large table has its file splits and goes through unchanged, without a shuffle.
+    """
+    plan = df._jdf.queryExecution()
+    if df.isStreaming or "Exchange" in plan.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if plan.toRdd().getNumPartitions() >= cores else df.repartition(cores)
