@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm.arrow import map_texts
-from evalweave.session import materialize, table
+from evalweave.session import materialize, spread, table
 
 BLOCK_ITEMS = 20_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -46,7 +46,7 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, path: str = VOCABULARY
         encode = encoding(path).encode_ordinary
         return {"doc": batch.column("doc"), "n_tokens": [len(encode(t)) for t in texts]}
 
-    return map_texts(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")), "text", "doc long, n_tokens int", make)
+    return map_texts(spread(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))), "text", "doc long, n_tokens int", make)
 
 
 def fill(lengths: list[int], capacity: int) -> list[list[int]]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from evalweave.llm.arrow import map_texts
 from evalweave.llm.language import language
 from evalweave.llm.shingles import tokens, windows
-from evalweave.session import table
+from evalweave.session import spread, table
 
 #: Bound on the graded samples that are read for training; a classifier needs no more.
 MOST_SAMPLES = 20_000
@@ -223,7 +223,7 @@ def reading_levels(docs: DataFrame, doc_id: str, text: str, samples: DataFrame,
         found = shared.value.grade(texts) if shared.value else [(None, float("nan"))] * len(texts)
         return {"id": batch.column("id"), "reading_level": [g for g, _ in found], "difficulty": [s if s == s else None for _, s in found]}
 
-    src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    src = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")))
     return map_texts(src, "text", "id long, reading_level int, difficulty double", make).withColumnRenamed("id", doc_id)
 
 

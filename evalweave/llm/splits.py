@@ -22,7 +22,7 @@ from evalweave.llm.arrow import map_texts
 from evalweave.llm.common import common_shingles, find_in
 from evalweave.llm.shingles import mix, shingle_sets
 from evalweave.operators.skew import salted_join
-from evalweave.session import materialize, table
+from evalweave.session import materialize, spread, table
 
 
 #: 64-bit words of the map of a record's pieces.
@@ -89,7 +89,7 @@ def cross_split_overlaps(df: DataFrame, id_col: str, text_col: str, is_train: Co
     Null texts and texts of fewer than ``width`` words have no piece and are in neither result; a null split counts as
     evaluation; an empty table gives empty results; repeated records are one class; further columns are ignored.
     """
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(is_train, F.lit(False)).alias("train")).where("id is not null and text is not null")
+    src = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(is_train, F.lit(False)).alias("train")).where("id is not null and text is not null"))
     rows = _prepared(src, width, threshold)
     classes = rows.groupBy("set_a", "set_b").agg(F.min("id").alias("class"), F.max(F.col("train").cast("int")).alias("has_train"), F.max((~F.col("train")).cast("int")).alias("has_eval"), F.count("*").alias("copies"))
     classes = materialize(classes)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm.derivative import Outcome, parse
-from evalweave.session import table
+from evalweave.session import spread, table
 
 FIELDS = ("generated_solution", "generated_solution_clean")
 
@@ -41,7 +41,7 @@ def parse_outcomes(df: DataFrame, keep: list[str], fields: tuple[str, ...] = FIE
     with the number (from 0) and the line (from 1) of the failing token. Nulls and blank texts give no row; repeated rows
     give repeated rows; texts of any length are parsed whole; columns not named in ``keep`` are ignored.
     """
-    src = df.select(*keep, *fields)
+    src = spread(df.select(*keep, *fields))
     out_schema = src.select(*keep).schema.add("field_name", "string").add("valid", "boolean").add("failure", "string").add("token", "integer").add("line", "integer")
 
     def run(batches):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from evalweave.llm.arrow import map_texts
 from evalweave.llm.shingles import tokens, windows
-from evalweave.session import table
+from evalweave.session import spread, table
 
 #: Words of items that one pass over the documents carries (8 MB of fingerprints, and as much of places).
 BLOCK_WORDS = 1 << 20
@@ -124,7 +124,7 @@ def _pass(docs: DataFrame, doc_id: str, doc_text: str, block: list, least: int)
                     out[k].append(v)
         return out
 
-    src = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(doc_text).alias("text")).where("doc is not null and text is not null")
+    src = spread(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(doc_text).alias("text")).where("doc is not null and text is not null"))
     return map_texts(src, "text", "doc long, item long, tiles int, covered_words int, longest_tile int, coverage double", make)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm.derivative import parse
-from evalweave.session import table
+from evalweave.session import spread, table
 
 #: A spike holds at least so many values, and so many times the mean of the lengths of the window below it (and one).
 SPIKE_ROWS, SPIKE_RATIO, SPIKE_WINDOW = 5, 5.0, 50
@@ -148,7 +148,7 @@ def cut_off(df: DataFrame, source: list[str], text: str, keep: list[str]) -> Dat
     for s in source:
         same &= F.col(s).eqNullSafe(F.col(f"__{s}"))
     columns = list(dict.fromkeys([*keep, *source]))
-    rows = df.select(*columns, F.col(text).alias("__text")).join(wide, same, "left")
+    rows = spread(df.select(*columns, F.col(text).alias("__text"))).join(wide, same, "left")
     at = F.coalesce(F.length("__text") == F.col("__chars"), F.lit(False)) | F.coalesce(F.octet_length("__text") == F.col("__bytes"), F.lit(False))
     rows = rows.select(*columns, "__text", at.alias("at_limit"))
     schema = rows.select(*columns, "at_limit").schema.add("truncated", "boolean")
