@@ -35,6 +35,8 @@ FOLDS = 5
 MOST_UNKNOWN = 0.34
 #: Share of known words from which a document is English without a further look.
 KNOWN_ENGLISH = 0.6
+#: Share of words in sentences of another language from which a text of mostly unknown words is not English prose.
+MOST_FOREIGN = 0.25
 #: Bits of surprisal that halve a level's weight; softened, as words of a text are not independent.
 SOFT_BITS = 8.0
 _FENCED = re.compile(r"^```.*?(?:^```\s*$|\Z)", re.MULTILINE | re.DOTALL)
@@ -52,6 +54,16 @@ def sentences(text: str) -> list[str]:
     return [s for s in _SENTENCE.split(text) if s and not s.isspace()]
 
 
+def _is_english(plain: str, parts: list[str]) -> bool:
+    """Whether a text of mostly unknown words is English: as a whole, and without much prose in another language, since an
+    inserted English passage may be longer than the prose around it."""
+    if language(plain) != "en":
+        return False
+    size = [len(s.split()) for s in parts]
+    foreign = sum(n for n, s in zip(size, parts) if language(s) not in (None, "en"))
+    return foreign < MOST_FOREIGN * max(1, sum(size))
+
+
 class Levels:
     """The n-gram models of all levels, as sorted hashes with one column of probabilities a level."""
 
@@ -204,7 +216,7 @@ class Grader:
         out = []
         for k, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends)):
             score, known = difficulty(total[a:b], share[a:b], counts[a:b], self.names)
-            english = score == score and (known >= KNOWN_ENGLISH or language(plain[k]) == "en")
+            english = score == score and (known >= KNOWN_ENGLISH or _is_english(plain[k], split[k]))
             out.append((self.level(score) if english else None, score))
         return out
 
