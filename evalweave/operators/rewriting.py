@@ -14,6 +14,11 @@ from evalweave.functions.integers import Transform, append_contract, encode_only
 TESTS = "array<struct<kind:string,input:string,output:string>>"
 
 
+def _of_kind(kind: str) -> Column:
+    pairs = F.coalesce(F.col(f"tests.{kind}"), F.array().cast("array<struct<input:string,output:string>>"))
+    return F.transform(pairs, lambda t: F.struct(F.lit(kind).alias("kind"), t["input"].alias("input"), t["output"].alias("output")))
+
+
 @dataclass(frozen=True)
 class Adapter:
     """Where a dataset keeps its prompt, tests and id."""
@@ -27,7 +32,7 @@ class Adapter:
     def tests(self) -> Column:
         """All tests of a row, in order, as ``TESTS``; null test sets as none."""
         if self.name == "bigobench":
-            kinds = [F.transform(F.coalesce(F.col(f"tests.{k}"), F.array().cast("array<struct<input:string,output:string>>")), lambda t, k=k: F.struct(F.lit(k).alias("kind"), t["input"].alias("input"), t["output"].alias("output"))) for k in ("public_tests", "private_tests", "generated_tests")]
+            kinds = [_of_kind(k) for k in ("public_tests", "private_tests", "generated_tests")]
             return F.concat(*kinds).cast(TESTS)
         if self.name == "effibench":
             listed = F.from_json("generated_tests", "array<struct<input:string,output:string>>")
