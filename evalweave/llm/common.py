@@ -10,18 +10,17 @@ from pyspark.sql import functions as F
 from evalweave.llm.shingles import chunks, shingle_sets
 from evalweave.session import materialize
 
-#: A shingle is common when it is more than 1/COMMON of all shingles; also the bound on their number (1 MB of hashes).
+#: A shingle is common when the reports of it sum to more than 2/COMMON of all shingles, so fewer than COMMON/2 are (0.5 MB).
 COMMON = 1 << 17
 #: Shingles counted at a time in a task (16 MB).
 BLOCK = 1 << 21
 
 
 def common_shingles(df: DataFrame, text: str, width: int, code: bool, least_tokens: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the common shingles and their counts; fewer than 2 x ``COMMON``.
+    """Sorted hashes of the common shingles and their counts; fewer than ``COMMON`` / 2, by their definition.
 
-    A block reports its shingles above half the share. One above the whole share of all blocks has at least half its
-    count in blocks where it is above half the share, so the sum of the reports finds it. (Counts of shingles that are
-    rare in some block are lower bounds.)
+    A block reports its shingles above 1/(2 ``COMMON``) of it. What a shingle has in blocks that don't report it is below
+    that share of all, so a shingle of 2.5/``COMMON`` or more of all is found for certain. Counts are those reported.
     """
 
     def run(batches):

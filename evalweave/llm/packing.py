@@ -24,6 +24,8 @@ from evalweave.llm.arrow import map_texts
 from evalweave.session import materialize, spread, table
 
 BLOCK_ITEMS = 20_000
+#: Budgets of one call; each repeats the items once.
+MOST_BUDGETS = 100
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -120,9 +122,11 @@ def pack(counts: DataFrame, budgets: list[tuple[str, int]]) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    budgets = [(r["budget_name"], r["capacity_tokens"]) for r in table(spark, sf_dir, "pack_budgets").limit(1000).collect()]
+    rows = table(spark, sf_dir, "pack_budgets").where("capacity_tokens > 0").limit(MOST_BUDGETS + 1).collect()
+    if len(rows) > MOST_BUDGETS:
+        raise ValueError(f"more than {MOST_BUDGETS} budgets: pack them in several calls")
     counts = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return pack(counts, [b for b in budgets if b[1] and b[1] > 0]).withColumnRenamed("doc", "doc_id")
+    return pack(counts, [(r["budget_name"], r["capacity_tokens"]) for r in rows]).withColumnRenamed("doc", "doc_id")
 
 
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
