@@ -97,18 +97,29 @@ def mean_logprob(values: Column, ignored: int = 0) -> Column:
     return F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / F.size(kept))
 
 
-def auc(scores: DataFrame, by: Sequence[str], score: str, seen: str) -> DataFrame:
+def auc(scores: DataFrame, by: Sequence[str], score: str, seen: str, buckets: int = 256) -> DataFrame:
     """Probability that a seen score exceeds an unseen one, ties as half; null where a side is empty.
 
-    By counts of distinct scores and one running sum, so linear in the scores; no pairs are formed. Null scores and null
-    sides are left out.
+    By counts of distinct scores and running sums, so linear in the scores; no pairs are formed. The scores of a group are
+    cut into ``buckets`` stretches of equal width, ranked in each, and the stretches are summed up, so that no group has to
+    be ordered in one task. Null scores and null sides are left out; null groups are groups.
     """
     rows = scores.where(F.col(score).isNotNull() & F.col(seen).isNotNull())
-    levels = rows.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(F.col(seen)).alias("a"), F.count_if(~F.col(seen)).alias("b"))
-    below = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = levels.withColumn("lower", F.coalesce(F.sum("b").over(below), F.lit(0)))
-    sums = ranked.groupBy(*by).agg(F.sum(F.col("a") * (F.col("lower") + F.col("b") / 2)).alias("wins"), F.sum("a").alias("n_seen"), F.sum("b").alias("n_unseen"))
-    return sums.select(*by, "n_seen", "n_unseen", F.round(F.when((F.col("n_seen") > 0) & (F.col("n_unseen") > 0), F.col("wins") / (F.col("n_seen") * F.col("n_unseen"))), 8).alias("auc"))
+    keys = [F.col(c) for c in by] or [F.lit(0)]
+    names = [f"__g{i}" for i in range(len(keys))]
+    levels = rows.groupBy(*(k.alias(n) for k, n in zip(keys, names)), F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(seen)).alias("a"), F.count_if(~F.col(seen)).alias("b"))
+    ends = levels.groupBy(*(F.col(n).alias(f"e{n}") for n in names)).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    same = F.lit(True)
+    for n in names:
+        same &= F.col(n).eqNullSafe(F.col(f"e{n}"))
+    placed = levels.join(ends, same).select(*names, "s", "a", "b", F.coalesce(F.try_divide((F.col("s") - F.col("lo")) * buckets, F.col("hi") - F.col("lo")), F.lit(0.0)).cast("int").alias("bucket"))
+    inside = Window.partitionBy(*names, "bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("lower", F.coalesce(F.sum("b").over(inside), F.lit(0)))
+    stretches = ranked.groupBy(*names, "bucket").agg(F.sum(F.col("a") * (F.col("lower") + F.col("b") / 2)).alias("wins"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    below = Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = stretches.withColumn("lower", F.coalesce(F.sum("b").over(below), F.lit(0)))
+    sums = stretches.groupBy(*names).agg(F.sum(F.col("wins") + F.col("a") * F.col("lower")).alias("wins"), F.sum("a").alias("n_seen"), F.sum("b").alias("n_unseen"))
+    return sums.select(*(F.col(n).alias(c) for n, c in zip(names, by)), "n_seen", "n_unseen", F.round(F.when((F.col("n_seen") > 0) & (F.col("n_unseen") > 0), F.col("wins") / (F.col("n_seen") * F.col("n_unseen"))), 8).alias("auc"))
 
 
 def separation(scores: DataFrame, by: Sequence[str], score: str, seen: str) -> DataFrame:

@@ -14,8 +14,13 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
 
     Rows of ``left`` are counted by key with map-side combining. Keys above 1/``hot_share`` of all rows (by that
     definition fewer than ``hot_share`` keys, so broadcasting them is bounded) are spread over salts; only their rows of
-    ``right`` are repeated, once a salt. All other keys take salt 0. Null keys never match; in a left join they are kept.
+    ``right`` are repeated, once a salt. All other keys take salt 0. Null keys never match; in a left join their rows are
+    added after the join, so they don't meet in one task either.
     """
+    if how == "left":
+        matched = salted_join(left.where(F.col(on).isNotNull()), right, on, "__left", hot_share)
+        return matched.unionByName(left.where(F.col(on).isNull()), allowMissingColumns=True)
+    how = "left" if how == "__left" else how
     total = left.count()
     if total == 0:
         return left.join(right, on, how)

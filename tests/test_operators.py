@@ -71,6 +71,12 @@ def test_divergence_equals_numpy(spark):
 def test_auc_ties_and_empty_sides(spark):
     df = spark.createDataFrame([("a", 0.5, True), ("a", 0.9, True), ("a", 0.5, False), ("b", 1.0, True), ("a", None, True), ("a", 1.0, None)], "g string, s double, seen boolean")
     assert {r.g: r.auc for r in P.auc(df, ["g"], "s", "seen").collect()} == {"a": 0.75, "b": None}
+    rng = np.random.default_rng(3)
+    many = [(float(x), bool(y)) for x, y in zip(rng.integers(0, 400, 900) ** 2, rng.integers(0, 2, 900))]
+    seen_, unseen = [x for x, y in many if y], [x for x, y in many if not y]
+    want = np.mean([(a > b) + (a == b) / 2 for a in seen_ for b in unseen])
+    for buckets in (1, 7, 256):
+        assert abs(P.auc(spark.createDataFrame(many, "s double, seen boolean"), [], "s", "seen", buckets).first().auc - want) < 1e-7
     sep = {r.g: r.separation_gap for r in P.separation(df.where("seen is not null"), ["g"], "s", "seen").collect()}
     assert sep == {"a": 0.0, "b": None}
 
