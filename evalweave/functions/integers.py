@@ -93,6 +93,7 @@ class Transform:
         return 0
 
     def contract(self) -> str:
+        # Fixed value: the wording.
         return "### Encoding Contract (must follow exactly)\nInput and output use standard formatting (no encoding applied).\nProcess values as-is.\n"
 
 
@@ -125,6 +126,7 @@ class Affine(Transform):
 
     def contract(self) -> str:
         a, b = self.params["a"], self.params["b"]
+        # Fixed value: the wording.
         return f"""### Encoding Contract (must follow exactly)
 All integers in the input have been encoded using the formula: x' = {a}*x {_signed(b)}
 To decode an input integer: x = (x' {_signed(-b) if b else '- 0'}) / {a}
@@ -171,6 +173,7 @@ class Cubic(Transform):
 
     def contract(self) -> str:
         c = self.params["c"]
+        # Fixed value: the wording.
         return f"""### Encoding Contract (must follow exactly)
 All integers in the input have been encoded using the formula: x_enc = x_orig**3 {_signed(c)}
 To decode an encoded input integer `x_enc`, use:
@@ -206,6 +209,7 @@ class BaseDigits(Transform):
         return _python_rewrite(text, plain if back else (lambda x: int(str(x), 16)))
 
     def contract(self) -> str:
+        # Fixed value: the wording.
         return """### Encoding Contract (must follow exactly)
 All integers have been re-encoded: each digit string is reinterpreted as a base-16 numeral.
 To decode an encoded input integer `x_enc`, use:
@@ -270,6 +274,7 @@ class Delimiter(Transform):
         plain = "1 2 3" if old == " " else "1\n2\n3"
         note = f"Values are wrapped in {left!r} and {right!r}." if left else ""
         shown = plain.replace("\n", "\\n")
+        # Fixed value: the wording.
         return f"""### Encoding Contract (must follow exactly)
 Values are delimited by {_NAMES[new]} instead of {_NAMES[old]}.
 {note}

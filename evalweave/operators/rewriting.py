@@ -73,6 +73,7 @@ def decoded_examples(plain: Column, encoded: Column, n: int = 2, width: int = 12
         return F.when(F.length(s) > width, F.concat(F.substring(s, 1, width), F.lit(" ..."))).otherwise(s)
 
     shown = F.transform(F.slice(pairs, 1, n), lambda x, i: F.concat(F.lit("Example "), (i + 1).cast("string"), F.lit(":\n  Encoded:  "), cut(x["e"]["input"]), F.lit("\n  Decoded:  "), cut(x["p"]["input"])))
+    # Fixed value: the wording.
     head = "### Decoded-Input Examples\nBelow are example decoded inputs so you can verify your decoding.\nApply the same decoding to all test inputs; return ONLY encoded outputs.\n\n"
     return F.when(F.size(pairs) > 0, F.concat(F.lit(head), F.array_join(shown, "\n"))).otherwise("")
 
