@@ -148,6 +148,33 @@ def chained(change_list: DataFrame, found: DataFrame, targets: tuple[Rule, ...],
     return tuple(Rule(r.name, r.kind, tuple(group[r.name][1:]), r.default) for r in targets)
 
 
+_JSON = {"string": "string", "boolean": "boolean"}
+
+
+def migration(found: DataFrame, rules: tuple[Rule, ...], file: tuple[str, ...] = FILE) -> DataFrame:
+    """The steps that bring each file to the target schema: ``file``, step, field_name, target.
+
+    For each target field the first alias that the file has is renamed (step rename), and cast where its JSON type is
+    another one (step cast); a field that the file lacks is set to its default (step default, field_name null). Fields that
+    lead to no target are dropped (step drop, target null). ``rules`` are a literal table; files without fields have no steps.
+    """
+    spark = found.sparkSession
+    rows = [(r.name, _JSON.get(r.kind, "number"), alias, k) for r in rules for k, alias in enumerate((r.name, *r.aliases))]
+    table_ = spark.createDataFrame(rows, "target string, target_type string, field_name string, preference int")
+    held = found.select(*file, "field_name", "json_type").join(F.broadcast(table_), "field_name", "left")
+    order = Window.partitionBy(*file, "target").orderBy("preference")
+    held = held.withColumn("rank", F.when(F.col("target").isNotNull(), F.row_number().over(order)))
+    taken = held.where("rank = 1")
+    rename = taken.where("field_name <> target").select(*file, F.lit("rename").alias("step"), "field_name", "target")
+    cast = taken.where("json_type <> target_type").select(*file, F.lit("cast").alias("step"), "field_name", "target")
+    drop = held.where("rank is null or rank > 1").select(*file, F.lit("drop").alias("step"), "field_name", F.lit(None).cast("string").alias("target"))
+    names = F.array(*(F.lit(r.name) for r in rules))
+    empty = found.select(*file).distinct().join(taken.groupBy(*(F.col(c).alias(f"h_{c}") for c in file)).agg(F.collect_set("target").alias("have")), reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in file]), "left")
+    missing = empty.select(*file, F.explode(F.array_except(names, F.coalesce("have", F.array().cast("array<string>")))).alias("target"))
+    default = missing.select(*file, F.lit("default").alias("step"), F.lit(None).cast("string").alias("field_name"), "target")
+    return reduce(DataFrame.unionByName, [rename, cast, drop, default])
+
+
 def read_field(variant: Column, rule: Rule) -> Column:
     """The rename, cast and default steps of one target field, as one expression over the parsed line."""
 
@@ -204,6 +231,13 @@ def p7_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions(found).join(sizes, list(FILE)).select(*FILE, "version", "n_fields")
 
 
+def p7_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps that bring each file of results to the target schema."""
+    raw = _raw(spark, sf_dir)
+    found = materialize(fields(raw))
+    return migration(found, chained(changes(found, raw), found, TARGETS))
+
+
 def p7_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of result files as one consistent table."""
     raw = _raw(spark, sf_dir)
@@ -241,4 +275,4 @@ marked as (select *, case when lag(f) over (partition by run_id, record_kind ord
 select run_id, record_kind, file_no, cast(sum(fresh) over (partition by run_id, record_kind order by file_no) as integer) "version", n_fields from marked"""
 
 SQL = {"p7_found": _CHANGES_SQL, "p7_versions": _VERSIONS_SQL}
-QUERIES = {"p7_found": p7_found, "p7_versions": p7_versions, "p7_table": p7_table}
+QUERIES = {"p7_found": p7_found, "p7_versions": p7_versions, "p7_migration": p7_migration, "p7_table": p7_table}

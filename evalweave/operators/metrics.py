@@ -136,8 +136,11 @@ def bootstrap_poisson(pairs: DataFrame, by: Sequence[str], replicates: int = 10_
     """Paired resampling for groups of any size: Poisson(1) weights drawn by Arrow batch, summed by replicate.
 
     No group is gathered anywhere: every batch gives its sums per group and replicate as arrays, which are added up. The
-    weights stand for drawing with replacement; the interval agrees with it as groups grow.
+    weights stand for drawing with replacement; the interval agrees with it as groups grow. Weights hang on seed and batch, so
+    a run repeats itself on the same partitions.
     """
+    import hashlib
+
     import numpy as np
     import pandas as pd
 
@@ -147,7 +150,7 @@ def bootstrap_poisson(pairs: DataFrame, by: Sequence[str], replicates: int = 10_
         for k, pdf in enumerate(batches):
             for key, part in pdf.groupby(list(by), dropna=False):
                 x, y = part["base_score"].to_numpy(float), part["cond_score"].to_numpy(float)
-                rng = np.random.default_rng([seed, k, abs(hash(x.tobytes())) % (1 << 32)])
+                rng = np.random.default_rng([seed, k, int.from_bytes(hashlib.md5(x.tobytes() + y.tobytes()).digest()[:4])])
                 sums = np.zeros((3, replicates))
                 for a in range(0, len(x), 256):
                     w = rng.poisson(1.0, (len(x[a : a + 256]), replicates))

@@ -116,6 +116,19 @@ def test_one_consistent_table(spark):
     assert sum(not r.parsed for r in rows) == 5
 
 
+def test_migration_steps(spark):
+    df = raw(spark, FILES)
+    found = drift.fields(df)
+    rules = drift.chained(drift.changes(found, df), found, (drift.Rule("status", "string"), drift.Rule("passed", "boolean"), drift.Rule("harness.version", "string")))
+    got = {tuple(r)[2:] for r in drift.migration(found, rules).collect()}
+    assert {x for x in got if x[1] != "drop"} == {
+        (2, "rename", "outcome", "status"), (2, "cast", "passed", "passed"), (2, "rename", "harness.ver", "harness.version"),
+        (3, "rename", "outcome", "status"), (3, "cast", "outcome", "status"), (3, "rename", "harness.ver", "harness.version"), (3, "default", None, "passed"),
+        (5, "default", None, "status"), (5, "default", None, "passed"), (5, "default", None, "harness.version"),
+    }
+    assert {x[2] for x in got if x[1] == "drop"} == {"harness.workers", "n", "q", "x", "y", "other"}
+
+
 def test_versions_rise_with_each_change(spark):
     got = {r.file_no: r.version for r in drift.versions(drift.fields(raw(spark, FILES))).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 5: 4}
