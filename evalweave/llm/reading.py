@@ -16,7 +16,6 @@ sample holds: inserted passages. A document is English if most of its words are
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
