@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalweave.llm import fuzzyhash, packing, pairs, reading, splits, syntax, tiling, truncation
+from evalweave.llm import fuzzyhash, oracles, packing, pairs, reading, splits, syntax, tiling, truncation
 
 QUERIES = {
     "p2_found": truncation.p2_found,
@@ -21,4 +21,4 @@ QUERIES = {
     "p10_found": reading.p10_found,
     "p10_profile": reading.p10_profile,
 }
-SQL: dict = {}
+SQL: dict = dict(oracles.SQL)
