@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.operators.skew import salted_join
-
 BLANK = "[ \\t\\n\\r\\f\\u000b]"
 
 
@@ -167,13 +165,16 @@ def fuzz_synonyms(df: DataFrame, text: str, row_id: str, level: float, seed: int
     """``df`` with ``fuzzed`` and ``n_replaced``: each eligible token is replaced with probability ``level``.
 
     ``thesaurus`` has the columns word (lower case) and synonyms (array). The choice hangs on seed, row and place. Tokens
-    go back to their text at the end; those drawn meet the thesaurus in a join that is salted for frequent words.
+    go back to their text at the end; those drawn meet the thesaurus in one join.
     Null texts stay null with no replacement.
     """
     tokens = df.select(F.col(row_id).alias("__row"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))).alias("__place", "__token"))
     draw = uniform(F.lit(str(seed)), F.col("__row").cast("string"), F.col("__place").cast("string"))
     tokens = tokens.withColumn("__word", F.when(is_eligible(F.col("__token")) & (draw < level), F.lower("__token")))
-    joined = salted_join(tokens, thesaurus.select(F.col("word").alias("__word"), F.col("synonyms").alias("__synonyms")), "__word", "left")
+    # Tokens that are not drawn get keys that match nothing and are many, so they don't meet in one task as nulls would.
+    other = F.concat(F.lit("\0"), F.pmod(F.xxhash64("__row", "__place"), F.lit(4096)).cast("string"))
+    tokens = tokens.withColumn("__key", F.coalesce("__word", other))
+    joined = tokens.join(thesaurus.select(F.col("word").alias("__key"), F.col("synonyms").alias("__synonyms")), "__key", "left")
     pick = F.get(F.col("__synonyms"), F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__row").cast("string"), F.col("__place").cast("string"), F.lit("s"))), 1, 6), 16, 10).cast("int"), F.size("__synonyms")))
     shown = F.when(F.col("__token").rlike("^[A-Z]"), F.concat(F.upper(F.substring(pick, 1, 1)), F.substring(pick, F.lit(2), F.length(pick)))).otherwise(pick)
     joined = joined.withColumn("__new", F.when(F.size("__synonyms") > 0, shown))
