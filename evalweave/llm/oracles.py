@@ -32,7 +32,7 @@ select least(e, t) idx_lo, greatest(e, t) idx_hi from c join n x on x._idx = e j
     "p5_report": f"""with g as (select distinct _idx, train, {_grams(3)} g from (select _idx, coalesce(_split = 'train', false) train, {_words("prompt")} w from effibench where prompt is not null) x where len(w) >= 3),
 n as (select _idx, count(*) n from g group by 1), c as (select a._idx e, b._idx t, count(*) s from g a join g b on a.g = b.g and not a.train and b.train group by 1, 2),
 m as (select e, max(s / (x.n + y.n - s)) sim from c join n x on x._idx = e join n y on y._idx = t where s / (x.n + y.n - s) >= 0.5 group by 1)
-select _split, _src_file, count(*) "rows", count(sim) overlapping, sum(case when sim = 1 then 1 else 0 end) equal from effibench left join m on m.e = _idx where _split is distinct from 'train' group by 1, 2""",
+select _split, _src_file, count(*) "rows", count(sim) overlapping, cast(sum(case when sim = 1 then 1 else 0 end) as bigint) equal from effibench left join m on m.e = _idx where _split is distinct from 'train' group by 1, 2""",
     "p9_found": f"""with d as (select distinct doc_id, {_grams(13)} g from (select doc_id, {_words("text")} w from documents where text is not null) x where len(w) >= 13),
 i as (select distinct item_id, {_grams(13)} g from (select item_id, {_words("text")} w from heldout_items where text is not null) x where len(w) >= 13)
 select distinct doc_id, item_id from d join i using (g)""",
