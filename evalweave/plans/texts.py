@@ -14,7 +14,7 @@ from evalweave.operators import probe as P
 from evalweave.operators import profile as R
 from evalweave.operators import rewriting as W
 from evalweave.plans import evaluation
-from evalweave.session import table
+from evalweave.session import spread, table
 from evalweave.sources import corpora
 from evalweave.sources.sinks import with_fixed
 
@@ -33,7 +33,7 @@ def _transformed(name: str, params: dict, back: bool = False):
 def q10_roundtrip(spark, d):
     """Rewriting of all effibench tests by the affine transform, with proof: counters per file and in total."""
     t = I.transform("affine_int", 42)
-    rows = W.rewrite_dataset(table(spark, d, "effibench"), W.ADAPTERS["effibench"], t, 42, most_chars=100_000)
+    rows = W.rewrite_dataset(spread(table(spark, d, "effibench")), W.ADAPTERS["effibench"], t, 42, most_chars=100_000)
     return W.rewrite_counters(rows, "_src_file")
 
 
@@ -49,7 +49,7 @@ def q11_enc_only_prompts(spark, d):
     t = I.transform("affine_int", 42)
     out = None
     for mode in ("iso", "iso_enc_only", "iso_dec_only"):
-        rows = W.rewrite_dataset(table(spark, d, "bigobench"), W.ADAPTERS["bigobench"], t, 42, mode)
+        rows = W.rewrite_dataset(spread(table(spark, d, "bigobench")), W.ADAPTERS["bigobench"], t, 42, mode)
         part = rows.groupBy("iso_variant").agg(F.count("*").alias("rows"), F.count_if(F.contains("prompt_with_contract", F.lit("### Decoded-Input Examples"))).alias("with_examples"), F.count_if(F.col("prompt_with_contract").contains("### ")).alias("with_contract"))
         out = part if out is None else out.unionByName(part)
     return out
