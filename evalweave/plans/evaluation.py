@@ -90,7 +90,7 @@ def q06_bootstrap_ci(spark, d):
 
 def q06_bootstrap_poisson(spark, d):
     pairs = M.paired(scores(spark, d), ("model", "dataset"), "condition", "original", "row_index", "score")
-    return M.with_significance(M.bootstrap_poisson(pairs, GROUP, replicates=1000))
+    return M.with_significance(M.bootstrap_poisson(pairs, GROUP))
 
 
 _BOOT_SQL = f"""with {_runs_sql()}, {_PROBLEMS_SQL},

@@ -1,5 +1,7 @@
 """Metrics, divergence, probing, profiles, sources, providers and streaming on small fixtures."""
 
+import hashlib
+import inspect
 import json
 import math
 from itertools import product
@@ -51,6 +53,35 @@ def test_bootstrap_variants_agree(spark):
     assert M.bootstrap_by_draws(pairs.limit(0), ["g"], ["i"], 10).count() == 0
 
 
+def test_bootstrap_by_draws_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 2, 12).astype(float), rng.integers(0, 2, 12).astype(float)
+    pairs = spark.createDataFrame([("m", k, *map(float, v)) for k, v in enumerate(zip(x, y))], "g string, i int, base_score double, cond_score double")
+    got = M.bootstrap_by_draws(pairs, ["g"], ["i"], 10_000).first()
+    drawn = np.array([[int(hashlib.md5(f"42|{b}|{s}".encode()).hexdigest()[:8], 16) % 12 for s in range(12)] for b in range(10_000)])
+    want = np.percentile(100 * y[drawn].mean(axis=1) - 100 * x[drawn].mean(axis=1), [2.5, 97.5])
+    assert abs(got.ci_lo - want[0]) < 1e-5 and abs(got.ci_hi - want[1]) < 1e-5
+
+
+def test_registered_poisson_bootstrap_has_all_replicates(spark, monkeypatch):
+    from evalweave.plans import evaluation
+
+    seen = []
+    real = M.bootstrap_poisson
+
+    def spy(*args, **kwargs):
+        bound = inspect.signature(real).bind(*args, **kwargs)
+        bound.apply_defaults()
+        seen.append(bound.arguments["replicates"])
+        return real(*args, **kwargs)
+
+    pairs = spark.createDataFrame([("m", "d", "c", k, 0.5, 0.5) for k in range(3)], "model string, dataset string, condition string, row_index int, base_score double, cond_score double")
+    monkeypatch.setattr(M, "bootstrap_poisson", spy)
+    monkeypatch.setattr(M, "paired", lambda *_: pairs)
+    monkeypatch.setattr(evaluation, "scores", lambda *_: None)
+    assert evaluation.q06_bootstrap_poisson(spark, "").count() == 1 and seen == [10_000]
+
+
 def test_divergence_equals_numpy(spark):
     rows = [("p", 1, "A"), ("p", 1, "A"), ("p", 1, "B"), ("p", 2, "B"), ("p", 2, "C"), ("q", 3, "A"), ("q", 4, "B")]
     shares = V.histograms(spark.createDataFrame(rows, "g string, s int, op string"), ["g"], "s", "op")
