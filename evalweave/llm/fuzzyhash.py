@@ -6,11 +6,13 @@ Plan, for a table of (id, text):
    2/``common.COMMON`` of all shingles say nothing about likeness; by that definition they are few (0.5 MB), so they may
    be broadcast.
 2. Fingerprint (one narrow pass, Arrow batches). The distinct shingles of a text, without the common ones, are dealt by
-   hash into ``SEGMENTS`` segments. A text that has few others is fingerprinted by all of its shingles, one in between by
-   both ways, so that two similar texts always have a way in common. A segment is sampled by its ``SAMPLE`` smallest
-   hashes; each sampled shingle flips one bit of a 23-bit word, and one bit of a second word. Texts that differ in at most
-   one sampled shingle of a segment therefore differ in at most two bits of either word. The smallest hash of the segment
-   is its anchor. Pigeonhole: an edit that changes fewer than 3 x SEGMENTS bits leaves some segment with two errors or less.
+   hash into ``SEGMENTS`` segments. A text with a share of uncommon shingles below ``FULL_BELOW`` is fingerprinted by all of
+   its shingles as well. A pair at the threshold with a text above that share therefore keeps a similarity of at least
+   (FULL_BELOW - 1 + threshold) / FULL_BELOW on its uncommon shingles (``rare_from`` sees to it that the other text has them
+   too), and the number of segments is chosen for that similarity: 0.27 at a threshold of 0.6. A segment is sampled by its
+   ``SAMPLE`` smallest hashes; each sampled shingle flips one bit of a 23-bit word, and one bit of a second word. Texts that
+   differ in at most one sampled shingle of a segment therefore differ in at most two bits of either word. The smallest hash
+   of the segment is its anchor.
 3. Texts with equal shingle sets form a class, found by one aggregation; only one text of a class goes on.
 4. Anchors held by one text only are dropped (aggregation with map-side combining). Words under shared anchors are
    decoded to their nearby Golay codewords, one or six keys a word. Anchors held by more than ``DENSE`` texts use the
@@ -39,15 +41,22 @@ from evalweave.llm.shingles import mix, shingle_sets
 from evalweave.operators.skew import salted_join
 from evalweave.session import materialize, spread
 
-SEGMENTS = 10
+SEGMENTS = 20
 SAMPLE = 6
 SMALL, DENSE = 32, 2048
-#: Texts with a smaller share of uncommon shingles are fingerprinted by all shingles, those above the second by uncommon ones.
-FULL_BELOW, RARE_FROM = 0.55, 0.3
+#: Texts with a smaller share of uncommon shingles are fingerprinted by all shingles too.
+FULL_BELOW = 0.55
 SKETCH_BITS = 128
 #: Pairs under one key go on if each of their two words differs in at most so many bits: two sampled shingles replaced.
 WORD_BITS = 4
 CARRIED = ("id", "word", "sketch_a", "sketch_b")
+#: Bit of a pair of words that tells the fingerprint of all shingles from that of the uncommon ones.
+FULL_BIT = 2 * golay.BITS
+
+
+def rare_from(threshold: float) -> float:
+    """Least share of uncommon shingles of a text that is similar to one that lacks the fingerprint of all shingles."""
+    return max(0.0, (threshold - 1 + FULL_BELOW) / threshold - 1e-9)
 
 
 def sketch_cutoff(threshold: float) -> int:
@@ -94,29 +103,34 @@ def _simhash(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, width: int, least_tokens: int) -> DataFrame:
+def _ways(h: np.ndarray, n: np.ndarray, rare: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors (0: none) and words of both fingerprints, each as a texts x 2 SEGMENTS array."""
+    doc = np.repeat(np.arange(len(n)), n)
+    left = np.bincount(doc[rare], minlength=len(n))
+    anchors, words = [], []
+    for taken, texts_in, mark in ((rare, left >= rare_from(threshold) * n, 0), (np.ones(len(h), bool), left < FULL_BELOW * n, 1)):
+        use = taken & texts_in[doc]
+        anchor, one, two = _segments(h[use], np.bincount(doc[use], minlength=len(n)))
+        if mark:
+            anchor[anchor != 0] ^= np.uint64(0xF0F0F0F0F0F0F0F0)
+        anchors.append(anchor)
+        words.append(one.astype(np.int64) | two.astype(np.int64) << golay.BITS | mark << FULL_BIT)
+    return np.concatenate(anchors, axis=1), np.concatenate(words, axis=1)
+
+
+def fingerprints(df: DataFrame, id_col: str, text_col: str, threshold: float, width: int, least_tokens: int) -> DataFrame:
     """One row for each text of enough tokens: id, set_a, set_b (128-bit hash of its shingle set), anchors, words, sketch."""
     src = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null"))
     common = df.sparkSession.sparkContext.broadcast(common_shingles(src, "text", width, True, least_tokens)[0])
 
     def make(batch: pa.RecordBatch, texts: list[str]) -> dict:
         h, n, counts = shingle_sets(texts, width, code=True)
-        doc = np.repeat(np.arange(len(n)), n)
-        rare = ~find_in(h, common.value)[0]
-        left = np.bincount(doc[rare], minlength=len(n))
-        way = {}
-        for name, taken, texts_in in (("rare", rare, left >= RARE_FROM * n), ("full", np.ones(len(h), bool), left < FULL_BELOW * n)):
-            use = taken & texts_in[doc] if len(h) else taken
-            way[name] = _segments(h[use], np.bincount(doc[use], minlength=len(n)))
-        full = way["full"][0]
-        full[full != 0] ^= np.uint64(0xF0F0F0F0F0F0F0F0)
-        anchors, one, two = (np.concatenate([way["rare"][k], way["full"][k]], axis=1) for k in range(3))
+        anchors, words = _ways(h, n, ~find_in(h, common.value)[0], threshold)
         sketch = _simhash(h, n)
         ends = np.concatenate(([0], np.cumsum(n)))
         sums = [np.concatenate(([0], np.cumsum(mix(h ^ np.uint64(s)), dtype=np.uint64))) for s in (3, 77)]
         sets = [(s[ends[1:]] - s[ends[:-1]]).view(np.int64) for s in sums]
         keep = (counts >= least_tokens) & (n > 0)
-        words = one.astype(np.int64) | two.astype(np.int64) << golay.BITS
         return {
             "id": batch.column("id").filter(pa.array(keep)),
             "set_a": sets[0][keep], "set_b": sets[1][keep],
@@ -145,7 +159,7 @@ def _expand(batch: pa.RecordBatch) -> dict:
     small = held <= SMALL
     key = np.where(small[row], -1, key)
     row, key = row[once | ~small[row]], key[once | ~small[row]]
-    more, second = golay.keys(words >> golay.BITS)
+    more, second = golay.keys(words >> golay.BITS & ((1 << golay.BITS) - 1))
     start = np.searchsorted(more, np.arange(len(words)))
     number = np.bincount(more, minlength=len(words))
     times = np.where(dense[row], number[row], 1)
@@ -207,7 +221,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     Null ids, null texts and texts under ``least_tokens`` are in neither result; an empty table gives two empty results;
     ids are taken as unique; further columns are ignored.
     """
-    prints = materialize(fingerprints(df, id_col, text_col, width, least_tokens))
+    prints = materialize(fingerprints(df, id_col, text_col, threshold, width, least_tokens))
     classes = prints.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     repeated = classes.where("copies > 1").drop("copies")
     members = salted_join(prints.select("id", F.struct("set_a", "set_b").alias("set")), repeated.select(F.struct("set_a", "set_b").alias("set"), "rep"), "set", "left")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,34 @@ def test_near_duplicates_equal_brute_force(spark, threshold, width, least):
     assert set(kept) == set(sets) and all(sets[i] == sets[r] and r <= i for i, r in kept.items())
 
 
+def common_pairs(rng, pairs, a, b, both, common):
+    """Shingles of pairs of texts (a and b of them, both shared, the first ``common`` common): hashes, counts, uncommon."""
+    u = rng.integers(1, 1 << 63, (pairs, a + b - both)).astype(np.uint64)
+    order = [np.argsort(x, axis=1) for x in (u[:, :a], np.concatenate([u[:, :both], u[:, a:]], axis=1))]
+    h = [np.take_along_axis(x, o, 1) for x, o in zip((u[:, :a], np.concatenate([u[:, :both], u[:, a:]], axis=1)), order)]
+    return np.concatenate([x.ravel() for x in h]), np.repeat([a, b], pairs), np.concatenate([(o >= common).ravel() for o in order])
+
+
+@pytest.mark.parametrize("held", [2])
+@pytest.mark.parametrize("a,b,both,common", [(148, 148, 111, 0), (148, 148, 111, 44), (148, 148, 111, 64), (111, 185, 111, 83), (111, 185, 111, 90), (48, 48, 36, 21)])
+def test_recall_at_the_threshold_by_common_share_and_anchor_size(held, a, b, both, common):
+    pairs = 1000
+    anchors, words = fuzzyhash._ways(*common_pairs(np.random.default_rng(9), pairs, a, b, both, common), 0.6)
+    assert both / (a + b - both) == 0.6
+    some = (anchors != 0) & (anchors == np.roll(anchors, pairs, axis=0))
+    text, _ = np.nonzero(some)
+    word = words[some]
+    ids = pa.array(text)
+    batch = pa.RecordBatch.from_pydict({"anchor": pa.array(anchors[some].view(np.int64)), "count": pa.array(np.full(len(text), held)), "word": pa.array(word), "id": ids, "sketch_a": ids, "sketch_b": ids})
+    out = fuzzyhash._expand(batch)
+    met = {}
+    for k, t, w in zip(out["key"].tolist(), out["id"].to_pylist(), out["word"].to_pylist()):
+        met.setdefault((k, t % pairs), {})[t] = w
+    low = (1 << golay.BITS) - 1
+    near = {p for (_, p), x in met.items() if len(x) == 2 for d in [x[p] ^ x[p + pairs]] if max((d & low).bit_count(), (d >> golay.BITS & low).bit_count()) <= fuzzyhash.WORD_BITS}
+    assert len(near) >= 0.997 * pairs
+
+
 def test_near_duplicates_of_nothing(spark):
     for rows in ([], [(1, None), (2, ""), (None, "x " * 80)]):
         links, members = fuzzyhash.near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text")
