@@ -14,12 +14,12 @@ Plan, for a table of (id, text):
    differ in at most one sampled shingle of a segment therefore differ in at most two bits of either word. The smallest hash
    of the segment is its anchor.
 3. Texts with equal shingle sets form a class, found by one aggregation; only one text of a class goes on.
-4. Anchors held by one text only are dropped (aggregation with map-side combining). Words under shared anchors are
-   decoded to their nearby Golay codewords, one or six keys a word. Anchors held by more than ``DENSE`` texts use the
-   keys of both words together, which splits the bucket further and keeps the tolerance of two errors; the few texts of an
-   anchor held by up to ``SMALL`` are cheaper to pair than to give keys, so their key is the anchor alone.
-5. Join on (anchor, keys). Both words and a 128-bit simhash carried along discard far pairs inside the join; the simhash's
-   cut-off lies four standard deviations beyond the distance expected at the threshold.
+4. Anchors held by one text only are dropped (aggregation with map-side combining). One rule for each way, whatever the
+   number of holders: an uncommon anchor is the key itself (few hold it, by definition); an anchor among all shingles may be
+   held by a large part of the table, so its key also has the nearby Golay codewords of the first word, one or six a word.
+   Keys that are expected to hold more than ``BUCKET`` texts are salted into cells, in which every pair still meets.
+5. Join on the key. Both words (up to ``WORD_BITS`` bits apart) and a 128-bit simhash carried along discard far pairs inside
+   the join; the simhash's cut-off lies four standard deviations beyond the distance expected at the threshold.
 6. Verify each candidate by the exact similarity of the shingle sets, from the texts.
 
 Measured recall against brute force is in the README. Nothing but the common shingles is collected or broadcast.
@@ -43,7 +43,8 @@ from evalweave.session import materialize, spread
 
 SEGMENTS = 20
 SAMPLE = 6
-SMALL, DENSE = 32, 2048
+#: Texts expected under one key before it is salted.
+BUCKET = 2048
 #: Texts with a smaller share of uncommon shingles are fingerprinted by all shingles too.
 FULL_BELOW = 0.55
 SKETCH_BITS = 128
@@ -149,26 +150,24 @@ def _lists(a: np.ndarray, anchors: np.ndarray) -> pa.Array:
 
 
 def _expand(batch: pa.RecordBatch) -> dict:
-    """Rows (anchor, count, word, ...) to rows with a join key for each combination of Golay keys."""
+    """Rows (anchor, count, word, ...) to rows with a join key for each Golay key and cell."""
     words = batch.column("word").to_numpy()
     held = batch.column("count").to_numpy()
-    dense = held > DENSE
-    row, key = golay.keys(words & ((1 << golay.BITS) - 1))
-    once = np.ones(len(row), bool)
-    once[1:] = row[1:] != row[:-1]
-    small = held <= SMALL
-    key = np.where(small[row], -1, key)
-    row, key = row[once | ~small[row]], key[once | ~small[row]]
-    more, second = golay.keys(words >> golay.BITS & ((1 << golay.BITS) - 1))
-    start = np.searchsorted(more, np.arange(len(words)))
-    number = np.bincount(more, minlength=len(words))
-    times = np.where(dense[row], number[row], 1)
-    out = np.repeat(np.arange(len(row)), times)
-    place = np.arange(len(out)) - np.repeat(np.cumsum(times) - times, times)
+    full = words >> FULL_BIT & 1 == 1
+    rare = np.flatnonzero(~full)
+    keyed, key = golay.keys(words[full] & ((1 << golay.BITS) - 1))
+    row = np.concatenate([rare, np.flatnonzero(full)[keyed]])
+    key = np.concatenate([np.full(len(rare), -1, np.int64), key])
+    # A cell of a salted key holds two parts of its texts (or one), so parts meet in pairs; a text is in a cell with each part.
+    expected = np.where(full, held * 6 >> golay.INFO, held)
+    parts = (expected // BUCKET + 1)[row]
+    own = (mix(batch.column("id").to_numpy().view(np.uint64))[row] % parts.astype(np.uint64)).astype(np.int64)
+    out = np.repeat(np.arange(len(row)), parts)
+    other = np.arange(len(out)) - np.repeat(np.cumsum(parts) - parts, parts)
+    cell = np.minimum(own[out], other) * parts[out] + np.maximum(own[out], other)
     row, key = row[out], key[out]
-    tail = np.where(dense[row], second[np.minimum(start[row] + place, len(second) - 1)] if len(second) else 0, -1)
     anchor = batch.column("anchor").to_numpy().view(np.uint64)[row]
-    joined = mix(anchor ^ mix((key * 4099 + tail + 1).astype(np.uint64))).view(np.int64)
+    joined = mix(mix(anchor ^ mix((key + 1).astype(np.uint64))) ^ cell.astype(np.uint64)).view(np.int64)
     at = pa.array(row)
     return {"key": joined} | {c: batch.column(c).take(at) for c in CARRIED}
 

@@ -113,7 +113,7 @@ def common_pairs(rng, pairs, a, b, both, common):
     return np.concatenate([x.ravel() for x in h]), np.repeat([a, b], pairs), np.concatenate([(o >= common).ravel() for o in order])
 
 
-@pytest.mark.parametrize("held", [2])
+@pytest.mark.parametrize("held", [2, 33, 3000, 30_000])
 @pytest.mark.parametrize("a,b,both,common", [(148, 148, 111, 0), (148, 148, 111, 44), (148, 148, 111, 64), (111, 185, 111, 83), (111, 185, 111, 90), (48, 48, 36, 21)])
 def test_recall_at_the_threshold_by_common_share_and_anchor_size(held, a, b, both, common):
     pairs = 1000
@@ -133,6 +133,21 @@ def test_recall_at_the_threshold_by_common_share_and_anchor_size(held, a, b, bot
     assert len(near) >= 0.997 * pairs
 
 
+def test_salted_keys_bring_all_pairs_together(spark, monkeypatch):
+    rng = random.Random(11)
+    base = program(rng, 300)
+    rows = list(enumerate([edited(rng, base, rng.randint(1, 12)) for _ in range(60)] + [program(rng, 300) for _ in range(60)]))
+    df = spark.createDataFrame(rows, "id long, text string")
+    found = []
+    for bucket in (fuzzyhash.BUCKET, 4):
+        monkeypatch.setattr(fuzzyhash, "BUCKET", bucket)
+        links, _ = fuzzyhash.near_duplicates(df, "id", "text", 0.6, 4, 50)
+        found.append(sorted((r.lo, r.hi) for r in links.collect()))
+    sets = {i: plain_set(t, 4, True) for i, t in rows}
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if similarity(sets[a], sets[b]) >= 0.6 and sets[a] != sets[b]}
+    assert found[0] == found[1] and len(want & set(found[1])) >= 0.99 * len(want) > 300
+
+
 def test_near_duplicates_of_nothing(spark):
     for rows in ([], [(1, None), (2, ""), (None, "x " * 80)]):
         links, members = fuzzyhash.near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text")
