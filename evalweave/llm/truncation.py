@@ -7,7 +7,8 @@
 3. Values below any limit may have been cut in transfer. Such a text breaks off inside a token, a bracket or a statement:
    the derivative parser runs to its last line without a failing token, or the mark of a cut stands at the end, or a new
    name stands alone at the end of a body.
-   A failing token further up is a fault of a text that may well be complete, so it is no evidence.
+   A failing token further up is a fault of a text that may well be complete, so it is no evidence. If it stands before the
+   code, in a leading sentence or fence, the code that follows is tested in its place.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ SPIKE_ROWS, SPIKE_RATIO, SPIKE_WINDOW = 5, 5.0, 50
 #: What systems leave at the place of a cut.
 MARK = re.compile(r"(?:…|\.\.\.|\[(?:truncated|cut|snip(?:ped)?)\]|<truncated>|�)+\s*$", re.IGNORECASE)
 _CODE_LINE = re.compile(r"^\s*(?:async\s+def\s|def\s+\w+\s*\(|from\s+[\w.]+\s+import\b|import\s+\w|class\s+\w+\s*(?:\([^{]*\))?\s*:|@\w)", re.MULTILINE)
+_FENCE = re.compile(r"^[ \t]*```[^\n`]*\n", re.MULTILINE)
 _FIRST_DEF = re.compile(r"^([ \t]*)(?:async\s+)?def\s+(\w+)\s*\(([^)]*)", re.MULTILINE)
 _CALL = re.compile(r"^([A-Za-z_]\w*)\(.*\)\s*;?$")
 _TERMINAL = re.compile(r"^(?:return\b|yield\b|raise\b|print\b)")
@@ -100,6 +102,9 @@ def is_cut_off(text: str | None, at_limit: bool) -> bool:
     if at_limit:
         return text[-1] in " \t" or not (ends_complete(text) or _prose_end(text))
     out = parse(text)
+    if not out.valid and not out.truncated and out.line <= (lead := _lead_lines(text)):
+        text = "\n" * lead + text.split("\n", lead)[lead]
+        out = parse(text)
     if out.valid:
         last, before, indent = _last_statement(text)
         return indent > 0 and _LONE_NAME.match(last) is not None and last not in _WORDS.findall(before)
@@ -109,6 +114,14 @@ def is_cut_off(text: str | None, at_limit: bool) -> bool:
     return not _prose_end(text) and not _statement_done(text)
 
 
+def _lead_lines(text: str) -> int:
+    """How many lines stand before the code: up to an opening fence, else up to the first line that only Python has."""
+    code = _CODE_LINE.search(text)
+    before = text[: code.start()] if code else ""
+    fence = _FENCE.search(before)
+    return before[: fence.end()].count("\n") if fence else before.count("\n")
+
+
 def _prose_end(text: str) -> bool:
     """Whether the last line is a sentence or a fence, as wordy answers have after the code."""
     last = text.rstrip().rsplit("\n", 1)[-1].strip()

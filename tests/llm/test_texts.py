@@ -265,3 +265,13 @@ def test_isotonic_is_monotone():
     x = rng.random(300)
     knots, fitted = reading.isotonic(x, x * 4 + rng.normal(0, 1, 300))
     assert (np.diff(fitted) >= -1e-12).all() and (np.diff(knots) >= 0).all()
+
+
+@pytest.mark.parametrize("lead", ["Here is the code:\n", "```python\n", "Sure, this works:\n\n```python\n", "Here is the code:\n\n"])
+def test_cuts_in_transfer_after_leading_prose_or_fence(lead):
+    whole = "def f(values):\n    total = sum(values)\n    return total\n"
+    assert not truncation.is_cut_off(lead + whole, False) and not truncation.is_cut_off(lead + whole + "```\n", False)
+    assert not truncation.is_cut_off(lead + whole + "```\nIt adds the values.", False)
+    for cut in ("def f(values):\n    total = sum(val", "def f(values):\n    total = sum(values)\n    if total >", "def f(values):\n    total = sum(values)\n    return (total +"):
+        assert truncation.is_cut_off(lead + cut, False)
+    assert not truncation.is_cut_off(lead + "def f(values):\n    total = = 3\n    return total\n", False)
