@@ -9,24 +9,26 @@ from pyspark.sql import functions as F
 HOT_SHARE = 200
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", hot_share: int = HOT_SHARE) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", hot_share: int = HOT_SHARE, counted: DataFrame | None = None) -> DataFrame:
     """Equi-join on the column ``on`` (``inner`` or ``left``), safe for hot keys of ``left``.
 
     Rows of ``left`` are counted by key with map-side combining. Keys above 1/``hot_share`` of all rows (by that
     definition fewer than ``hot_share`` keys, so broadcasting them is bounded) are spread over salts; only their rows of
     ``right`` are repeated, once a salt. All other keys take salt 0. Null keys never match; in a left join their rows are
-    added after the join, so they don't meet in one task either.
+    added after the join, so they don't meet in one task either. ``counted``: a table with the same keys as often as
+    ``left`` has them, to be counted in its place where ``left`` is dear to compute.
     """
     if how == "left":
-        matched = salted_join(left.where(F.col(on).isNotNull()), right, on, "__left", hot_share)
+        matched = salted_join(left.where(F.col(on).isNotNull()), right, on, "__left", hot_share, counted)
         return matched.unionByName(left.where(F.col(on).isNull()), allowMissingColumns=True)
     how = "left" if how == "__left" else how
-    total = left.count()
+    counted = left if counted is None else counted
+    total = counted.count()
     if total == 0:
         return left.join(right, on, how)
     hot_rows = max(1, total // hot_share)
     hot = (
-        left.where(F.col(on).isNotNull())
+        counted.where(F.col(on).isNotNull())
         .groupBy(on)
         .count()
         .where(F.col("count") > hot_rows)
