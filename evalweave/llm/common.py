@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +18,28 @@ COMMON = 1 << 17
 BLOCK = 1 << 21
 
 
+def block_counts(values: Iterator[np.ndarray], name: str, least: Callable[[int], int]) -> Iterator[pa.RecordBatch]:
+    """Counts of the hashes of a stream, by blocks of ``BLOCK``: (``name``, count, total), for those that a block holds more
+    often than ``least(size)`` and more than once; and a row of null with the size of the block as total."""
+
+    def report(held: list[np.ndarray], size: int) -> Iterator[pa.RecordBatch]:
+        value, count = np.unique(np.concatenate(held), return_counts=True)
+        often = count > max(1, least(size))
+        yield pa.RecordBatch.from_pydict({name: pa.array(value[often].view(np.int64)), "count": pa.array(count[often].astype(np.int64)), "total": pa.array(np.zeros(often.sum(), np.int64))})
+        yield pa.RecordBatch.from_pydict({name: pa.array([None], pa.int64()), "count": pa.array([0]), "total": pa.array([size])})
+
+    held: list[np.ndarray] = []
+    size = 0
+    for h in values:
+        held.append(h)
+        size += len(h)
+        if size >= BLOCK:
+            yield from report(held, size)
+            held, size = [], 0
+    if size:
+        yield from report(held, size)
+
+
 def common_shingles(df: DataFrame, text: str, width: int, code: bool, least_tokens: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the common shingles and their counts; fewer than ``COMMON`` / 2, by their definition.
 
@@ -23,27 +47,14 @@ def common_shingles(df: DataFrame, text: str, width: int, code: bool, least_toke
     that share of all, so a shingle of 2.5/``COMMON`` or more of all is found for certain. Counts are those reported.
     """
 
-    def run(batches):
-        held: list[np.ndarray] = []
-        size = 0
-
-        def report():
-            value, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count > max(1, size // (2 * COMMON))
-            yield pa.RecordBatch.from_pydict({"shingle": pa.array(value[often].view(np.int64)), "count": pa.array(count[often].astype(np.int64)), "total": pa.array(np.zeros(often.sum(), np.int64))})
-            yield pa.RecordBatch.from_pydict({"shingle": pa.array([None], pa.int64()), "count": pa.array([0]), "total": pa.array([size])})
-
+    def values(batches):
         for batch in batches:
             for _, texts in chunks(batch.column(text).to_pylist()):
                 h, n, counts = shingle_sets(texts, width, code)
-                h = h[np.repeat(counts >= least_tokens, n)]
-                held.append(h)
-                size += len(h)
-                if size >= BLOCK:
-                    yield from report()
-                    held, size = [], 0
-        if size:
-            yield from report()
+                yield h[np.repeat(counts >= least_tokens, n)]
+
+    def run(batches):
+        yield from block_counts(values(batches), "shingle", lambda size: size // (2 * COMMON))
 
     sums = materialize(df.select(text).mapInArrow(run, "shingle long, count long, total long").groupBy("shingle").agg(F.sum("count").alias("count"), F.sum("total").alias("total")))
     total = sums.where("shingle is null").first()

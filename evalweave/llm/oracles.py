@@ -26,6 +26,12 @@ def _pairs(kind: str, table: str, key: str, text: str) -> str:
 SQL = {
     "p4_found": f"""with {_pairs("bigobench", "bigobench", "solution_no", "solution_code")}, {_pairs("generation", "generations", "generation_id", "generated_solution")}
 select 'bigobench' record_kind, key_lo, key_hi from bigobench_p union all select 'generation', key_lo, key_hi from generation_p""",
+    "p4_groups": f"""with recursive {_pairs("bigobench", "bigobench", "solution_no", "solution_code")}, {_pairs("generation", "generations", "generation_id", "generated_solution")},
+g as (select 'bigobench' k, * from bigobench_g union all select 'generation', * from generation_g), p as (select 'bigobench' k, * from bigobench_p union all select 'generation', * from generation_p),
+e as (select k, key_lo a, key_hi b from p union all select k, key_hi, key_lo from p), s as (select k, id, md5(string_agg(g, chr(10) order by g)) h from g group by 1, 2), c as (select k, id, h, min(id) over (partition by k, h) class from s),
+near(k, id, other) as (select k, id, id from c union select near.k, near.id, e.b from near join e on e.k = near.k and e.a = near.other),
+r as (select k, id, min(other) grp from near group by 1, 2), l as (select e.k, e.a id, count(distinct y.class) n from e join c x on x.k = e.k and x.id = e.a join c y on y.k = e.k and y.id = e.b and y.class <> x.class group by 1, 2)
+select c.k record_kind, c.id "key", class class_key, grp group_key, coalesce(n, 0) n_links from c join r on r.k = c.k and r.id = c.id left join l on l.k = c.k and l.id = c.id""",
     "p5_found": f"""with g as (select distinct _idx, train, {_grams(3)} g from (select _idx, coalesce(_split = 'train', false) train, {_words("prompt")} w from effibench where prompt is not null) x where len(w) >= 3),
 n as (select _idx, count(*) n from g group by 1), c as (select a._idx e, b._idx t, count(*) s from g a join g b on a.g = b.g and not a.train and b.train group by 1, 2)
 select least(e, t) idx_lo, greatest(e, t) idx_hi from c join n x on x._idx = e join n y on y._idx = t where s / (x.n + y.n - s) >= 0.5""",

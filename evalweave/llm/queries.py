@@ -10,6 +10,7 @@ QUERIES = {
     "p3_found": pairs.p3_found,
     "p3_labels": pairs.p3_labels,
     "p4_found": fuzzyhash.p4_found,
+    "p4_groups": fuzzyhash.p4_groups,
     "p5_found": splits.p5_found,
     "p5_report": splits.p5_report,
     "p6_found": syntax.p6_found,

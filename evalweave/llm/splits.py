@@ -55,7 +55,7 @@ def _prepared(df: DataFrame, width: int, threshold: float) -> DataFrame:
         taken = place < np.repeat(length, n)
         offsets = np.concatenate(([0], np.cumsum(np.bincount(doc[taken], minlength=len(n))))).astype(np.int32)
         prefix = pa.ListArray.from_arrays(offsets, pa.array(ordered[taken].view(np.int64)))
-        total = [np.concatenate(([0], np.cumsum(mix(h ^ np.uint64(s)), dtype=np.uint64))) for s in (5, 91)]
+        total = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(s)), dtype=np.uint64))) for s in (5, 91)]
         ends = np.concatenate(([0], np.cumsum(n)))
         sets = [(t[ends[1:]] - t[ends[:-1]]).view(np.int64) for t in total]
         some = pa.array(n > 0)

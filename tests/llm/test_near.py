@@ -113,27 +113,25 @@ def common_pairs(rng, pairs, a, b, both, common):
     return np.concatenate([x.ravel() for x in h]), np.repeat([a, b], pairs), np.concatenate([(o >= common).ravel() for o in order])
 
 
-@pytest.mark.parametrize("held", [2, 33, 3000, 30_000])
+@pytest.mark.parametrize("decoded", [False, True])
 @pytest.mark.parametrize("a,b,both,common", [(148, 148, 111, 0), (148, 148, 111, 44), (148, 148, 111, 64), (111, 185, 111, 83), (111, 185, 111, 90), (48, 48, 36, 21)])
-def test_recall_at_the_threshold_by_common_share_and_anchor_size(held, a, b, both, common):
+def test_recall_at_the_threshold_by_common_share(decoded, a, b, both, common):
+    """Pairs at 0.6 that share an anchor and a codeword: rows of light anchors, and of heavy ones decoded before the shuffle."""
     pairs = 1000
     anchors, words = fuzzyhash._ways(*common_pairs(np.random.default_rng(9), pairs, a, b, both, common), 0.6)
     assert both / (a + b - both) == 0.6
-    some = (anchors != 0) & (anchors == np.roll(anchors, pairs, axis=0))
-    text, _ = np.nonzero(some)
-    word = words[some]
-    ids = pa.array(text)
-    batch = pa.RecordBatch.from_pydict({"anchor": pa.array(anchors[some].view(np.int64)), "count": pa.array(np.full(len(text), held)), "word": pa.array(word), "id": ids, "sketch_a": ids, "sketch_b": ids})
-    out = fuzzyhash._expand(batch)
-    met = {}
-    for k, t, w in zip(out["key"].tolist(), out["id"].to_pylist(), out["word"].to_pylist()):
-        met.setdefault((k, t % pairs), {})[t] = w
-    low = (1 << golay.BITS) - 1
-    near = {p for (_, p), x in met.items() if len(x) == 2 for d in [x[p] ^ x[p + pairs]] if max((d & low).bit_count(), (d >> golay.BITS & low).bit_count()) <= fuzzyhash.WORD_BITS}
-    assert len(near) >= 0.997 * pairs
-
-
-def test_salted_keys_bring_all_pairs_together(spark, monkeypatch):
+    text, _ = np.nonzero(anchors)
+    key, word = anchors[anchors != 0].view(np.int64), words[anchors != 0]
+    if decoded:
+        zero = pa.array(np.zeros(len(text), np.int64))
+        out = fuzzyhash._decoded(pa.RecordBatch.from_pydict({"key": pa.array(key), "id": pa.array(text), "word": pa.array(word), "sketch_a": zero, "sketch_b": zero}))
+        key, word, text = np.array(out["key"]), np.array(out["word"]), out["id"].to_numpy()
+    order = np.argsort(key, kind="stable")
+    lo, hi = fuzzyhash._meet(key[order], text[order].astype(np.int64), word[order], np.zeros((len(text), 2), np.int64), 128)
+    assert len({x for x, y in zip(lo.tolist(), hi.tolist()) if y == x + pairs}) >= 0.995 * pairs
+
+
+def test_heavy_and_salted_keys_give_the_same_links(spark, monkeypatch):
     rng = random.Random(11)
     base = program(rng, 300)
     rows = list(enumerate([edited(rng, base, rng.randint(1, 12)) for _ in range(60)] + [program(rng, 300) for _ in range(60)]))
@@ -148,12 +146,40 @@ def test_salted_keys_bring_all_pairs_together(spark, monkeypatch):
     assert found[0] == found[1] and len(want & set(found[1])) >= 0.99 * len(want) > 300
 
 
+def test_pairs_of_a_large_key_in_several_rounds(monkeypatch):
+    monkeypatch.setattr(fuzzyhash, "PAIRS", 5)
+    rng = np.random.default_rng(5)
+    key, word = np.sort(rng.integers(0, 6, 60)), rng.integers(0, 1 << 23, 60) & 0x7
+    lo, hi = fuzzyhash._meet(key, np.arange(60), word, np.zeros((60, 2), np.int64), 128)
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if key[i] == key[j] and set(golay.keys(word[[i]])[1]) & set(golay.keys(word[[j]])[1])}
+    assert {*zip(lo.tolist(), hi.tolist())} == want and want
+
+
+def test_components_of_paths_and_hubs(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(200, 201), (201, 202), (200, 202)]
+    rng = random.Random(3)
+    rng.shuffle(edges)
+    got = {r.id: r.group for r in fuzzyhash.components(spark.createDataFrame(edges, "lo long, hi long")).collect()}
+    assert got == {k: 0 if k < 100 else 100 if k < 200 else 200 for e in edges for k in e}
+    assert fuzzyhash.components(spark.createDataFrame([], "lo long, hi long")).count() == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     for rows in ([], [(1, None), (2, ""), (None, "x " * 80)]):
         links, members = fuzzyhash.near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text")
         assert links.count() == 0 and members.count() == 0
 
 
+def test_equal_texts_are_one_class_and_groups_count_links(spark):
+    rng = random.Random(12)
+    base = [program(rng, 300) for _ in range(40)]
+    rows = [(k, base[k % 40] + " " * (k % 3)) for k in range(200)] + [(500 + k, edited(rng, base[0], 2)) for k in range(3)]
+    links, members = fuzzyhash.near_duplicates(spark.createDataFrame(rows, "id long, text string").repartition(5), "id", "text", 0.6, 4, 50)
+    assert {r.id: r.rep for r in members.collect()} == {k: k % 40 if k < 500 else k for k, _ in rows}
+    got = {r.id: (r["class"], r.group, r.n_links) for r in fuzzyhash.groups(links, members).collect()}
+    assert got == {k: (k % 40, k % 40, 3 if k % 40 == 0 else 0) if k < 500 else (k, 0, 3) for k, _ in rows}
+
+
 def test_third_of_all_rows_are_near_copies(spark):
     rng = random.Random(6)
     base = program(rng, 300)
