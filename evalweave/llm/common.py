@@ -40,11 +40,11 @@ def block_counts(values: Iterator[np.ndarray], name: str, least: Callable[[int],
         yield from report(held, size)
 
 
-def common_shingles(df: DataFrame, text: str, width: int, code: bool, least_tokens: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the common shingles and their counts; fewer than ``COMMON`` / 2, by their definition.
+def common_shingles(df: DataFrame, text: str, width: int, code: bool, least_tokens: int = 0, share: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles above 2/``share`` of all, and their counts; fewer than ``share`` / 2, by their definition.
 
-    A block reports its shingles above 1/(2 ``COMMON``) of it. What a shingle has in blocks that don't report it is below
-    that share of all, so a shingle of 2.5/``COMMON`` or more of all is found for certain. Counts are those reported.
+    A block reports its shingles above 1/(2 ``share``) of it. What a shingle has in blocks that don't report it is below
+    that share of all, so a shingle of 2.5/``share`` or more of all is found for certain. Counts are those reported.
     """
 
     def values(batches):
@@ -54,13 +54,13 @@ def common_shingles(df: DataFrame, text: str, width: int, code: bool, least_toke
                 yield h[np.repeat(counts >= least_tokens, n)]
 
     def run(batches):
-        yield from block_counts(values(batches), "shingle", lambda size: size // (2 * COMMON))
+        yield from block_counts(values(batches), "shingle", lambda size: size // (2 * share))
 
     sums = materialize(df.select(text).mapInArrow(run, "shingle long, count long, total long").groupBy("shingle").agg(F.sum("count").alias("count"), F.sum("total").alias("total")))
     total = sums.where("shingle is null").first()
     if total is None:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    rows = sums.where((F.col("count") > 2) & (F.col("count") * COMMON > 2 * total["total"])).select("shingle", "count").toArrow()
+    rows = sums.where((F.col("count") > 2) & (F.col("count") * share > 2 * total["total"])).select("shingle", "count").toArrow()
     value = rows.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(value)
     return value[order], rows.column("count").to_numpy()[order]

@@ -14,15 +14,16 @@ Plan, for a table of (id, text):
    flips one bit, and a second word likewise. Texts that differ in one sampled shingle of a segment differ in at most two
    bits of either word.
 3. Keys. The first word is decoded to the nearby Golay codewords, one or six; the key of a pair is segment anchor and
-   codeword, for every anchor alike, however many texts hold it. By the pigeonhole principle the errors of a pair are few in
-   one of its segments at least; two bits apart, two words share a codeword for certain.
+   codeword, for every anchor alike, however many texts hold it; where all shingles take part, whose anchors may be
+   boilerplate, a codeword of the second word goes with it. By the pigeonhole principle the errors of a pair are few in one of
+   its segments at least; two bits apart, two words share a codeword for certain.
 4. Texts with equal shingle sets form a class, found by one aggregation; only one text of a class goes on.
 5. Join on the key. Rows are shuffled once, by anchor, and decoded to codewords where they arrive, so the shuffle holds one
    row a segment and not one a key. Anchors of a large share of the rows (fewer than ``HEAVY``, by definition) are decoded
    before the shuffle instead, and keys among them that still hold more than ``BUCKET`` texts are salted into cells, in which
-   every pair still meets. The candidates are the same either way. Both words (up to ``WORD_BITS`` bits apart) and a 128-bit
-   simhash carried along discard far pairs in the join; the simhash's cut-off lies four standard deviations beyond the
-   distance expected at the threshold.
+   every pair still meets. The candidates are the same either way. Both words (up to ``WORD_BITS`` bits apart), the numbers of
+   shingles (an exact bound) and a 128-bit simhash carried along discard far pairs in the join; the simhash's cut-off lies
+   ``SIGMAS`` standard deviations beyond the distance expected at the threshold.
 6. Verify each candidate by the exact similarity of the shingle sets, from the texts.
 
 Measured recall against brute force is in the README. Nothing but common shingles and heavy anchors is broadcast.
@@ -58,12 +59,16 @@ FULL_BELOW = 0.55
 SKETCH_BITS = 128
 #: Pairs under one key go on if each of their two words differs in at most so many bits: two sampled shingles replaced.
 WORD_BITS = 4
+#: Deviations that the simhash tolerates: one pair in 1,700 at the threshold lies beyond, and far fewer above it.
+SIGMAS = 3.25
 CARRIED = ("id", "word", "sketch_a", "sketch_b")
 KEYED = "key long, id long, word long, sketch_a long, sketch_b long"
 #: Bit of a pair of words that tells the fingerprint of all shingles from that of the uncommon ones.
 FULL_BIT = 2 * golay.BITS
 #: Bit of rows whose key holds the codeword already.
 DECODED_BIT = FULL_BIT + 1
+#: Above it: the number of shingles, up to ``MOST_SIZE``, which stands for that and more.
+SIZE_BIT, MOST_SIZE = DECODED_BIT + 1, (1 << 15) - 1
 _LOW = (1 << golay.BITS) - 1
 
 
@@ -73,9 +78,9 @@ def rare_from(threshold: float) -> float:
 
 
 def sketch_cutoff(threshold: float) -> int:
-    """Largest simhash distance that a pair at ``threshold`` reaches, but for one in 10,000 or so."""
+    """Largest simhash distance of a pair that goes on."""
     p = math.acos(2 * threshold / (1 + threshold)) / math.pi
-    return math.ceil(SKETCH_BITS * p + 4 * math.sqrt(SKETCH_BITS * p * (1 - p)))
+    return math.ceil(SKETCH_BITS * p + SIGMAS * math.sqrt(SKETCH_BITS * p * (1 - p)))
 
 
 def _segments(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,6 +150,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, threshold: float, wi
         sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(s)), dtype=np.uint64))) for s in (3, 77)]
         sets = [(s[ends[1:]] - s[ends[:-1]]).view(np.int64) for s in sums]
         keep = (counts >= least_tokens) & (n > 0)
+        words |= np.minimum(n, MOST_SIZE).astype(np.int64)[:, None] << SIZE_BIT
         return {
             "id": batch.column("id").filter(pa.array(keep)),
             "set_a": sets[0][keep], "set_b": sets[1][keep],
@@ -194,7 +200,7 @@ def _sliced(make):
     return run
 
 
-def _meet(key: np.ndarray, ids: np.ndarray, word: np.ndarray, sketch: np.ndarray, cutoff: int) -> tuple[np.ndarray, np.ndarray]:
+def _meet(key: np.ndarray, ids: np.ndarray, word: np.ndarray, sketch: np.ndarray, threshold: float, cutoff: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (lo, hi) of ids with a common key and codeword that are near enough, for rows ordered by key."""
     if not len(key):
         return ids, ids
@@ -208,6 +214,11 @@ def _meet(key: np.ndarray, ids: np.ndarray, word: np.ndarray, sketch: np.ndarray
     row = np.concatenate([np.flatnonzero(decoded), plain[row]])
     code = np.concatenate([np.full(decoded.sum(), -1, np.int64), code])
     slot = group[row] * (1 << golay.INFO + 1) + code + 1
+    full = np.flatnonzero(word[row] >> FULL_BIT & 1)
+    again, second = golay.keys(word[row[full]] >> golay.BITS & _LOW)
+    rare = np.flatnonzero(~(word[row] >> FULL_BIT & 1 == 1))
+    slot = np.concatenate([slot[rare], slot[full][again]]) * (1 << golay.INFO + 1) + np.concatenate([np.zeros(len(rare), np.int64), second + 1])
+    row = np.concatenate([row[rare], row[full][again]])
     order = np.argsort(slot, kind="stable")
     row, slot = row[order], slot[order]
     if not len(row):
@@ -225,7 +236,9 @@ def _meet(key: np.ndarray, ids: np.ndarray, word: np.ndarray, sketch: np.ndarray
         right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
         a, b = row[left], row[right]
         apart = word[a] ^ word[b]
-        near = (np.bitwise_count(apart & _LOW) <= WORD_BITS) & (np.bitwise_count(apart >> golay.BITS & _LOW) <= WORD_BITS) & (ids[a] != ids[b])
+        n, m = word[a] >> SIZE_BIT, word[b] >> SIZE_BIT
+        near = (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) | (np.maximum(n, m) == MOST_SIZE)
+        near &= (np.bitwise_count(apart & _LOW) <= WORD_BITS) & (np.bitwise_count(apart >> golay.BITS & _LOW) <= WORD_BITS) & (ids[a] != ids[b])
         a, b = a[near], b[near]
         near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= cutoff
         a, b = ids[a[near]], ids[b[near]]
@@ -236,9 +249,11 @@ def _meet(key: np.ndarray, ids: np.ndarray, word: np.ndarray, sketch: np.ndarray
     return np.concatenate(lo), np.concatenate(hi)
 
 
-def _met(cutoff: int):
+def _met(threshold: float):
     """Candidates of a partition that is ordered by key; what is held is one key's rows and a batch."""
 
+    cutoff = sketch_cutoff(threshold)
+
     def run(batches):
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -250,7 +265,7 @@ def _met(cutoff: int):
             rest = t.slice(end).to_batches()
             done = t.slice(0, end)
             sketch = np.stack([done.column("sketch_a").to_numpy(), done.column("sketch_b").to_numpy()], axis=1)
-            lo, hi = _meet(done.column("key").to_numpy(), done.column("id").to_numpy(), done.column("word").to_numpy(), sketch, cutoff)
+            lo, hi = _meet(done.column("key").to_numpy(), done.column("id").to_numpy(), done.column("word").to_numpy(), sketch, threshold, cutoff)
             return pa.RecordBatch.from_pydict({"lo": pa.array(lo), "hi": pa.array(hi)}), rest
 
         least = 50_000
@@ -290,7 +305,7 @@ def candidates(prints: DataFrame, copies: DataFrame, threshold: float) -> DataFr
         large = materialize(keyed.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > BUCKET))
         cells = salted_join(keyed, large, "key").select("key", *CARRIED, "held").mapInArrow(_sliced(_cells), KEYED)
         rows = rows.join(heavy, "key", "left_anti").unionByName(keyed.join(large, "key", "left_anti")).unionByName(cells)
-    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_met(sketch_cutoff(threshold)), "lo long, hi long")
+    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_met(threshold), "lo long, hi long")
     return materialize(pairs.distinct())
 
 

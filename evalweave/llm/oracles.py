@@ -35,10 +35,16 @@ select c.k record_kind, c.id "key", class class_key, grp group_key, coalesce(n,
     "p5_found": f"""with g as (select distinct _idx, train, {_grams(3)} g from (select _idx, coalesce(_split = 'train', false) train, {_words("prompt")} w from effibench where prompt is not null) x where len(w) >= 3),
 n as (select _idx, count(*) n from g group by 1), c as (select a._idx e, b._idx t, count(*) s from g a join g b on a.g = b.g and not a.train and b.train group by 1, 2)
 select least(e, t) idx_lo, greatest(e, t) idx_hi from c join n x on x._idx = e join n y on y._idx = t where s / (x.n + y.n - s) >= 0.5""",
-    "p5_report": f"""with g as (select distinct _idx, train, {_grams(3)} g from (select _idx, coalesce(_split = 'train', false) train, {_words("prompt")} w from effibench where prompt is not null) x where len(w) >= 3),
+    "p5_report": f"""with r as (select _idx, coalesce(_split = 'train', false) train, {_words("prompt")} w from effibench where prompt is not null),
+g as (select distinct _idx, train, {_grams(3)} g from r where len(w) >= 3),
 n as (select _idx, count(*) n from g group by 1), c as (select a._idx e, b._idx t, count(*) s from g a join g b on a.g = b.g and not a.train and b.train group by 1, 2),
-m as (select e, max(s / (x.n + y.n - s)) sim from c join n x on x._idx = e join n y on y._idx = t where s / (x.n + y.n - s) >= 0.5 group by 1)
-select _split, _src_file, count(*) "rows", count(sim) overlapping, cast(sum(case when sim = 1 then 1 else 0 end) as bigint) equal from effibench left join m on m.e = _idx where _split is distinct from 'train' group by 1, 2""",
+m as (select e, max(case when x.w = y.w then 1 else 0 end) same from c join n p on p._idx = e join n q on q._idx = t join r x on x._idx = e join r y on y._idx = t where s / (p.n + q.n - s) >= 0.5 group by 1)
+select _split, _src_file, count(*) "rows", count(same) overlapping, cast(sum(case when same = 1 then 1 else 0 end) as bigint) equal from effibench left join m on m.e = _idx where _split is distinct from 'train' group by 1, 2""",
+    "p5_classes": f"""with r as (select _idx, coalesce(_split = 'train', false) train, {_words("prompt")} w from effibench where prompt is not null), k as (select *, min(_idx) over (partition by w) class from r where len(w) >= 3),
+g as (select distinct _idx, train, {_grams(3)} g from k), n as (select _idx, count(*) n from g group by 1), c as (select a._idx e, b._idx t, count(*) s from g a join g b on a.g = b.g and not a.train and b.train group by 1, 2),
+p as (select e, t from c join n x on x._idx = e join n y on y._idx = t where s / (x.n + y.n - s) >= 0.5), l as (select e own, t other from p union all select t, e from p),
+d as (select k.class, k.train, count(distinct o.class) n from l join k on k._idx = l.own join k o on o._idx = l.other group by 1, 2)
+select _idx, k.class class_idx, coalesce(n, 0) n_links from k left join d on d.class = k.class and d.train = k.train""",
     "p9_found": f"""with d as (select distinct doc_id, {_grams(13)} g from (select doc_id, {_words("text")} w from documents where text is not null) x where len(w) >= 13),
 i as (select distinct item_id, {_grams(13)} g from (select item_id, {_words("text")} w from heldout_items where text is not null) x where len(w) >= 13)
 select distinct doc_id, item_id from d join i using (g)""",

@@ -13,6 +13,7 @@ QUERIES = {
     "p4_groups": fuzzyhash.p4_groups,
     "p5_found": splits.p5_found,
     "p5_report": splits.p5_report,
+    "p5_classes": splits.p5_classes,
     "p6_found": syntax.p6_found,
     "p6_rates": syntax.p6_rates,
     "p8_packing": packing.p8_packing,

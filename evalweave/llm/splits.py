@@ -1,14 +1,14 @@
 """Same or near-same records across splits.
 
-Records are canonicalised (case, punctuation, white space) and hashed: as a whole, and piece by piece as all runs of
-``width`` words. Records whose sets of pieces have one hash are a class and meet through it; different classes meet
-through the hashes of their pieces:
-
-1. Pieces are put into one order for all records, the common ones last (a bounded table, see ``common``). Two sets of
-   similarity t or more share one of the first n - ceil(t n) + 1 pieces of each, so only these are hashed into the join.
-2. Evaluation hashes are joined with training hashes. Two bounds hold inside the join: the places of the shared piece
-   limit how many pieces can be shared, and so does a 512-bit map of each set (bits in common, and what collisions hide).
-3. The pairs are verified by the exact similarity. All filters are exact: no pair at or above t is lost.
+1. Records are canonicalised (case, punctuation, white space) and hashed as a whole. Evaluation hashes are joined with
+   training hashes: equal records form a class, which meets both sides at once, however many copies it has.
+2. One record of each class is also hashed piece by piece, as all runs of ``width`` words. Pieces are put into one order for
+   all records, the frequent ones last by their counts (a bounded table, see ``common``). Two sets of similarity t or more
+   share one of the first n - ceil(t n) + 1 pieces of each, so only these go into the join, as narrow rows of piece, class,
+   size and place. Evaluation pieces are joined with training pieces, frequent ones salted; the places of the shared piece
+   bound how many pieces can be shared at all.
+3. Each pair that is left meets the 512-bit maps of both sets once (bits in common, and what collisions hide, bound the shared
+   pieces again), and then the texts, for the exact similarity. All filters are exact: no pair at or above t is lost.
 """
 
 from __future__ import annotations
@@ -20,13 +20,17 @@ from pyspark.sql import functions as F
 
 from evalweave.llm.arrow import map_texts
 from evalweave.llm.common import common_shingles, find_in
-from evalweave.llm.shingles import mix, shingle_sets
+from evalweave.llm.shingles import mix, shingle_sets, tokens
 from evalweave.operators.skew import salted_join
 from evalweave.session import materialize, spread, table
 
 
 #: 64-bit words of the map of a record's pieces.
 MAP_WORDS = 8
+#: Pieces above 2/FREQUENT of all are ordered by their counts (fewer than FREQUENT / 2 by that, 8 MB).
+FREQUENT = 1 << 20
+#: Bits of the place in a packed piece row, the size standing above; either is an int, so both fit a long.
+PLACE_BITS = 31
 
 
 def _maps(h: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
@@ -36,12 +40,24 @@ def _maps(h: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
+def record_hashes(tokens_: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each text as a sequence of words."""
+    ends = np.cumsum(counts)
+    place = np.arange(len(tokens_)) - np.repeat(ends - counts, counts)
+    out = []
+    for seed in (5, 91):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(tokens_ ^ mix(place.astype(np.uint64) + np.uint64(seed << 32))), dtype=np.uint64)))
+        out.append((sums[ends] - sums[ends - counts]).view(np.int64))
+    return out
+
+
 def _prepared(df: DataFrame, width: int, threshold: float) -> DataFrame:
-    """id, train, set (hash of the piece set), size, prefix (array of piece hashes), for texts that have a piece."""
-    values, counts = common_shingles(df, "text", width, code=False)
-    common = df.sparkSession.sparkContext.broadcast((values, counts))
+    """id, train, rec_a, rec_b (hash of the canonical record), size, prefix (array of piece hashes), maps, for texts that have a piece."""
+    common = df.sparkSession.sparkContext.broadcast(common_shingles(df, "text", width, code=False, share=FREQUENT))
 
     def make(batch: pa.RecordBatch, texts: list[str]) -> dict:
+        words, word_counts = tokens(texts, code=False)
+        record = record_hashes(words, word_counts)
         h, n, _ = shingle_sets(texts, width, code=False)
         values, counts = common.value
         doc = np.repeat(np.arange(len(n)), n)
@@ -55,15 +71,12 @@ def _prepared(df: DataFrame, width: int, threshold: float) -> DataFrame:
         taken = place < np.repeat(length, n)
         offsets = np.concatenate(([0], np.cumsum(np.bincount(doc[taken], minlength=len(n))))).astype(np.int32)
         prefix = pa.ListArray.from_arrays(offsets, pa.array(ordered[taken].view(np.int64)))
-        total = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(s)), dtype=np.uint64))) for s in (5, 91)]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        sets = [(t[ends[1:]] - t[ends[:-1]]).view(np.int64) for t in total]
         some = pa.array(n > 0)
-        out = {"id": batch.column("id"), "train": batch.column("train"), "set_a": pa.array(sets[0]), "set_b": pa.array(sets[1]), "size": pa.array(n.astype(np.int32)), "prefix": prefix}
+        out = {"id": batch.column("id"), "train": batch.column("train"), "rec_a": pa.array(record[0]), "rec_b": pa.array(record[1]), "size": pa.array(n.astype(np.int32)), "prefix": prefix}
         out |= {f"map{k}": pa.array(np.ascontiguousarray(column)) for k, column in enumerate(_maps(h, doc, len(n)).T)}
         return {k: v.filter(some) for k, v in out.items()}
 
-    return materialize(map_texts(df, "text", "id long, train boolean, set_a long, set_b long, size int, prefix array<long>, " + ", ".join(f"map{k} long" for k in range(MAP_WORDS)), make))
+    return materialize(map_texts(df, "text", "id long, train boolean, rec_a long, rec_b long, size int, prefix array<long>, " + ", ".join(f"map{k} long" for k in range(MAP_WORDS)), make))
 
 
 def similar_texts(pairs: DataFrame, left_text: str, right_text: str, width: int, keep: list[str], schema: str) -> DataFrame:
@@ -82,38 +95,50 @@ def similar_texts(pairs: DataFrame, left_text: str, right_text: str, width: int,
 def cross_split_overlaps(df: DataFrame, id_col: str, text_col: str, is_train: Column, threshold: float = 0.8, width: int = 5) -> tuple[DataFrame, DataFrame]:
     """Overlaps between training records and all others.
 
-    Returns (links, members). links: eval_class, train_class, similarity, for all pairs of classes of which the first has
-    an evaluation record and the second a training record, at ``threshold`` or above (a class with both is linked to
-    itself). members: id, train, class, for each record that has a piece; a class is named by its smallest id.
+    Returns (links, members). links: eval_class, train_class, similarity, equal, for all pairs of classes of which the first
+    has an evaluation record and the second a training record, at ``threshold`` or above; a class with both is linked to
+    itself, and only such links are equal. members: id, train, class, for each record that has a piece; a class holds the
+    records whose words are equal in order, and is named by its smallest id.
 
     Null texts and texts of fewer than ``width`` words have no piece and are in neither result; a null split counts as
-    evaluation; an empty table gives empty results; repeated records are one class; further columns are ignored.
+    evaluation; an empty table gives empty results; further columns are ignored.
     """
     src = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(is_train, F.lit(False)).alias("train")).where("id is not null and text is not null"))
     rows = _prepared(src, width, threshold)
-    classes = rows.groupBy("set_a", "set_b").agg(F.min("id").alias("class"), F.max(F.col("train").cast("int")).alias("has_train"), F.max((~F.col("train")).cast("int")).alias("has_eval"), F.count("*").alias("copies"))
+    classes = rows.groupBy("rec_a", "rec_b").agg(F.min("id").alias("class"), F.max(F.col("train").cast("int")).alias("has_train"), F.max((~F.col("train")).cast("int")).alias("has_eval"), F.count("*").alias("copies"))
     classes = materialize(classes)
-    several = classes.where("copies > 1").select(F.struct("set_a", "set_b").alias("set"), "class")
-    members = salted_join(rows.select("id", "train", F.struct("set_a", "set_b").alias("set")), several, "set", "left")
+    several = classes.where("copies > 1").select(F.struct("rec_a", "rec_b").alias("record"), "class")
+    members = salted_join(rows.select("id", "train", F.struct("rec_a", "rec_b").alias("record")), several, "record", "left")
     members = materialize(members.select("id", "train", F.coalesce("class", "id").alias("class")))
-    maps = [f"map{k}" for k in range(MAP_WORDS)]
-    heads = rows.select("id", "size", "prefix", *maps).join(classes.select(F.col("class").alias("id"), "has_train", "has_eval"), "id")
-    pieces = heads.select("id", "size", "has_train", "has_eval", *maps, F.posexplode("prefix").alias("place", "piece"))
-    evals = pieces.where("has_eval = 1").select("piece", F.col("id").alias("eval_class"), F.col("size").alias("n"), F.col("place").alias("p"), *(F.col(c).alias(f"e_{c}") for c in maps))
-    trains = pieces.where("has_train = 1").select("piece", F.col("id").alias("train_class"), F.col("size").alias("m"), F.col("place").alias("q"), *maps)
-    ones_e = sum((F.bit_count(f"e_{c}") for c in maps), F.lit(0))
-    ones_t = sum((F.bit_count(c) for c in maps), F.lit(0))
-    ones_both = sum((F.bit_count(F.col(f"e_{c}").bitwiseAND(F.col(c))) for c in maps), F.lit(0))
-    most_shared = ones_both + F.least(F.col("n") - ones_e, F.col("m") - ones_t)
-    needed = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - F.lit(1e-9)
-    possible = (evals["piece"] == trains["piece"]) & (F.col("eval_class") != F.col("train_class")) & (F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) + F.least("p", "q") >= needed) & (most_shared >= needed)
-    pairs = materialize(evals.join(trains, possible).select("eval_class", "train_class").distinct())
+    heads = rows.join(classes.select(F.col("class").alias("id"), "has_train", "has_eval"), "id")
+    heads = materialize(heads.select("id", "has_train", "has_eval", "size", "prefix"))
+    pieces = heads.select("id", "has_train", "has_eval", "size", F.posexplode("prefix").alias("place", "piece"))
+    packed = F.shiftleft(F.col("size").cast("long"), PLACE_BITS) + F.col("place")
+    evals = pieces.where("has_eval = 1").select("piece", F.col("id").alias("eval_class"), packed.alias("e"))
+    trains = pieces.where("has_train = 1").select("piece", F.col("id").alias("train_class"), packed.alias("t"))
+
+    def unpack(c: str) -> tuple[Column, Column]:
+        return F.shiftright(c, PLACE_BITS), F.col(c).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+
+    (n, p), (m, q) = unpack("e"), unpack("t")
+    needed = F.lit(threshold / (1 + threshold)) * (n + m) - F.lit(1e-9)
+    possible = (F.col("eval_class") != F.col("train_class")) & (F.least(n - p, m - q) + F.least(p, q) >= needed)
+    pairs = salted_join(evals, trains, "piece").where(possible).select("eval_class", "train_class").distinct()
+    maps = rows.select("id", "size", *(f"map{k}" for k in range(MAP_WORDS)))
+    met = pairs.join(maps.select(F.col("id").alias("eval_class"), F.struct("size", *(f"map{k}" for k in range(MAP_WORDS))).alias("e")), "eval_class")
+    met = met.join(maps.select(F.col("id").alias("train_class"), F.struct("size", *(f"map{k}" for k in range(MAP_WORDS))).alias("t")), "train_class")
+    names = [f"map{k}" for k in range(MAP_WORDS)]
+    ones_e, ones_t = (sum((F.bit_count(F.col(f"{s}.{c}")) for c in names), F.lit(0)) for s in ("e", "t"))
+    ones_both = sum((F.bit_count(F.col(f"e.{c}").bitwiseAND(F.col(f"t.{c}"))) for c in names), F.lit(0))
+    most_shared = ones_both + F.least(F.col("e.size") - ones_e, F.col("t.size") - ones_t)
+    pairs = materialize(met.where(most_shared >= F.lit(threshold / (1 + threshold)) * (F.col("e.size") + F.col("t.size")) - F.lit(1e-9)).select("eval_class", "train_class"))
     wanted = pairs.select(F.col("eval_class").alias("id")).union(pairs.select("train_class")).distinct()
     text = materialize(src.select("id", "text").join(wanted, "id", "left_semi"))
-    both = pairs.join(text.select(F.col("id").alias("eval_class"), F.col("text").alias("a")), "eval_class").join(text.select(F.col("id").alias("train_class"), F.col("text").alias("b")), "train_class")
+    both = salted_join(pairs, text.select(F.col("id").alias("eval_class"), F.col("text").alias("a")), "eval_class")
+    both = salted_join(both, text.select(F.col("id").alias("train_class"), F.col("text").alias("b")), "train_class", counted=pairs)
     near = similar_texts(both, "a", "b", width, ["eval_class", "train_class"], "eval_class long, train_class long, similarity double").where(F.col("similarity") >= threshold)
-    same = classes.where("has_train = 1 and has_eval = 1").select(F.col("class").alias("eval_class"), F.col("class").alias("train_class"), F.lit(1.0).alias("similarity"))
-    return near.unionByName(same), members
+    same = classes.where("has_train = 1 and has_eval = 1").select(F.col("class").alias("eval_class"), F.col("class").alias("train_class"), F.lit(1.0).alias("similarity"), F.lit(True).alias("equal"))
+    return near.withColumn("equal", F.lit(False)).unionByName(same), members
 
 
 def _effibench(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -126,14 +151,24 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, links, members = _effibench(spark, sf_dir)
     evals = members.where("not train").select(F.col("id").alias("e"), F.col("class").alias("eval_class"))
     trains = members.where("train").select(F.col("id").alias("t"), F.col("class").alias("train_class"))
-    pairs = links.join(evals, "eval_class").join(trains, "train_class")
+    links = materialize(links.select("eval_class", "train_class"))
+    half = salted_join(links, evals, "eval_class")
+    pairs = salted_join(half, trains, "train_class")
     return pairs.select(F.least("e", "t").alias("idx_lo"), F.greatest("e", "t").alias("idx_hi"))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a record: its class, and how many classes of the other side (training or not) its class overlaps."""
+    _, links, members = _effibench(spark, sf_dir)
+    links = materialize(links.select("eval_class", "train_class"))
+    sides = [members.where(where).join(links.groupBy(F.col(own).alias("class")).agg(F.count("*").alias("n_links")), "class", "left") for where, own in (("not train", "eval_class"), ("train", "train_class"))]
+    return sides[0].unionByName(sides[1]).select(F.col("id").alias("_idx"), F.col("class").alias("class_idx"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per evaluation split and source file: rows, rows that overlap the training split, of these with an equal record."""
     df, links, members = _effibench(spark, sf_dir)
-    best = links.groupBy("eval_class").agg(F.max("similarity").alias("similarity"))
-    hit = members.where("not train").join(best, members["class"] == best["eval_class"]).select(F.col("id").alias("_idx"), "similarity")
+    best = links.groupBy("eval_class").agg(F.max("equal").alias("same"))
+    hit = members.where("not train").join(best, members["class"] == best["eval_class"]).select(F.col("id").alias("_idx"), "same")
     rows = df.where(~F.col("_split").eqNullSafe("train")).select("_idx", "_split", "_src_file").join(hit, "_idx", "left")
-    return rows.groupBy("_split", "_src_file").agg(F.count("*").alias("rows"), F.count("similarity").alias("overlapping"), F.count_if(F.col("similarity") == 1).alias("equal"))
+    return rows.groupBy("_split", "_src_file").agg(F.count("*").alias("rows"), F.count("same").alias("overlapping"), F.count_if("same").alias("equal"))

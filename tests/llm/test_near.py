@@ -127,7 +127,7 @@ def test_recall_at_the_threshold_by_common_share(decoded, a, b, both, common):
         out = fuzzyhash._decoded(pa.RecordBatch.from_pydict({"key": pa.array(key), "id": pa.array(text), "word": pa.array(word), "sketch_a": zero, "sketch_b": zero}))
         key, word, text = np.array(out["key"]), np.array(out["word"]), out["id"].to_numpy()
     order = np.argsort(key, kind="stable")
-    lo, hi = fuzzyhash._meet(key[order], text[order].astype(np.int64), word[order], np.zeros((len(text), 2), np.int64), 128)
+    lo, hi = fuzzyhash._meet(key[order], text[order].astype(np.int64), word[order], np.zeros((len(text), 2), np.int64), 0.6, 128)
     assert len({x for x, y in zip(lo.tolist(), hi.tolist()) if y == x + pairs}) >= 0.995 * pairs
 
 
@@ -150,7 +150,7 @@ def test_pairs_of_a_large_key_in_several_rounds(monkeypatch):
     monkeypatch.setattr(fuzzyhash, "PAIRS", 5)
     rng = np.random.default_rng(5)
     key, word = np.sort(rng.integers(0, 6, 60)), rng.integers(0, 1 << 23, 60) & 0x7
-    lo, hi = fuzzyhash._meet(key, np.arange(60), word, np.zeros((60, 2), np.int64), 128)
+    lo, hi = fuzzyhash._meet(key, np.arange(60), word, np.zeros((60, 2), np.int64), 0.6, 128)
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if key[i] == key[j] and set(golay.keys(word[[i]])[1]) & set(golay.keys(word[[j]])[1])}
     assert {*zip(lo.tolist(), hi.tolist())} == want and want
 
