@@ -7,8 +7,10 @@
    share one of the first n - ceil(t n) + 1 pieces of each, so only these go into the join, as narrow rows of piece, class,
    size and place. Evaluation pieces are joined with training pieces, frequent ones salted; the places of the shared piece
    bound how many pieces can be shared at all.
-3. Each pair that is left meets the 512-bit maps of both sets once (bits in common, and what collisions hide, bound the shared
-   pieces again), and then the texts, for the exact similarity. All filters are exact: no pair at or above t is lost.
+3. The shared pieces of a pair are counted. At least s = t / (1 + t) (n + m) of all are shared, and behind the prefix that ends
+   first stand at most ceil(t n) - 1 more, so s - ceil(t max(n, m)) + 1 shared ones lie in both prefixes: nearly all chance
+   pairs have fewer. What is left meets the texts, for the exact similarity. All filters are exact: no pair at or above t is
+   lost.
 """
 
 from __future__ import annotations
@@ -25,21 +27,12 @@ from evalweave.operators.skew import salted_join
 from evalweave.session import materialize, spread, table
 
 
-#: 64-bit words of the map of a record's pieces.
-MAP_WORDS = 8
 #: Pieces above 2/FREQUENT of all are ordered by their counts (fewer than FREQUENT / 2 by that, 8 MB).
 FREQUENT = 1 << 20
 #: Bits of the place in a packed piece row, the size standing above; either is an int, so both fit a long.
 PLACE_BITS = 31
 
 
-def _maps(h: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
-    """rows x MAP_WORDS words; a piece sets the bit that its hash names."""
-    bits = np.zeros((rows, 64 * MAP_WORDS), np.uint8)
-    bits[doc, (mix(h ^ np.uint64(0xB17)) % np.uint64(64 * MAP_WORDS)).astype(np.int64)] = 1
-    return np.packbits(bits, axis=1).view(np.int64)
-
-
 def record_hashes(tokens_: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     """Two 64-bit hashes of each text as a sequence of words."""
     ends = np.cumsum(counts)
@@ -52,7 +45,7 @@ def record_hashes(tokens_: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
 
 
 def _prepared(df: DataFrame, width: int, threshold: float) -> DataFrame:
-    """id, train, rec_a, rec_b (hash of the canonical record), size, prefix (array of piece hashes), maps, for texts that have a piece."""
+    """id, train, rec_a, rec_b (hash of the canonical record), size, prefix (array of piece hashes), for texts that have a piece."""
     common = df.sparkSession.sparkContext.broadcast(common_shingles(df, "text", width, code=False, share=FREQUENT))
 
     def make(batch: pa.RecordBatch, texts: list[str]) -> dict:
@@ -73,10 +66,9 @@ def _prepared(df: DataFrame, width: int, threshold: float) -> DataFrame:
         prefix = pa.ListArray.from_arrays(offsets, pa.array(ordered[taken].view(np.int64)))
         some = pa.array(n > 0)
         out = {"id": batch.column("id"), "train": batch.column("train"), "rec_a": pa.array(record[0]), "rec_b": pa.array(record[1]), "size": pa.array(n.astype(np.int32)), "prefix": prefix}
-        out |= {f"map{k}": pa.array(np.ascontiguousarray(column)) for k, column in enumerate(_maps(h, doc, len(n)).T)}
         return {k: v.filter(some) for k, v in out.items()}
 
-    return materialize(map_texts(df, "text", "id long, train boolean, rec_a long, rec_b long, size int, prefix array<long>, " + ", ".join(f"map{k} long" for k in range(MAP_WORDS)), make))
+    return materialize(map_texts(df, "text", "id long, train boolean, rec_a long, rec_b long, size int, prefix array<long>", make))
 
 
 def similar_texts(pairs: DataFrame, left_text: str, right_text: str, width: int, keep: list[str], schema: str) -> DataFrame:
@@ -123,15 +115,10 @@ def cross_split_overlaps(df: DataFrame, id_col: str, text_col: str, is_train: Co
     (n, p), (m, q) = unpack("e"), unpack("t")
     needed = F.lit(threshold / (1 + threshold)) * (n + m) - F.lit(1e-9)
     possible = (F.col("eval_class") != F.col("train_class")) & (F.least(n - p, m - q) + F.least(p, q) >= needed)
-    pairs = salted_join(evals, trains, "piece").where(possible).select("eval_class", "train_class").distinct()
-    maps = rows.select("id", "size", *(f"map{k}" for k in range(MAP_WORDS)))
-    met = pairs.join(maps.select(F.col("id").alias("eval_class"), F.struct("size", *(f"map{k}" for k in range(MAP_WORDS))).alias("e")), "eval_class")
-    met = met.join(maps.select(F.col("id").alias("train_class"), F.struct("size", *(f"map{k}" for k in range(MAP_WORDS))).alias("t")), "train_class")
-    names = [f"map{k}" for k in range(MAP_WORDS)]
-    ones_e, ones_t = (sum((F.bit_count(F.col(f"{s}.{c}")) for c in names), F.lit(0)) for s in ("e", "t"))
-    ones_both = sum((F.bit_count(F.col(f"e.{c}").bitwiseAND(F.col(f"t.{c}"))) for c in names), F.lit(0))
-    most_shared = ones_both + F.least(F.col("e.size") - ones_e, F.col("t.size") - ones_t)
-    pairs = materialize(met.where(most_shared >= F.lit(threshold / (1 + threshold)) * (F.col("e.size") + F.col("t.size")) - F.lit(1e-9)).select("eval_class", "train_class"))
+    met = salted_join(evals, trains, "piece").where(possible).select("eval_class", "train_class", needed.alias("needed"), F.greatest(n, m).alias("larger"))
+    met = met.groupBy("eval_class", "train_class").agg(F.count("*").alias("shared"), F.max("needed").alias("needed"), F.max("larger").alias("larger"))
+    least = F.ceil("needed") - F.ceil(F.lit(threshold) * F.col("larger") - F.lit(1e-9)) + 1
+    pairs = materialize(met.where(F.col("shared") >= least).select("eval_class", "train_class"))
     wanted = pairs.select(F.col("eval_class").alias("id")).union(pairs.select("train_class")).distinct()
     text = materialize(src.select("id", "text").join(wanted, "id", "left_semi"))
     both = salted_join(pairs, text.select(F.col("id").alias("eval_class"), F.col("text").alias("a")), "eval_class")
