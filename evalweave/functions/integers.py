@@ -2,8 +2,9 @@
 
 An integer is a run of ASCII digits with an optional minus sign, touching neither a point nor another digit. A text is
 split at its integers, each is rewritten on its own, and the pieces are joined again: split, extract, zip, join, all inside
-whole-stage codegen. Decimals of 38 digits carry the arithmetic; longer runs are left alone by the expressions, and
-``apply_transform`` sends only the texts that hold one through exact Python integers.
+whole-stage codegen. Decimals of 38 digits carry the arithmetic. Texts with a run of more digits than that allows go through
+exact Python integers (``exact``), so that integers of any length are rewritten; ``apply_transform`` and ``rewrite_dataset``
+send only such rows there.
 """
 
 from __future__ import annotations
@@ -64,11 +65,10 @@ def _hex_digits(m: Column) -> Column:
 
 
 def _cube_root(x: Column) -> Column:
-    """The integer whose cube is x, null where there is none."""
-    near = F.round(F.cbrt(F.abs(x).cast("double"))).cast(_DEC)
-    tried = F.filter(F.array(near - 1, near, near + 1), lambda r: (r >= 0) & (r.cast("decimal(12,0)").cast(_DEC) * r.cast("decimal(12,0)") * r.cast("decimal(12,0)") == F.abs(x)))
-    root = F.get(tried, F.lit(0)).cast(_DEC)
-    return F.when(x < 0, -root).otherwise(root)
+    """The integer whose cube is x, null where there is none; a double tells roots of 11 digits apart."""
+    root = F.round(F.cbrt(F.abs(x).cast("double"))).cast("decimal(12,0)")
+    exact = (root * root).cast("decimal(24,0)") * root == F.abs(x)
+    return F.when(exact, F.when(x < 0, -root.cast(_DEC)).otherwise(root.cast(_DEC)))
 
 
 @dataclass(frozen=True)
@@ -87,10 +87,14 @@ class Transform:
     def python(self, text: str, back: bool = False) -> str:
         return text
 
-    @property
-    def long_run(self) -> int:
-        """Digits from which texts need exact Python integers; 0: never."""
-        return 0
+    #: Most digits of an integer that the expressions rewrite, forward and back; 0: any number.
+    long_run = 0
+    long_back = 0
+
+    def is_long(self, text: Column, back: bool = False) -> Column:
+        """Whether a text holds a run of more digits than the expressions rewrite; null as false."""
+        most = self.long_back if back else self.long_run
+        return F.coalesce(text.rlike(f"[0-9]{{{most + 1},}}"), F.lit(False)) if most else F.lit(False)
 
     def contract(self) -> str:
         # Fixed value: the wording.
@@ -99,7 +103,9 @@ class Transform:
 
 def _python_rewrite(text: str, change: Callable[[int], int | str | None]) -> str:
     import re
+    import sys
 
+    sys.set_int_max_str_digits(0)
     return re.sub(r"(?<![.0-9])-?[0-9]+(?![.0-9])", lambda m: str(new) if (new := change(int(m.group()))) is not None else m.group(), text)
 
 
@@ -110,7 +116,7 @@ def _signed(n: int) -> str:
 class Affine(Transform):
     """x becomes a x + b."""
 
-    long_run = 30
+    long_run, long_back = 28, 30
 
     def forward(self, text: Column) -> Column:
         a, b = self.params["a"], self.params["b"]
@@ -118,7 +124,7 @@ class Affine(Transform):
 
     def inverse(self, text: Column) -> Column:
         a, b = self.params["a"], self.params["b"]
-        return rewrite(text, lambda m: _whole(m.cast("decimal(30,0)").cast("decimal(31,0)") - F.lit(b).cast("decimal(4,0)"), a).cast("string"), self.long_run)
+        return rewrite(text, lambda m: _whole(m.cast("decimal(30,0)").cast("decimal(31,0)") - F.lit(b).cast("decimal(4,0)"), a).cast("string"), self.long_back)
 
     def python(self, text: str, back: bool = False) -> str:
         a, b = self.params["a"], self.params["b"]
@@ -142,7 +148,7 @@ Examples:
 class Cubic(Transform):
     """x becomes x cubed + c."""
 
-    long_run = 12
+    long_run, long_back = 11, 33
 
     def forward(self, text: Column) -> Column:
         c = F.lit(self.params["c"]).cast("decimal(4,0)")
@@ -155,7 +161,7 @@ class Cubic(Transform):
 
     def inverse(self, text: Column) -> Column:
         c = F.lit(self.params["c"]).cast("decimal(4,0)")
-        return rewrite(text, lambda m: _cube_root(m.cast("decimal(34,0)") - c).cast("string"), 33)
+        return rewrite(text, lambda m: _cube_root(m.cast("decimal(34,0)") - c).cast("string"), self.long_back)
 
     def python(self, text: str, back: bool = False) -> str:
         c = self.params["c"]
@@ -193,13 +199,13 @@ Examples:
 class BaseDigits(Transform):
     """The decimal digits of x are read as a numeral of base 16."""
 
-    long_run = 15
+    long_run, long_back = 15, 18
 
     def forward(self, text: Column) -> Column:
         return rewrite(text, _hex_value, self.long_run)
 
     def inverse(self, text: Column) -> Column:
-        return rewrite(text, _hex_digits, 18)
+        return rewrite(text, _hex_digits, self.long_back)
 
     def python(self, text: str, back: bool = False) -> str:
         def plain(x: int) -> str | None:
@@ -313,6 +319,16 @@ def transform(name: str, seed: int | None = None, params: dict | None = None) ->
     return REGISTRY[name](canonical, params if params is not None else sample_params(name, seed or 0))
 
 
+def exact(texts: Column, t: Transform, back: bool = False) -> Column:
+    """An array of texts rewritten with Python's integers; null arrays and null texts stay null."""
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: None if x is None else [None if s is None else t.python(s, back) for s in x])
+
+    return run(texts)
+
+
 def apply_transform(df: DataFrame, column: str, out: str, t: Transform, back: bool = False) -> DataFrame:
     """``df`` with ``out``: ``column`` rewritten, exact for integers of any length.
 
@@ -322,31 +338,29 @@ def apply_transform(df: DataFrame, column: str, out: str, t: Transform, back: bo
     native = t.inverse(F.col(column)) if back else t.forward(F.col(column))
     if not t.long_run:
         return df.withColumn(out, native)
-    long = F.coalesce(F.col(column).rlike(f"[0-9]{{{t.long_run + 1},}}"), F.lit(False))
-    short_rows = df.where(~long).withColumn(out, native)
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(**{out: pdf[column].map(lambda s: t.python(s, back))})
+    long = t.is_long(F.col(column), back)
+    return df.where(~long).withColumn(out, native).unionByName(df.where(long).withColumn(out, exact(F.array(column), t, back)[0]))
 
-    from pyspark.sql.types import StringType, StructField, StructType
 
-    schema = StructType([*df.schema.fields, StructField(out, StringType())])
-    return short_rows.unionByName(df.where(long).mapInPandas(run, schema))
-
-
-def roundtrip_proof(samples: Column, t: Transform, checked: int = 10, shown: int = 5, width: int = 100) -> Column:
+def roundtrip_proof(samples: Column, t: Transform, checked: int = 10, shown: int = 5, width: int = 100, forward: Column | None = None, inverse: Column | None = None) -> Column:
     """Struct of roundtrip_ok, n_checked and the first examples, over the first ``checked`` of an array of texts.
 
-    A null array counts as empty; no samples are a proof of nothing and pass.
+    A null array counts as empty; no samples are a proof of nothing and pass. ``forward`` and ``inverse`` are the arrays of
+    rewritten and restored samples where they were made by ``exact``. Without them a text with a longer run than the
+    expressions rewrite is no proof, and fails.
     """
     first = F.slice(F.coalesce(samples, F.array().cast("array<string>")), 1, checked)
-    tried = F.transform(first, lambda s: F.struct(s.alias("orig"), t.forward(s).alias("fwd"), t.inverse(t.forward(s)).alias("inv")))
-    examples = F.transform(
-        F.slice(tried, 1, shown),
-        lambda e: F.struct(F.substring(e["orig"], 1, width).alias("orig"), F.substring(e["fwd"], 1, width).alias("fwd"), F.substring(e["inv"], 1, width).alias("inv"), e["orig"].eqNullSafe(e["inv"]).alias("match")),
-    )
-    return F.struct(F.forall(tried, lambda e: e["orig"].eqNullSafe(e["inv"])).alias("roundtrip_ok"), F.size(first).alias("n_checked"), examples.alias("examples"))
+    if forward is None:
+        tried = F.transform(first, lambda s: F.struct(s.alias("orig"), t.forward(s).alias("fwd"), t.inverse(t.forward(s)).alias("inv"), t.is_long(s).alias("long")))
+    else:
+        zipped = F.arrays_zip(first.alias("orig"), F.slice(forward, 1, checked).alias("fwd"), F.slice(inverse, 1, checked).alias("inv"))
+        tried = F.transform(zipped, lambda e: F.struct(e["orig"].alias("orig"), e["fwd"].alias("fwd"), e["inv"].alias("inv"), F.lit(False).alias("long")))
+
+    def match(e: Column) -> Column:
+        return e["orig"].eqNullSafe(e["inv"]) & ~e["long"]
+
+    examples = F.transform(F.slice(tried, 1, shown), lambda e: F.struct(F.substring(e["orig"], 1, width).alias("orig"), F.substring(e["fwd"], 1, width).alias("fwd"), F.substring(e["inv"], 1, width).alias("inv"), match(e).alias("match")))
+    return F.struct(F.forall(tried, match).alias("roundtrip_ok"), F.size(first).alias("n_checked"), examples.alias("examples"))
 
 
 def append_contract(prompt: Column, contract: str) -> Column:
@@ -379,8 +393,3 @@ def python_repr(text: Column) -> Column:
         body = F.replace(body, F.lit(raw), F.lit(shown))
     body = F.when(quote == "'", F.replace(body, F.lit("'"), F.lit("\\'"))).otherwise(body)
     return F.concat(quote, body, quote)
-
-
-def big_forward(values: pd.Series, t: Transform) -> pd.Series:
-    """The exact Python form of a transform over a pandas series (for use in pandas UDFs)."""
-    return values.map(lambda s: None if s is None else t.python(s))

@@ -83,22 +83,30 @@ def match_score(generated: Column, expected: Column) -> Column:
     return F.when((F.length(want) == 0) | (F.length(got) == 0), 0.0).otherwise(common / F.length(want))
 
 
+def _solid(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, BLANK, ""))
+
+
 def suffix_start(tokens: Column, suffix: Column) -> Column:
-    """The last place (from 0) from which the tokens, joined and normalised, end with the normalised suffix; else 0."""
-    want = normalise_space(suffix)
-    tail = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: normalise_space(F.array_join(F.slice(tokens, i, F.size(tokens)), "")).endswith(want))
-    last = F.array_max(F.transform(tail, lambda ok, i: F.when(ok, i)))
-    return F.when((F.size(tokens) == 0) | (F.length(want) == 0), 0).otherwise(F.coalesce(last, F.lit(0)))
+    """The last place (from 0) from which the tokens, joined and normalised, end with the normalised suffix; else 0.
+
+    Where the whole text ends so, a tail does as long as it holds as many characters other than blanks as the suffix: one pass.
+    """
+    whole, want = F.array_join(tokens, ""), normalise_space(suffix)
+    least = _solid(whole) - _solid(want)
+    start = F.struct(F.lit(0).alias("before"), F.lit(0).alias("place"), F.lit(0).alias("last"))
+    found = F.aggregate(tokens, start, lambda a, t: F.struct((a["before"] + _solid(t)).alias("before"), (a["place"] + 1).alias("place"), F.when(a["before"] <= least, a["place"]).otherwise(a["last"]).alias("last")))
+    return F.when((F.size(tokens) == 0) | (F.length(want) == 0) | ~normalise_space(whole).endswith(want), 0).otherwise(found["last"])
 
 
 def char_suffix_start(tokens: Column, suffix: Column) -> Column:
-    """The token that holds the first character of the last occurrence of ``suffix``, spaces left out; else 0."""
+    """The token that holds the first character of the last occurrence of ``suffix``, spaces left out; else 0. One pass."""
     bare = F.transform(tokens, lambda t: F.replace(t, F.lit(" "), F.lit("")))
     full, want = F.array_join(bare, ""), F.replace(strip(suffix), F.lit(" "), F.lit(""))
     at = F.length(full) - F.instr(F.reverse(full), F.reverse(want)) - F.length(want) + 1
-    ends = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.length(F.array_join(F.slice(bare, F.lit(1), i), "")))
-    first = F.array_min(F.transform(ends, lambda e, i: F.when(e > at, i)))
-    return F.when((F.size(tokens) == 0) | ~F.contains(full, want), 0).otherwise(F.coalesce(first, F.lit(0)))
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("before"))
+    found = F.aggregate(bare, start, lambda a, t: F.struct((a["end"] + F.length(t)).alias("end"), (a["before"] + F.when(a["end"] + F.length(t) <= at, 1).otherwise(0)).alias("before")))
+    return F.when((F.size(tokens) == 0) | ~F.contains(full, want) | (found["before"] == F.size(tokens)), 0).otherwise(found["before"])
 
 
 def subsequence_start(tokens: Column, wanted: Column) -> Column:
@@ -126,7 +134,7 @@ def context_text(parts: Column, target: Column) -> Column:
 # ---- fuzzing
 
 #: Marks that make a token code.
-CODE_MARKS = r"[`\\$@#_]|==|!=|>=|<=|>>|<<|&&|\|\||->|::|//"
+CODE_MARKS = ("`", "\\", "$", "@", "#", "_", "==", "!=", ">=", "<=", ">>", "<<", "&&", "||", "->", "::", "//")
 #: English words that are never replaced.
 STOP_WORDS = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
@@ -137,7 +145,7 @@ THESAURUS = {"returns": ["yields", "gives back"], "largest": ["biggest", "greate
 
 def is_code_token(token: Column) -> Column:
     """Whether a token looks like code: marks, number prefixes, camel case."""
-    return token.rlike(CODE_MARKS) | token.rlike("^0[xb]") | token.rlike("^[A-Z][a-z]+[A-Z]") | token.rlike("^[a-z]+[A-Z]")
+    return _any([F.contains(token, F.lit(m)) for m in CODE_MARKS]) | token.rlike("^0[xb]") | token.rlike("^[A-Z][a-z]+[A-Z]") | token.rlike("^[a-z]+[A-Z]")
 
 
 def is_eligible(token: Column) -> Column:
@@ -161,23 +169,55 @@ def detokenise(text: Column) -> Column:
 TOKEN = r"[A-Za-z0-9_']+|[^\sA-Za-z0-9_']"
 
 
+#: Most words of a thesaurus that goes into the plan as a literal map; a larger one is joined.
+MAP_WORDS = 1000
+
+
+def _drawn(place: Column, row: Column, seed: int) -> Column:
+    return uniform(F.lit(str(seed)), row.cast("string"), place.cast("string"))
+
+
+def _replacement(token: Column, synonyms: Column, place: Column, row: Column, seed: int) -> Column:
+    """The synonym drawn for a token at a place, with a capital where the token has one; null without synonyms."""
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), row.cast("string"), place.cast("string"), F.lit("s"))), 1, 6), 16, 10).cast("int")
+    pick = F.get(synonyms, F.pmod(number, F.size(synonyms)))
+    shown = F.when(token.rlike("^[A-Z]"), F.concat(F.upper(F.substring(pick, 1, 1)), F.substring(pick, F.lit(2), F.length(pick)))).otherwise(pick)
+    return F.when(F.size(synonyms) > 0, shown)
+
+
 def fuzz_synonyms(df: DataFrame, text: str, row_id: str, level: float, seed: int, thesaurus: DataFrame) -> DataFrame:
     """``df`` with ``fuzzed`` and ``n_replaced``: each eligible token is replaced with probability ``level``.
 
-    ``thesaurus`` has the columns word (lower case) and synonyms (array). The choice hangs on seed, row and place. Tokens
-    go back to their text at the end; those drawn meet the thesaurus in one join.
-    Null texts stay null with no replacement.
+    ``thesaurus`` has the columns word (lower case) and synonyms (array). The choice hangs on seed, row and place. A thesaurus of
+    up to ``MAP_WORDS`` words is a literal of the plan, and texts are rewritten where they are; with a larger one the drawn
+    tokens are joined to it, frequent words salted, and go back to their text. Null texts stay null with no replacement.
     """
-    tokens = df.select(F.col(row_id).alias("__row"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))).alias("__place", "__token"))
-    draw = uniform(F.lit(str(seed)), F.col("__row").cast("string"), F.col("__place").cast("string"))
-    tokens = tokens.withColumn("__word", F.when(is_eligible(F.col("__token")) & (draw < level), F.lower("__token")))
-    # Tokens that are not drawn get keys that match nothing and are many, so they don't meet in one task as nulls would.
-    other = F.concat(F.lit("\0"), F.pmod(F.xxhash64("__row", "__place"), F.lit(4096)).cast("string"))
-    tokens = tokens.withColumn("__key", F.coalesce("__word", other))
-    joined = tokens.join(thesaurus.select(F.col("word").alias("__key"), F.col("synonyms").alias("__synonyms")), "__key", "left")
-    pick = F.get(F.col("__synonyms"), F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__row").cast("string"), F.col("__place").cast("string"), F.lit("s"))), 1, 6), 16, 10).cast("int"), F.size("__synonyms")))
-    shown = F.when(F.col("__token").rlike("^[A-Z]"), F.concat(F.upper(F.substring(pick, 1, 1)), F.substring(pick, F.lit(2), F.length(pick)))).otherwise(pick)
-    joined = joined.withColumn("__new", F.when(F.size("__synonyms") > 0, shown))
+    known = thesaurus.select("word", "synonyms").limit(MAP_WORDS + 1).collect()
+    row = F.col(row_id)
+    tokens = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
+    if len(known) > MAP_WORDS:
+        return _fuzz_by_join(df, text, row_id, level, seed, thesaurus, tokens)
+    table = F.create_map(*(x for r in known for x in (F.lit(r["word"]), F.array(*map(F.lit, r["synonyms"])).cast("array<string>")))).cast("map<string,array<string>>")
+
+    def one(token: Column, place: Column) -> Column:
+        synonyms = F.when(F.lower(token).isin(*(r["word"] for r in known)) & is_eligible(token), F.try_element_at(table, F.lower(token)))
+        new = F.when(_drawn(place, row, seed) < level, _replacement(token, synonyms, place, row, seed))
+        return F.struct(F.coalesce(new, token).alias("t"), new.isNotNull().cast("int").alias("n"))
+
+    out = df.withColumn("__new", F.transform(tokens, one))
+    fuzzed = F.when(F.col(text).isNotNull(), detokenise(F.array_join(F.transform("__new", lambda x: x["t"]), " ")))
+    count = F.coalesce(F.aggregate("__new", F.lit(0), lambda a, x: a + x["n"]), F.lit(0))
+    return out.withColumn("fuzzed", fuzzed).withColumn("n_replaced", count).drop("__new")
+
+
+def _fuzz_by_join(df: DataFrame, text: str, row_id: str, level: float, seed: int, thesaurus: DataFrame, tokens: Column) -> DataFrame:
+    from evalweave.operators.skew import salted_join
+
+    rows = df.select(F.col(row_id).alias("__row"), F.posexplode(tokens).alias("__place", "__token"))
+    drawn = is_eligible(F.col("__token")) & (_drawn(F.col("__place"), F.col("__row"), seed) < level)
+    rows = rows.withColumn("__word", F.when(drawn, F.lower("__token")))
+    joined = salted_join(rows, thesaurus.select(F.col("word").alias("__word"), F.col("synonyms").alias("__synonyms")), "__word", "left")
+    joined = joined.withColumn("__new", _replacement(F.col("__token"), F.col("__synonyms"), F.col("__place"), F.col("__row"), seed))
     texts = joined.groupBy("__row").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__place", F.coalesce("__new", "__token").alias("t")))), lambda x: x["t"]), " ").alias("__text"), F.count("__new").cast("int").alias("n_replaced")
     )
@@ -185,6 +225,11 @@ def fuzz_synonyms(df: DataFrame, text: str, row_id: str, level: float, seed: int
     return out.withColumn("fuzzed", F.when(F.col(text).isNotNull(), detokenise(F.coalesce("__text", F.lit(""))))).withColumn("n_replaced", F.coalesce("n_replaced", F.lit(0))).drop("__text")
 
 
+def fuzz_totals(fuzzed: DataFrame, by: list[str] | tuple[str, ...]) -> DataFrame:
+    """Per ``by``, and in total (null): rows, replacements, and replacements a row."""
+    return fuzzed.rollup(*by).agg(F.count("*").alias("rows"), F.sum("n_replaced").alias("replacements"), F.round(F.avg("n_replaced"), 6).alias("mean_replacements"))
+
+
 #: Blocks of dead code, and the line that introduces them.
 DEAD_CODE = (
     "# [debug] temporary variable for edge-case logging\n_dbg_sentinel = None",

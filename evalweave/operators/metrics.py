@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 #: Fixed value: how a file name tells its condition.
 CONDITION = r"\.(iso_[a-z_]+|iso|synonym_[0-9]+|deadcode)\.jsonl$"
@@ -91,80 +95,117 @@ def bucket_deltas(shares: DataFrame, by: Sequence[str], condition_col: str, base
     return out.where("base_share > 0 or cond_share > 0").withColumn("delta", F.round(F.col("cond_share") - F.col("base_share"), 6))
 
 
-def diagnosis(deltas: DataFrame, by: Sequence[str]) -> DataFrame:
+def rate_changes(rates: DataFrame, by: Sequence[str], condition_col: str, base: str, rate: str) -> DataFrame:
+    """Change of a rate under each condition against ``base``: ``by``, condition, change; only where both have one."""
+    before = rates.where(F.col(condition_col) == base).select(*by, F.col(rate).alias("__base"))
+    return rates.where(F.col(condition_col) != base).join(before, list(by)).select(*by, condition_col, F.round(F.col(rate) - F.col("__base"), 6).alias("change"))
+
+
+def diagnosis(deltas: DataFrame, by: Sequence[str], rates: DataFrame) -> DataFrame:
     """What the changes of the buckets point to, per group, joined by semicolons.
 
     Interface: parse and format errors up by more than .10; inefficiency: timeouts by more than .05; algorithm: assertion
-    failures by more than .10; robust: the share of passes changes by less than .05.
+    failures by more than .10; robust: pass@k (``rates``: ``by``, change) changes by less than .05. Without a rate a group is
+    not robust.
     """
 
     def change(*names: str) -> Column:
         return F.sum(F.when(F.col("bucket").isin(*names), F.col("delta")).otherwise(0.0))
 
-    sums = deltas.groupBy(*by).agg(change("PARSE_ERROR", "OUTPUT_FORMAT_ERROR").alias("interface"), change("TIMEOUT").alias("timeouts"), change("ASSERTION_FAIL").alias("asserts"), change("PASS").alias("passes"))
-    return sums.select(*by, F.concat_ws("; ", F.when(F.col("interface") > 0.10, "interface"), F.when(F.col("timeouts") > 0.05, "inefficiency"), F.when(F.col("asserts") > 0.10, "algorithm"), F.when(F.abs("passes") < 0.05, "robust")).alias("diagnosis"))
+    sums = deltas.groupBy(*by).agg(change("PARSE_ERROR", "OUTPUT_FORMAT_ERROR").alias("interface"), change("TIMEOUT").alias("timeouts"), change("ASSERTION_FAIL").alias("asserts"))
+    marks = F.concat_ws("; ", F.when(F.col("interface") > 0.10, "interface"), F.when(F.col("timeouts") > 0.05, "inefficiency"), F.when(F.col("asserts") > 0.10, "algorithm"), F.when(F.abs("change") < 0.05, "robust"))
+    return sums.join(rates, list(by), "left").select(*by, marks.alias("diagnosis"))
 
 
 # ---- bootstrap
 
-def draw(replicate: Column, slot: Column, n: Column, seed: int = 42) -> Column:
-    """The index (from 0, below n) drawn at a replicate and slot: by hash, so the same in every engine and on every run."""
-    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), slot.cast("string"))), 1, 8), 16, 10).cast("bigint"), n).cast("int")
+#: A prime below 2^31: draws are taken modulo it.
+PRIME = 2147483647
+#: Pairs of one group that one call weighs; larger groups are dealt into several, whose sums are added.
+GROUP_PAIRS = 1 << 16
 
 
-def bootstrap_by_draws(pairs: DataFrame, by: Sequence[str], order: Sequence[str], replicates: int, alpha: float = 0.05) -> DataFrame:
-    """Paired resampling as relational plan: every group draws n of its n pairs, ``replicates`` times.
-
-    A draw needs only the hash above, so draws are made where they are used and nothing is broadcast. Shuffles hold one
-    row for each replicate and drawn pair, combined by count before they move. For groups of millions of pairs use
-    ``bootstrap_poisson``, which numbers nothing and moves one row a replicate.
-    """
-    numbered = pairs.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
-    slots = numbered.select(*by, F.col("i").alias("s"), "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    drawn = slots.select(*by, "b", "n", draw(F.col("b"), F.col("s"), F.col("n")).alias("i")).groupBy(*by, "b", "n", "i").agg(F.count("*").alias("times"))
-    joined = drawn.join(numbered.select(*by, "i", "base_score", "cond_score"), [*by, "i"])
-    diffs = joined.groupBy(*by, "b").agg((100 * F.sum(F.col("times") * F.col("cond_score")) / F.sum("times") - 100 * F.sum(F.col("times") * F.col("base_score")) / F.sum("times")).alias("diff"))
-    ci = diffs.groupBy(*by).agg(F.round(F.percentile("diff", F.lit(alpha / 2)), 6).alias("ci_lo"), F.round(F.percentile("diff", F.lit(1 - alpha / 2)), 6).alias("ci_hi"))
-    return _means(pairs, by).join(ci, list(by))
+def poisson_limits(most: int = 12) -> list[int]:
+    """Draws below the k-th limit stand for fewer than k + 1 events at a mean of one."""
+    total, term, out = 0.0, math.exp(-1), []
+    for k in range(most):
+        total += term
+        term /= k + 1
+        out.append(round(total * PRIME))
+    return out
 
 
-def _means(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-    return pairs.groupBy(*by).agg(F.count("*").alias("n_problems"), F.round(100 * F.avg("base_score"), 6).alias("orig"), F.round(100 * F.avg("cond_score"), 6).alias("cond"), F.round(100 * F.avg("cond_score") - 100 * F.avg("base_score"), 6).alias("diff"))
+def draw_line(*key: Column, seed: int = 42) -> tuple[Column, Column]:
+    """Step and start of a key's draws: at replicate r it draws (step r + start) mod ``PRIME``. The same in every engine."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in key)))
+    step, start = (F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint") for at in (1, 9))
+    return step % (PRIME - 1) + 1, start % PRIME
 
 
-def bootstrap_poisson(pairs: DataFrame, by: Sequence[str], replicates: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Paired resampling for groups of any size: Poisson(1) weights drawn by Arrow batch, summed by replicate.
+def bootstrap(pairs: DataFrame, by: Sequence[str], problem: Sequence[str], replicates: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """Paired resampling for groups of any size: n_problems, orig, cond, diff, ci_lo, ci_hi for each group.
 
-    No group is gathered anywhere: every batch gives its sums per group and replicate as arrays, which are added up. The
-    weights stand for drawing with replacement; the interval agrees with it as groups grow. Weights hang on seed and batch, so
-    a run repeats itself on the same partitions.
+    Each pair has Poisson(1) weights, one a replicate, which stand for drawing with replacement; the interval agrees with it as
+    groups grow. Weights hang on seed, problem and replicate alone, not on partitions or order: draws of different problems
+    are independent, and those of one problem are spread evenly over the replicates. Groups are dealt into shares of
+    ``GROUP_PAIRS``, each weighed as one matrix product; what moves on is three sums a replicate and share. Null group
+    keys are groups; an empty table gives an empty result.
     """
-    import hashlib
-
-    import numpy as np
-    import pandas as pd
-
-    schema = pairs.select(*by).schema.add("b", "integer").add("w", "double").add("wx", "double").add("wy", "double")
-
-    def run(batches):
-        for k, pdf in enumerate(batches):
-            for key, part in pdf.groupby(list(by), dropna=False):
-                x, y = part["base_score"].to_numpy(float), part["cond_score"].to_numpy(float)
-                rng = np.random.default_rng([seed, k, int.from_bytes(hashlib.md5(x.tobytes() + y.tobytes()).digest()[:4])])
-                sums = np.zeros((3, replicates))
-                for a in range(0, len(x), 256):
-                    w = rng.poisson(1.0, (len(x[a : a + 256]), replicates))
-                    sums += np.stack([w.sum(axis=0), x[a : a + 256] @ w, y[a : a + 256] @ w])
-                head = {c: [v] * replicates for c, v in zip(by, key if isinstance(key, tuple) else (key,))}
-                yield pd.DataFrame(head | {"b": range(replicates), "w": sums[0], "wx": sums[1], "wy": sums[2]})
-
-    sums = pairs.select(*by, "base_score", "cond_score").mapInPandas(run, schema).groupBy(*by, "b").agg(F.sum("w").alias("w"), F.sum("wx").alias("x"), F.sum("wy").alias("y")).where("w > 0")
+    means = pairs.groupBy(*by).agg(F.count("*").alias("n_problems"), *(F.round(100 * x, 6).alias(n) for n, x in (("orig", F.avg("base_score")), ("cond", F.avg("cond_score")), ("diff", F.avg("cond_score") - F.avg("base_score")))))
+    step, start = draw_line(*(F.col(c) for c in problem), seed=seed)
+    keyed = pairs.select(F.struct(*by).alias("group"), "base_score", "cond_score", step.alias("step"), start.alias("start"))
+    shares = keyed.join(means.select(F.struct(*by).alias("group"), F.ceil(F.col("n_problems") / GROUP_PAIRS).alias("of")), "group")
+    shares = shares.select(*(F.col(f"group.{c}").alias(c) for c in by), "base_score", "cond_score", "step", "start", F.pmod(F.xxhash64("step", "start"), F.col("of")).alias("share"))
+    limits = np.array(poisson_limits())
+    columns = list(by)
+
+    def weigh(pairs_: pa.Table) -> pa.Table:
+        step, start, base, cond = (pairs_.column(c).to_numpy() for c in ("step", "start", "base_score", "cond_score"))
+        sums = np.zeros((3, replicates))
+        values = np.stack([np.ones(len(step)), base, cond])
+        r = np.arange(replicates)
+        for a in range(0, len(step), 64):
+            draws = (step[a : a + 64, None] * r + start[a : a + 64, None]) % PRIME
+            weight = np.zeros(draws.shape)
+            for limit in limits:
+                over = draws >= limit
+                if not over.any():
+                    break
+                weight += over
+            sums += values[:, a : a + 64] @ weight
+        lists = {c: pa.ListArray.from_arrays(pa.array([0, replicates], pa.int32()), pa.array(x)) for c, x in zip("wxy", sums)}
+        return pa.table({c: pairs_.column(c).slice(0, 1) for c in columns} | lists)
+
+    schema = shares.select(*by).schema
+    for c in "wxy":
+        schema = schema.add(c, ArrayType(DoubleType()))
+    parts = shares.groupBy(*by, "share").applyInArrow(weigh, schema)
+    sums = parts.select(*by, F.posexplode(F.arrays_zip("w", "x", "y")).alias("b", "s"))
+    each = sums.groupBy(*by, "b").agg(F.sum("s.w").alias("w"), F.sum("s.x").alias("x"), F.sum("s.y").alias("y")).where("w > 0")
     diff = 100 * F.col("y") / F.col("w") - 100 * F.col("x") / F.col("w")
-    ci = sums.groupBy(*by).agg(F.percentile(diff, F.lit(alpha / 2)).alias("ci_lo"), F.percentile(diff, F.lit(1 - alpha / 2)).alias("ci_hi"))
-    return _means(pairs, by).join(ci, list(by))
+    ci = each.groupBy(*by).agg(F.round(F.percentile(diff, F.lit(alpha / 2)), 6).alias("ci_lo"), F.round(F.percentile(diff, F.lit(1 - alpha / 2)), 6).alias("ci_hi"))
+    joined = means.select(F.struct(*by).alias("group"), "n_problems", "orig", "cond", "diff").join(ci.select(F.struct(*by).alias("group"), "ci_lo", "ci_hi"), "group")
+    return joined.select(*(F.col(f"group.{c}").alias(c) for c in by), "n_problems", "orig", "cond", "diff", "ci_lo", "ci_hi")
 
 
 def with_significance(intervals: DataFrame) -> DataFrame:
     """Whether an interval leaves out zero, and the change relative to the base in percent."""
     relative = F.when(F.col("orig") > 0, F.round(100 * F.col("diff") / F.col("orig"), 6)).otherwise(0.0)
     return intervals.withColumn("significant", (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0)).withColumn("relative", relative)
+
+
+def grid(intervals: DataFrame, by: Sequence[str], condition_col: str, rates: DataFrame, rate: str) -> DataFrame:
+    """Every combination of the keys and conditions that occur, with its rate and, where there is one, its interval.
+
+    ``by`` and condition, rate, ci_lo, ci_hi, shown: the rate in percent with the interval of its change, ``-`` where the
+    grid has no result. The dimensions are the distinct values of each key, joined as a small product.
+    """
+    cells = None
+    for name in (*by, condition_col):
+        values = rates.select(name).where(F.col(name).isNotNull()).distinct().agg(F.sort_array(F.collect_list(name)).alias("v"))
+        cells = values.select(F.explode("v").alias(name)) if cells is None else cells.join(F.broadcast(values)).select(*cells.columns, F.explode("v").alias(name))
+    found = rates.select(*by, condition_col, F.round(100 * F.col(rate), 6).alias("rate"))
+    out = cells.join(found, [*by, condition_col], "left").join(intervals.select(*by, condition_col, "ci_lo", "ci_hi"), [*by, condition_col], "left")
+    number = F.format_string("%.1f", F.round("rate", 1))
+    interval = F.format_string(" [%+.1f, %+.1f]", F.round("ci_lo", 1), F.round("ci_hi", 1))
+    return out.withColumn("shown", F.when(F.col("rate").isNull(), "-").when(F.col("ci_lo").isNull(), number).otherwise(F.concat(number, interval)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions.code import split_assert
-from evalweave.functions.integers import Transform, append_contract, encode_only_contract, roundtrip_proof
+from evalweave.functions.integers import Transform, append_contract, encode_only_contract, exact, roundtrip_proof
 
 #: One shape for the tests of all datasets.
 TESTS = "array<struct<kind:string,input:string,output:string>>"
@@ -53,11 +53,28 @@ def map_tests(tests: Column, t: Transform, inputs: bool = True) -> Column:
     return F.transform(tests, lambda x: F.struct(x["kind"].alias("kind"), (t.forward(x["input"]) if inputs else x["input"]).alias("input"), t.forward(x["output"]).alias("output")))
 
 
-def rewrite_assert(test: Column, t: Transform) -> Column:
-    """An assert with arguments and expected value rewritten; other text stays."""
+def map_tests_exactly(tests: Column, t: Transform, inputs: bool = True) -> Column:
+    """The same by Python's integers, for tests with long runs of digits."""
+    ins = F.transform(tests, lambda x: x["input"])
+    both = F.arrays_zip(tests.alias("t"), (exact(ins, t) if inputs else ins).alias("i"), exact(F.transform(tests, lambda x: x["output"]), t).alias("o"))
+    return F.transform(both, lambda x: F.struct(x["t"]["kind"].alias("kind"), x["i"].alias("input"), x["o"].alias("output")))
+
+
+def rewrite_assert(test: Column, t: Transform, args: Column | None = None, expected: Column | None = None) -> Column:
+    """An assert with arguments and expected value rewritten; other text stays. ``args`` and ``expected``: these two as
+    rewritten by ``exact``, for asserts with long runs of digits."""
     a = split_assert(test)
-    call = F.when(a["function"] != "", F.concat(a["function"], F.lit("("), t.forward(a["args"]), F.lit(")"))).otherwise(a["call"])
-    return F.when((a["call"] != "") & (a["expected"] != ""), F.concat(F.lit("assert "), call, F.lit(" == "), t.forward(a["expected"]))).otherwise(test)
+    args, expected = t.forward(a["args"]) if args is None else args, t.forward(a["expected"]) if expected is None else expected
+    call = F.when(a["function"] != "", F.concat(a["function"], F.lit("("), args, F.lit(")"))).otherwise(a["call"])
+    return F.when((a["call"] != "") & (a["expected"] != ""), F.concat(F.lit("assert "), call, F.lit(" == "), expected)).otherwise(test)
+
+
+def rewrite_asserts(df: DataFrame, test: str, out: str, t: Transform) -> DataFrame:
+    """``df`` with ``out``: the assert ``test`` rewritten, exact for integers of any length."""
+    long = t.is_long(F.col(test))
+    a = split_assert(F.col(test))
+    rows = df.where(long).withColumn("__pair", exact(F.array(a["args"], a["expected"]), t))
+    return df.where(~long).withColumn(out, rewrite_assert(F.col(test), t)).unionByName(rows.withColumn(out, rewrite_assert(F.col(test), t, F.col("__pair")[0], F.col("__pair")[1])).drop("__pair"))
 
 
 def io_samples(tests: Column) -> Column:
@@ -83,13 +100,29 @@ def rewrite_dataset(df: DataFrame, adapter: Adapter, t: Transform, seed: int, mo
 
     ``mode``: ``iso`` encodes inputs and outputs; ``iso_enc_only`` outputs only; ``iso_dec_only`` encodes both and shows
     decoded examples. Rows whose tests have more than ``most_chars`` characters pass unchanged, with iso_applied false.
-    One narrow projection; no row is dropped.
+    Rows with integers too long for expressions take the exact way; all others are one narrow projection in the JVM. No row
+    is dropped; the proof is over what was done to the row.
     """
-    tests = adapter.tests()
-    rows = df.withColumn("__tests", tests)
-    size = F.aggregate(io_samples(F.col("__tests")), F.lit(0), lambda a, s: a + F.length(s))
+    rows = df.withColumn("__tests", adapter.tests())
+    long = F.exists(io_samples(F.col("__tests")), lambda s: t.is_long(s))
+    if not t.long_run:
+        return _rewritten(rows, df.columns, adapter, t, seed, mode, most_chars, False)
+    return _rewritten(rows.where(~long), df.columns, adapter, t, seed, mode, most_chars, False).unionByName(_rewritten(rows.where(long), df.columns, adapter, t, seed, mode, most_chars, True))
+
+
+def _rewritten(rows: DataFrame, columns: list[str], adapter: Adapter, t: Transform, seed: int, mode: str, most_chars: int | None, long: bool) -> DataFrame:
+    samples = io_samples(F.col("__tests"))
+    size = F.aggregate(samples, F.lit(0), lambda a, s: a + F.length(s))
     fits = F.lit(True) if most_chars is None else size <= most_chars
-    new = map_tests(F.col("__tests"), t, inputs=mode != "iso_enc_only")
+    if long:
+        rows = rows.withColumn("__new", map_tests_exactly(F.col("__tests"), t, mode != "iso_enc_only"))
+        rows = rows.withColumn("__forward", exact(F.slice(samples, 1, 10), t))
+        rows = rows.withColumn("__back", exact(F.col("__forward"), t, back=True))
+        proof = roundtrip_proof(samples, t, forward=F.col("__forward"), inverse=F.col("__back"))
+    else:
+        rows = rows.withColumn("__new", map_tests(F.col("__tests"), t, mode != "iso_enc_only"))
+        proof = roundtrip_proof(samples, t)
+    new = F.col("__new")
     contract = encode_only_contract(t) if mode == "iso_enc_only" else t.contract()
     prompt = append_contract(F.coalesce(F.col(adapter.prompt), F.lit("")), contract)
     if mode == "iso_dec_only":
@@ -97,14 +130,19 @@ def rewrite_dataset(df: DataFrame, adapter: Adapter, t: Transform, seed: int, mo
         prompt = F.concat(prompt, F.when(help_text != "", F.concat(F.lit("\n"), help_text)).otherwise(""))
     params = F.create_map(*(x for k, v in t.params.items() for x in (F.lit(k), F.lit(str(v))))) if t.params else F.create_map().cast("map<string,string>")
     return rows.select(
-        *df.columns,
+        *columns,
         F.when(fits, prompt).otherwise(F.col(adapter.prompt)).alias("prompt_with_contract"),
         F.when(fits, new).otherwise(F.col("__tests")).alias("tests_transformed"),
         fits.alias("iso_applied"), F.lit(t.name).alias("iso_family"), F.lit(seed).cast("bigint").alias("iso_seed"),
-        params.alias("iso_params"), F.lit(mode).alias("iso_variant"), roundtrip_proof(io_samples(F.col("__tests")), t).alias("iso_proof"),
+        params.alias("iso_params"), F.lit(mode).alias("iso_variant"), proof.alias("iso_proof"),
     )
 
 
+def only_rewritten(rows: DataFrame, original: bool = False) -> DataFrame:
+    """Rows whose rewriting was applied; of the ``original`` data set all rows, since the filter is none of it."""
+    return rows if original else rows.where(F.coalesce(F.col("iso_applied"), F.lit(False)))
+
+
 def rewrite_counters(rewritten: DataFrame, by: str) -> DataFrame:
     """Rows, rewritten ones, proven ones and oversized ones per ``by``, and in total (null)."""
     return rewritten.rollup(by).agg(F.count("*").alias("total"), F.count_if("iso_applied").alias("iso_applied"), F.count_if(F.col("iso_proof.roundtrip_ok")).alias("roundtrip_ok"), F.count_if(~F.col("iso_applied")).alias("skipped_large"))

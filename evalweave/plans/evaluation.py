@@ -83,25 +83,35 @@ def scores(spark, d):
     return problems(spark, d).select(*GROUP, "row_index", (F.col("c") / F.col("n")).alias("score"))
 
 
+def pairs(spark, d):
+    return M.paired(scores(spark, d), ("model", "dataset"), "condition", "original", "row_index", "score")
+
+
 def q06_bootstrap_ci(spark, d):
-    pairs = M.paired(scores(spark, d), ("model", "dataset"), "condition", "original", "row_index", "score")
-    return M.with_significance(M.bootstrap_by_draws(pairs, GROUP, ["row_index"], replicates=100))
+    return M.with_significance(M.bootstrap(pairs(spark, d), GROUP, ["row_index"]))
 
 
-def q06_bootstrap_poisson(spark, d):
-    pairs = M.paired(scores(spark, d), ("model", "dataset"), "condition", "original", "row_index", "score")
-    return M.with_significance(M.bootstrap_poisson(pairs, GROUP))
+def q06_interval_grid(spark, d):
+    """Rate of every model, data set and condition with the interval of its change, over the full grid."""
+    means = scores(spark, d).groupBy(*GROUP).agg(F.avg("score").alias("rate"))
+    return M.grid(M.bootstrap(pairs(spark, d), GROUP, ["row_index"]), ("dataset", "model"), "condition", means, "rate")
 
 
-_BOOT_SQL = f"""with {_runs_sql()}, {_PROBLEMS_SQL},
+_LIMITS = " + ".join(f"case when u >= {x} then 1 else 0 end" for x in M.poisson_limits() if x < M.PRIME)
+_PAIRS_SQL = f"""with {_runs_sql()}, {_PROBLEMS_SQL},
 scores as (select model, dataset, condition, row_index, cast(c as double) / n score from problems),
-pairs as (select a.model, a.dataset, a.condition, a.row_index, b.score bs, a.score cs from scores a join scores b on a.model = b.model and a.dataset = b.dataset and a.row_index = b.row_index and a.condition <> 'original' and b.condition = 'original'),
-num as (select *, row_number() over (partition by model, dataset, condition order by row_index) - 1 i, count(*) over (partition by model, dataset, condition) n from pairs),
-draws as (select model, dataset, condition, b, n, cast(('0x' || left(md5('42|' || b || '|' || i), 8)) as bigint) % n i from num cross join range(100) t(b)),
-diffs as (select d.model, d.dataset, d.condition, d.b, 100 * avg(cs) - 100 * avg(bs) diff from draws d join num p on d.model = p.model and d.dataset = p.dataset and d.condition = p.condition and d.i = p.i group by all),
+pairs as (select a.model, a.dataset, a.condition, a.row_index, b.score bs, a.score cs from scores a join scores b on a.model = b.model and a.dataset = b.dataset and a.row_index = b.row_index and a.condition <> 'original' and b.condition = 'original')"""
+_CI_SQL = f"""{_PAIRS_SQL},
+lines as (select *, cast(('0x' || substr(h, 1, 8)) as bigint) % {M.PRIME - 1} + 1 step, cast(('0x' || substr(h, 9, 8)) as bigint) % {M.PRIME} start from (select *, md5('42|' || row_index) h from pairs) x),
+weights as (select model, dataset, condition, b, bs, cs, {_LIMITS} w from (select *, (step * b + start) % {M.PRIME} u from lines cross join range(10000) t(b)) x),
+diffs as (select model, dataset, condition, b, 100 * sum(w * cs) / sum(w) - 100 * sum(w * bs) / sum(w) diff from weights group by all having sum(w) > 0),
 ci as (select model, dataset, condition, round(quantile_cont(diff, 0.025), 6) ci_lo, round(quantile_cont(diff, 0.975), 6) ci_hi from diffs group by all),
-mean as (select model, dataset, condition, count(*) n_problems, round(100 * avg(bs), 6) orig, round(100 * avg(cs), 6) cond, round(100 * avg(cs) - 100 * avg(bs), 6) diff from pairs group by all)
+mean as (select model, dataset, condition, count(*) n_problems, round(100 * avg(bs), 6) orig, round(100 * avg(cs), 6) cond, round(100 * (avg(cs) - avg(bs)), 6) diff from pairs group by all)"""
+_BOOT_SQL = f"""{_CI_SQL}
 select model, dataset, condition, n_problems, orig, cond, diff, ci_lo, ci_hi, ci_lo > 0 or ci_hi < 0 significant, case when orig > 0 then round(100 * diff / orig, 6) else 0.0 end relative from mean join ci using (model, dataset, condition)"""
+_GRID_SQL = f"""{_CI_SQL}, rates as (select model, dataset, condition, round(100 * avg(score), 6) rate from scores group by all)
+select dataset, model, condition, rate, ci_lo, ci_hi, case when rate is null then '-' when ci_lo is null then printf('%.1f', round(rate, 1)) else printf('%.1f', round(rate, 1)) || ' [' || printf('%+.1f', round(ci_lo, 1)) || ', ' || printf('%+.1f', round(ci_hi, 1)) || ']' end shown
+from (select distinct dataset from scores) a cross join (select distinct model from scores) b cross join (select distinct condition from scores) c left join rates using (dataset, model, condition) left join ci using (dataset, model, condition)"""
 
 
 def buckets(spark, d):
@@ -118,7 +128,8 @@ def q08_bucket_deltas(spark, d):
 
 
 def q08_diagnosis(spark, d):
-    return M.diagnosis(q08_bucket_deltas(spark, d), GROUP)
+    changes = M.rate_changes(q04_first_and_any(spark, d), ("model", "dataset"), "condition", "original", "pass_any")
+    return M.diagnosis(q08_bucket_deltas(spark, d), GROUP, changes)
 
 
 def _has(*parts):
@@ -187,23 +198,55 @@ def q38_match_score(spark, d):
     return rows.select("generation_id", F.round(T.match_score(F.col("generated_solution"), F.col("generated_solution_clean")), 6).alias("score"))
 
 
+_FIELDS = ("generated_solution", "generated_solution_clean", "code")
+
+
+def q38_expected_match(spark, d):
+    """How far each answer to a problem with a known solution runs along with it."""
+    known = table(spark, d, "bigobench").select(F.col("solution_no").alias("row_index"), "solution_code")
+    rows = table(spark, d, "generations").where("dataset = 'bigobench'").select("generation_id", "row_index", "generated_solution")
+    return rows.join(known, "row_index", "left").select("generation_id", F.round(T.match_score(F.col("generated_solution"), F.col("solution_code")), 6).alias("score"))
+
+
+def q39_code(spark, d):
+    """The program of each answer: the first of three fields that holds one."""
+    return table(spark, d, "generations").select("generation_id", F.md5(C.first_code(*map(F.col, _FIELDS))).alias("code_md5"))
+
+
 def q39_opcode_divergence(spark, d):
     """Mean divergence of the operations of a problem's solutions, per problem and condition (two solutions at least)."""
     from evalweave.operators import divergence as V
 
-    gens = spread(table(spark, d, "generations").where("generated_solution is not null").select("generation_id", "problem_id", M.condition(F.col("source_file")).alias("condition"), "generated_solution"))
-    marked = gens.withColumn("m", C.inject_marker("generated_solution"))
-    ops = materialize(marked.select("generation_id", "problem_id", "condition", C.opcodes("m.code_with_marker", "m.core_start_line").alias("ops")))  # read twice below
+    code = C.first_code(*map(F.col, _FIELDS)).alias("program")
+    gens = spread(table(spark, d, "generations").select("generation_id", "problem_id", M.condition(F.col("source_file")).alias("condition"), code).where(F.length("program") > 0))
+    ops = materialize(gens.select("generation_id", "problem_id", "condition", C.operations("program").alias("ops")))  # read twice below
     shares = V.histograms_from_maps(ops, ("problem_id", "condition"), "generation_id", "ops")
     centers = V.centroids(shares, ("problem_id", "condition"), "generation_id", 2)
     return V.mean_divergence(shares, centers, ("problem_id", "condition"), "generation_id")
 
 
 def q40_ast_valid(spark, d):
-    rows = spread(table(spark, d, "generations").select("dataset", "code")).select("dataset", C.syntax_error("code").alias("error"))
+    rows = spread(table(spark, d, "generations").select("dataset", C.first_code(*map(F.col, _FIELDS)).alias("program"))).select("dataset", C.syntax_error("program").alias("error"))
     return rows.groupBy("dataset", F.coalesce("error", F.lit("valid")).alias("outcome")).agg(F.count("*").alias("rows"))
 
 
+def q47_only_rewritten(spark, d):
+    """Answers to rewritten problems of which the rewriting was applied, per data set and family."""
+    from evalweave.operators.rewriting import only_rewritten
+
+    return only_rewritten(table(spark, d, "generations")).groupBy("dataset", "iso_family").agg(F.count("*").alias("rows"))
+
+
+def q08_ordered_report(spark, d):
+    """Failure shares in report order: groups by name, buckets in their fixed order, with their place."""
+    from pyspark.sql import Window
+
+    from evalweave.plans.pipelines import bucket_position
+
+    rows = q07_failure_buckets(spark, d).withColumn("at", bucket_position(F.col("bucket")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*GROUP).orderBy("at"))).select(*GROUP, "place", "bucket", "share").orderBy(*GROUP, "place")
+
+
 def q41_window_rates(spark, d):
     from evalweave.streaming.results import windowed_rates
 
@@ -235,7 +278,7 @@ QUERIES = {
     "q01_pass_at_k": q01_pass_at_k,
     "q02_dedupe_last": _policy_counts("last"), "q03_dedupe_first": _policy_counts("first"), "q03_dedupe_none": _policy_counts("none"),
     "q04_first_and_any": q04_first_and_any, "q05_error_rates": q05_error_rates,
-    "q06_bootstrap_ci": q06_bootstrap_ci, "q06_bootstrap_poisson": q06_bootstrap_poisson,
+    "q06_bootstrap_ci": q06_bootstrap_ci, "q06_interval_grid": q06_interval_grid, "q08_ordered_report": q08_ordered_report, "q38_expected_match": q38_expected_match, "q39_code": q39_code, "q47_only_rewritten": q47_only_rewritten,
     "q07_failure_buckets": q07_failure_buckets, "q08_bucket_deltas": q08_bucket_deltas, "q08_diagnosis": q08_diagnosis,
     "q25_pending_tasks": q25_pending_tasks, "q26_passed_generations": q26_passed_generations, "q27_lookup": q27_lookup,
     "q29_rollup": q29_rollup, "q34_code_fence": q34_code_fence, "q36_setops": q36_setops, "q38_match_score": q38_match_score,
@@ -253,9 +296,17 @@ round(avg(case when error_message is null then case when generated_solution is n
     "q06_bootstrap_ci": _BOOT_SQL,
     "q07_failure_buckets": f"{_BUCKET_SQL} select * from shares",
     "q08_bucket_deltas": f"{_DELTAS_SQL} select * from d2",
+    "q06_interval_grid": _GRID_SQL,
+    "q08_ordered_report": f"""{_BUCKET_SQL} select model, dataset, condition, cast(row_number() over (partition by model, dataset, condition order by list_position({list(C.BUCKETS)}, bucket)) as integer) place, bucket, share from shares order by 1, 2, 3, 4""",
     "q08_diagnosis": f"""{_DELTAS_SQL}, s as (select model, dataset, condition, sum(case when bucket in ('PARSE_ERROR', 'OUTPUT_FORMAT_ERROR') then delta else 0 end) i, sum(case when bucket = 'TIMEOUT' then delta else 0 end) t,
- sum(case when bucket = 'ASSERTION_FAIL' then delta else 0 end) a, sum(case when bucket = 'PASS' then delta else 0 end) p from d2 group by all)
-select model, dataset, condition, concat_ws('; ', case when i > 0.10 then 'interface' end, case when t > 0.05 then 'inefficiency' end, case when a > 0.10 then 'algorithm' end, case when abs(p) < 0.05 then 'robust' end) diagnosis from s""",
+ sum(case when bucket = 'ASSERTION_FAIL' then delta else 0 end) a from d2 group by all),
+e as (select model, dataset, condition, row_index, max(case when pass then 1 else 0 end) a from runs group by all), k as (select model, dataset, condition, round(avg(a), 6) r from e group by all),
+ch as (select x.model, x.dataset, x.condition, round(x.r - y.r, 6) ch from k x join k y on x.model = y.model and x.dataset = y.dataset and y.condition = 'original' and x.condition <> 'original')
+select model, dataset, condition, concat_ws('; ', case when i > 0.10 then 'interface' end, case when t > 0.05 then 'inefficiency' end, case when a > 0.10 then 'algorithm' end, case when abs(ch) < 0.05 then 'robust' end) diagnosis from s left join ch using (model, dataset, condition)""",
+    "q38_expected_match": f"""with s as (select generation_id, lower({_STRIP.format("coalesce(generated_solution, '')")}) g, lower({_STRIP.format("coalesce(solution_code, '')")}) w from generations left join bigobench on solution_no = row_index where dataset = 'bigobench')
+select generation_id, case when w = '' then 0.0 else round(coalesce(list_min(list_filter(range(1, least(length(g), length(w)) + 1), lambda i: substr(g, i, 1) <> substr(w, i, 1))) - 1, least(length(g), length(w))) / length(w), 6) end score from s""",
+    "q39_code": "select generation_id, md5(coalesce(nullif(generated_solution, ''), nullif(generated_solution_clean, ''), code, '')) code_md5 from generations",
+    "q47_only_rewritten": "select dataset, iso_family, count(*) \"rows\" from generations where iso_applied group by 1, 2",
     "q25_pending_tasks": """with t as (select id problem_id, cast(i as integer) completion_index from effibench cross join range(5) r(i)),
 done as (select distinct problem_id, coalesce(completion_index, 0) completion_index from generations where dataset = 'effibench' and error_message is null)
 select completion_index, count(*) pending from t where not exists (select 1 from done where done.problem_id = t.problem_id and done.completion_index = t.completion_index) group by 1""",

@@ -92,7 +92,8 @@ def probe(texts: DataFrame, by: Sequence[str], row_id: str, text: str, provider:
     """
     tried = P.hash_sample(texts.where(F.length(F.trim(text)) > 0), text, 10 * n_samples, seed, by)
     base = score(tried.select(*by, row_id, text), text, None, provider).select(*by, row_id, P.mean_logprob(F.col("logprobs.logprob"), ignored).alias("base_mean"))
-    shown = P.contexts(tried, by, row_id, text, k, seeds, seed).groupBy(*by, row_id, "seed").agg(F.array_sort(F.collect_list(F.struct("place", "context"))).alias("cs"))
+    chosen = P.with_context_text(P.contexts(tried, by, row_id, text, k, seeds, seed), tried, row_id, text)
+    shown = chosen.groupBy(*by, row_id, "seed").agg(F.array_sort(F.collect_list(F.struct("place", "context"))).alias("cs"))
     full = tried.join(shown, [*by, row_id]).select(*by, row_id, "seed", text, context_text(F.transform("cs", lambda x: x["context"]), F.col(text)).alias("full"))
     icl = score(full, "full", text, provider).select(*by, row_id, "seed", P.mean_logprob(F.col("logprobs.logprob"), ignored).alias("icl_mean"))
     found = P.shifts(icl.join(base, [*by, row_id]).where("icl_mean is not null and base_mean is not null"), by, row_id)

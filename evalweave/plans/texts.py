@@ -10,9 +10,11 @@ from evalweave.functions import dimensions as D
 from evalweave.functions import integers as I
 from evalweave.functions import text as T
 from evalweave.operators import divergence as V
+from evalweave.operators import metrics as M
 from evalweave.operators import probe as P
 from evalweave.operators import profile as R
 from evalweave.operators import rewriting as W
+from evalweave.operators.skew import salted_join
 from evalweave.plans import evaluation
 from evalweave.session import spread, table
 from evalweave.sources import corpora
@@ -33,19 +35,21 @@ def _transformed(name: str, params: dict, back: bool = False):
 def q10_roundtrip(spark, d):
     """Rewriting of all effibench tests by the affine transform, with proof: counters per file and in total."""
     t = I.transform("affine_int", 42)
-    rows = W.rewrite_dataset(spread(table(spark, d, "effibench")), W.ADAPTERS["effibench"], t, 42, most_chars=100_000)
+    rows = W.rewrite_dataset(spread(table(spark, d, "effibench")), W.ADAPTERS["effibench"], t, 42)
     return W.rewrite_counters(rows, "_src_file")
 
 
-def q10_rewritten_tests(spark, d):
-    """The encoded tests of all bigobench rows, one row a test."""
-    t = I.transform("affine_int", params=AFFINE)
-    rows = W.rewrite_dataset(table(spark, d, "bigobench"), W.ADAPTERS["bigobench"], t, 0)
-    return rows.select("solution_no", F.posexplode("tests_transformed").alias("place", "t")).select("solution_no", "place", "t.kind", "t.input", "t.output")
+def _rewritten_tests(name: str, params: dict):
+    def query(spark, d) -> DataFrame:
+        """The encoded tests of all bigobench rows, one row a test."""
+        rows = W.rewrite_dataset(table(spark, d, "bigobench"), W.ADAPTERS["bigobench"], I.transform(name, params=params), 0)
+        return rows.select("solution_no", F.posexplode("tests_transformed").alias("place", "t")).select("solution_no", "place", "t.kind", "t.input", "t.output")
 
+    return query
 
-def q11_enc_only_prompts(spark, d):
-    """Prompts with contract and worked examples, by mode, as lengths."""
+
+def q11_contract_modes(spark, d):
+    """Prompts with contract and worked examples, by mode: how many hold which part."""
     t = I.transform("affine_int", 42)
     out = None
     for mode in ("iso", "iso_enc_only", "iso_dec_only"):
@@ -55,6 +59,12 @@ def q11_enc_only_prompts(spark, d):
     return out
 
 
+def q11_contract_prompts(spark, d):
+    """Prompts of all effibench problems with the contract appended."""
+    t = I.transform("affine_int", params=AFFINE)
+    return table(spark, d, "effibench").select("_idx", F.md5(I.append_contract(F.coalesce("prompt", F.lit("")), t.contract())).alias("prompt_md5"))
+
+
 def q14_char_chunks(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(T.char_chunks(F.col("text"))).alias("chunk", "text"))
 
@@ -72,51 +82,85 @@ def q17_hash_sample(spark, d):
     return P.hash_sample(rows, "text", 50, 7).select("doc_id")
 
 
+#: Words whose counts stand for the operations of a program where SQL has to count them too.
+KEYWORDS = "def|return|for|while|if|elif|else|in|and|or|not|import|from|class|lambda|try|except|with|yield|print|range|len"
+
+
+def _keywords(spark, d) -> DataFrame:
+    words = F.explode(F.regexp_extract_all("generated_solution", F.lit(rf"\b({KEYWORDS})\b"), F.lit(1))).alias("op")
+    return table(spark, d, "generations").where("problem_id is not null").select("problem_id", "generation_id", (M.condition(F.col("source_file")) == "original").alias("original"), words)
+
+
 def q18_jsd_centroid(spark, d):
-    rows = table(spark, d, "events").select((F.col("user_id") % 10).alias("problem_id"), "user_id", "event_type")
-    shares = V.histograms(rows, ("problem_id",), "user_id", "event_type")
-    return V.mean_divergence(shares, V.centroids(shares, ("problem_id",), "user_id"), ("problem_id",), "user_id").drop("vocabulary")
+    """Divergence of the keywords of a problem's answers from their centroid."""
+    shares = V.histograms(_keywords(spark, d), ("problem_id",), "generation_id", "op")
+    return V.mean_divergence(shares, V.centroids(shares, ("problem_id",), "generation_id"), ("problem_id",), "generation_id")
 
 
 def q19_cross_condition(spark, d):
-    rows = table(spark, d, "events").select((F.col("user_id") % 10).alias("problem_id"), "user_id", "event_type", (F.hour("ts") < 12).alias("early"))
+    """Distance of the keyword centroids of original and changed conditions, per problem."""
     sides = []
-    for early in (True, False):
-        shares = V.histograms(rows.where(F.col("early") == early), ("problem_id",), "user_id", "event_type")
-        sides.append(V.centroids(shares, ("problem_id",), "user_id"))
+    for original in (True, False):
+        shares = V.histograms(_keywords(spark, d).where(F.col("original") == original), ("problem_id",), "generation_id", "op")
+        sides.append(V.centroids(shares, ("problem_id",), "generation_id"))
     return V.cross_divergence(sides[0], sides[1], ("problem_id",))
 
 
+def _seen_scores(spark, d) -> DataFrame:
+    """Scores of problems as they were published (seen) and as rewritten (unseen)."""
+    return evaluation.scores(spark, d).withColumn("seen", F.col("condition") == "original")
+
+
 def q20_auc(spark, d):
-    rows = table(spark, d, "customer").where("c_mktsegment in ('FURNITURE', 'BUILDING')")
-    return P.auc(rows.withColumn("seen", F.col("c_mktsegment") == "FURNITURE"), ("c_nationkey",), "c_acctbal", "seen")
+    return P.auc(_seen_scores(spark, d), ("model", "dataset"), "score", "seen")
 
 
 def q21_separation(spark, d):
-    rows = table(spark, d, "customer").where("c_mktsegment in ('FURNITURE', 'BUILDING')")
-    return P.separation(rows.withColumn("seen", F.col("c_mktsegment") == "FURNITURE"), ("c_nationkey",), "c_acctbal", "seen")
+    return P.separation(_seen_scores(spark, d), ("model", "dataset"), "score", "seen")
+
+
+def q22_box_summary(spark, d):
+    """What a box plot of seen and unseen scores shows, per model."""
+    return P.box_summary(_seen_scores(spark, d), ("model", "seen"), "score")
 
 
 def _probe(spark, d):
     docs = table(spark, d, "documents").where("length(text) > 0").select("source", "doc_id", "text")
-    ctx = P.contexts(docs, ("source",), "doc_id", "text", 3, 1, 42)
-    return docs, ctx
+    return docs, P.contexts(docs, ("source",), "doc_id", "text", 3, 1, 42)
 
 
 def q23_contexts(spark, d):
-    _, ctx = _probe(spark, d)
-    return ctx.select("source", "doc_id", "seed", "place", F.md5("context").alias("context_md5"))
+    docs, chosen = _probe(spark, d)
+    return P.with_context_text(chosen, docs, "doc_id", "text").select("source", "doc_id", "seed", "place", F.md5("context").alias("context_md5"))
 
 
 def q23_contamination(spark, d):
-    docs, ctx = _probe(spark, d)
-    scores = P.unigram_scores(docs, ("source",), "doc_id", "text", ctx)
+    docs, chosen = _probe(spark, d)
+    scores = P.unigram_scores(docs, ("source",), "doc_id", "text", chosen)
+    return P.contamination(P.shifts(scores, ("source",), "doc_id"), ("source",))
+
+
+def q23_contamination_seeds(spark, d):
+    """The same with the mean shift of three seeds."""
+    docs = table(spark, d, "documents").where("length(text) > 0").select("source", "doc_id", "text")
+    scores = P.unigram_scores(docs, ("source",), "doc_id", "text", P.contexts(docs, ("source",), "doc_id", "text", 3, 3, 42))
     return P.contamination(P.shifts(scores, ("source",), "doc_id"), ("source",))
 
 
 def q24_cumulative_diff(spark, d):
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("p"))
-    return P.cumulative_difference(rows.select("l_orderkey", "l_linenumber", F.col("q").alias("v")), rows.select("l_orderkey", "l_linenumber", (F.col("p") / 1000).alias("v")), ("l_orderkey",), "l_linenumber", "v")
+    """Running change of the scores along the problems, per model, data set and condition."""
+    rows = evaluation.pairs(spark, d)
+    by = ("model", "dataset", "condition")
+    return P.cumulative_difference(rows.select(*by, "row_index", F.col("base_score").alias("v")), rows.select(*by, "row_index", F.col("cond_score").alias("v")), by, "row_index", "v")
+
+
+def q24_token_differences(spark, d):
+    """Token differences of all documents under stand-in log-probabilities: by the length of a word, and of it and the next."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", words.alias("w"))
+    base = F.transform("w", lambda t: F.struct(t.alias("token"), (-F.length(t) / F.lit(10.0)).alias("logprob")))
+    icl = F.transform("w", lambda t: F.struct(t.alias("token"), (-(F.length(t) % 7) / F.lit(10.0)).alias("logprob")))
+    return P.token_differences(rows.select("doc_id", base.alias("a"), icl.alias("b")), ("doc_id",), "a", "b").groupBy("doc_id").agg(F.count("*").alias("tokens"), F.round(F.max("cumulative"), 4).alias("highest"), F.round(F.sum("diff"), 4).alias("total"))
 
 
 def q28_schema_profile(spark, d):
@@ -138,10 +182,17 @@ def q28_lines(spark, d):
     return line_account(table(spark, d, "raw_records").select("run_id", F.coalesce("raw", F.lit("")).alias("raw")), "raw", "run_id")
 
 
-def q30_synonym_fuzz(spark, d):
+def _fuzzed(spark, d) -> DataFrame:
     words = spark.createDataFrame(sorted(T.THESAURUS.items()), "word string, synonyms array<string>")
-    rows = table(spark, d, "effibench").select("_idx", "prompt")
-    return T.fuzz_synonyms(rows, "prompt", "_idx", 0.4, 42, words).select("_idx", "fuzzed", "n_replaced")
+    return T.fuzz_synonyms(table(spark, d, "effibench").select("_idx", "_src_file", "prompt"), "prompt", "_idx", 0.4, 42, words)
+
+
+def q30_synonym_fuzz(spark, d):
+    return _fuzzed(spark, d).select("_idx", "fuzzed", "n_replaced")
+
+
+def q30_fuzz_totals(spark, d):
+    return T.fuzz_totals(_fuzzed(spark, d), ["_src_file"])
 
 
 def q31_detokenise(spark, d):
@@ -153,14 +204,15 @@ def q32_dead_code(spark, d):
 
 
 def q33_prompt_fallback(spark, d):
-    rows = table(spark, d, "effibench").select("_idx", C.prompt_with_fallback(F.col("starter_code_python3"), F.col("prompt"), F.col("title")).alias("p"))
+    """Where the prompt of each answer comes from: a clean answer, else the older field, else none."""
+    rows = table(spark, d, "generations").select(C.prompt_with_fallback(F.col("generated_solution_clean"), F.col("code")).alias("p"))
     return rows.groupBy("p.source").agg(F.count("*").alias("rows"), F.sum(F.length("p.prompt")).alias("chars"))
 
 
 def q35_date_cutoff(spark, d):
-    rows = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("contest_date"), F.lit("probe-1").alias("model"))
-    day = F.try_to_date(F.substring_index("contest_date", "T", 1))
-    return rows.where(day > F.lit("1997-01-01").cast("date")).groupBy(F.year(day).alias("year")).agg(F.count("*").alias("rows"))
+    """Documents collected after the training cut-off of a model, per source and year."""
+    rows = corpora.later_than(table(spark, d, "documents"), "collected_at", "2026-06-30")
+    return rows.groupBy("source", F.year("collected_at").alias("year")).agg(F.count("*").alias("rows"))
 
 
 def q37_natural_language(spark, d):
@@ -189,12 +241,18 @@ def q44_asserts(spark, d):
 
 
 def q46_submissions(spark, d):
-    rows = table(spark, d, "effibench").select("_idx", F.md5(C.compose_submission(F.lit("    return 0\n"), F.col("starter_code_python3"), F.coalesce("test_runner_python3", F.lit("")))).alias("script_md5"))
-    return rows
+    """The script of every answer to an effibench problem, composed from starter, answer and runner."""
+    problems = table(spark, d, "effibench").select(F.col("id").alias("problem_id"), "starter_code_python3", "test_runner_python3")
+    rows = table(spark, d, "generations").where("dataset = 'effibench'").select("generation_id", "problem_id", F.coalesce("generated_solution", F.lit("")).alias("answer"))
+    script = C.compose_submission(F.col("answer"), F.col("starter_code_python3"), F.coalesce("test_runner_python3", F.lit("")))
+    return salted_join(rows, problems, "problem_id").select("generation_id", F.md5(script).alias("script_md5"))
 
 
 def q46_scripts(spark, d):
-    return table(spark, d, "mbpp").select("task_id", C.compose_script(F.lit("def f():\n    pass"), F.col("test_imports"), F.col("test_list")).alias("script"))
+    """The script of every answer to an mbpp problem."""
+    problems = table(spark, d, "mbpp").select(F.concat(F.lit("mbpp_"), F.col("task_id").cast("string")).alias("problem_id"), "test_imports", "test_list")
+    rows = table(spark, d, "generations").where("dataset = 'mbpp'").select("generation_id", "problem_id", F.coalesce("generated_solution", F.lit("")).alias("answer"))
+    return salted_join(rows, problems, "problem_id").select("generation_id", F.md5(C.compose_script(F.col("answer"), F.col("test_imports"), F.col("test_list"))).alias("script_md5"))
 
 
 def q47_corpus_chunks(spark, d):
@@ -203,8 +261,8 @@ def q47_corpus_chunks(spark, d):
 
 
 def q50_mean_logprob(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    return rows.select("vec_id", F.round(P.mean_logprob(F.col("e"), 10), 6).alias("mean"))
+    rows = table(spark, d, "bigobench")
+    return rows.select("solution_no", F.round(P.mean_logprob(F.col("problem_time_curve_coefficient_list"), 1), 6).alias("mean"))
 
 
 def q51_alignment(spark, d):
@@ -239,10 +297,17 @@ _HEXIN = "case when " + _INT + " < 0 then '-' else '' end || cast(list_reduce(li
 _STRIP = "regexp_replace({0}, '^[ \\t\\n\\r\\f\\x0b]+|[ \\t\\n\\r\\f\\x0b]+$', '', 'g')"
 _NORM = "regexp_replace(" + _STRIP + ", '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')"
 _NL = "length(text) >= 100 and (" + " or ".join("contains(text, {})".format({". ": "'. '", "? ": "'? '", "! ": "'! '", "\n\n": "chr(10) || chr(10)"}[m]) for m in T.SENTENCE_MARKS) + " or " + " + ".join(f"cast(contains(lower(text), '{w}') as integer)" for w in T.PROMPT_WORDS) + " >= 2)"
-_AUC_SRC = "select *, c_mktsegment = 'FURNITURE' seen from customer where c_mktsegment in ('FURNITURE', 'BUILDING')"
-_RING = """docs as (select source, doc_id, text from documents where length(text) > 0), t as (select distinct source, text from docs where regexp_matches(text, '[^ \\t\\n\\r\\f\\x0b]')),
-ring as (select *, row_number() over (partition by source order by md5('42|0|' || text), text) - 1 i, count(*) over (partition by source) n from t),
-ctx as (select d.source, d.doc_id, 0 seed, j place, b.text context from docs d join ring a on d.source is not distinct from a.source and d.text = a.text cross join range(3) p(j) join ring b on b.source is not distinct from a.source and b.i = (a.i + j + 1) % a.n and j + 1 < a.n where d.source is not null)"""
+_KEYWORDS_SQL = f"e as (select problem_id, sol, early, unnest(w) op from (select problem_id, generation_id sol, {evaluation._CONDITION.format('source_file')} = 'original' early, regexp_extract_all(generated_solution, '\\b({KEYWORDS})\\b', 1) w from generations where problem_id is not null) x)"
+_SEEN_SQL = f"with {evaluation._runs_sql()}, {evaluation._PROBLEMS_SQL}, s as (select model, dataset, cast(c as double) / n score, condition = 'original' seen from problems)"
+
+
+def _ring(seeds: int) -> str:
+    return f"""docs as (select source, doc_id, text from documents where length(text) > 0), t as (select distinct source, seed, text, md5('42|' || seed || '|' || text) h from docs cross join range({seeds}) z(seed) where regexp_matches(text, '[^ \\t\\n\\r\\f\\x0b]')),
+ring as (select *, row_number() over (partition by source, seed order by h) - 1 i, count(*) over (partition by source, seed) n from t),
+ctx as (select d.source, d.doc_id, a.seed, j place, b.text context from docs d join ring a on d.source is not distinct from a.source and d.text = a.text cross join range(3) p(j) join ring b on b.source is not distinct from a.source and b.seed = a.seed and b.i = (a.i + j + 1) % a.n and j + 1 < a.n)"""
+
+
+_RING = _ring(1)
 _WORDS = "regexp_extract_all(lower({0}), '[a-z0-9_]+')"
 
 
@@ -252,15 +317,17 @@ def _q(text: str) -> str:
 
 QUERIES = {
     "q09_affine": _transformed("affine_int", AFFINE), "q09_affine_inverse": _transformed("affine_int", AFFINE, True),
-    "q10_roundtrip": q10_roundtrip, "q10_rewritten_tests": q10_rewritten_tests, "q11_contract_modes": q11_enc_only_prompts,
+    "q10_roundtrip": q10_roundtrip, "q10_rewritten_tests": _rewritten_tests("affine_int", AFFINE), "q10_rewritten_cubic": _rewritten_tests("cubic_int", {"c": 31}), "q10_rewritten_base": _rewritten_tests("basek_int", {"base": 16}),
+    "q11_contract_modes": q11_contract_modes, "q11_contract_prompts": q11_contract_prompts,
     "q11_cubic": _transformed("cubic_int", {"c": 31}), "q11_cubic_inverse": _transformed("cubic_int", {"c": 31}, True),
     "q12_base_digits": _transformed("basek_int", {"base": 16}), "q12_base_digits_inverse": _transformed("basek_int", {"base": 16}, True),
-    "q13_delimiter": _transformed("delimiter_rewrite", {"style": 1}), "q13_delimiter_lines": _transformed("delimiter_rewrite", {"style": 2}),
+    "q13_delimiter": _transformed("delimiter_rewrite", {"style": 1}), "q13_delimiter_lines": _transformed("delimiter_rewrite", {"style": 2}), "q13_delimiter_commas": _transformed("delimiter_rewrite", {"style": 0}),
+    "q13_delimiter_inverse": _transformed("delimiter_rewrite", {"style": 1}, True), "q13_delimiter_lines_inverse": _transformed("delimiter_rewrite", {"style": 2}, True), "q13_delimiter_commas_inverse": _transformed("delimiter_rewrite", {"style": 0}, True),
     "q14_char_chunks": q14_char_chunks, "q15_word_chunks": q15_word_chunks, "q16_html_text": q16_html_text, "q17_hash_sample": q17_hash_sample,
-    "q18_jsd_centroid": q18_jsd_centroid, "q19_cross_condition": q19_cross_condition, "q20_auc": q20_auc, "q21_separation": q21_separation,
-    "q23_contexts": q23_contexts, "q23_contamination": q23_contamination, "q24_cumulative_diff": q24_cumulative_diff,
+    "q18_jsd_centroid": q18_jsd_centroid, "q19_cross_condition": q19_cross_condition, "q20_auc": q20_auc, "q21_separation": q21_separation, "q22_box_summary": q22_box_summary,
+    "q23_contexts": q23_contexts, "q23_contamination": q23_contamination, "q23_contamination_seeds": q23_contamination_seeds, "q24_cumulative_diff": q24_cumulative_diff, "q24_token_differences": q24_token_differences,
     "q28_schema_profile": q28_schema_profile, "q28_samples": q28_samples, "q28_candidates": q28_candidates, "q28_lines": q28_lines,
-    "q30_synonym_fuzz": q30_synonym_fuzz, "q31_detokenise": q31_detokenise, "q32_dead_code": q32_dead_code, "q33_prompt_fallback": q33_prompt_fallback,
+    "q30_synonym_fuzz": q30_synonym_fuzz, "q30_fuzz_totals": q30_fuzz_totals, "q31_detokenise": q31_detokenise, "q32_dead_code": q32_dead_code, "q33_prompt_fallback": q33_prompt_fallback,
     "q35_date_cutoff": q35_date_cutoff, "q37_natural_language": q37_natural_language, "q42_prompts": q42_prompts, "q42_mbpp_prompts": q42_mbpp_prompts,
     "q43_problem_ids": q43_problem_ids, "q44_asserts": q44_asserts, "q46_submissions": q46_submissions, "q46_scripts": q46_scripts,
     "q47_corpus_chunks": q47_corpus_chunks, "q50_mean_logprob": q50_mean_logprob, "q51_alignment": q51_alignment, "q52_catalogue": q52_catalogue,
@@ -280,40 +347,46 @@ SQL = {
     "q15_word_chunks": """select doc_id, cast(i as integer) chunk, array_to_string(w[i * 100 + 1:i * 100 + 100], ' ') "text" from (select doc_id, w, unnest(range(0, len(w) // 100)) i from (select doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0b]+'), lambda w: w <> '') w from documents where text is not null) x) y""",
     "q16_html_text": f"""select _idx, {_NORM.format("coalesce(regexp_replace(prompt, '<[^>]+>', ' ', 'g'), '')")} "text" from effibench""",
     "q17_hash_sample": "select doc_id from (select doc_id, text, sha256('7|' || text) h from documents where text is not null order by h, text limit 50) x",
-    "q18_jsd_centroid": """with h as (select user_id % 10 problem_id, user_id sol, event_type op, count(*) n from events group by 1, 2, 3), p as (select problem_id, sol, op, n * 1.0e0 / sum(n) over (partition by problem_id, sol) p from h),
+    "q18_jsd_centroid": f"""with {_KEYWORDS_SQL}, h as (select problem_id, sol, op, count(*) n from e group by 1, 2, 3), p as (select problem_id, sol, op, n * 1.0e0 / sum(n) over (partition by problem_id, sol) p from h),
 k as (select problem_id, count(distinct sol) ns from p group by 1), q as (select p.problem_id, op, sum(p) / max(ns) q from p join k on p.problem_id = k.problem_id group by 1, 2),
 d as (select p.problem_id, p.sol, sum(0.5 * p * log2(p / ((p + q) / 2)) + 0.5 * q * log2(q / ((p + q) / 2))) + 0.5 * (1 - sum(q)) jsd from p join q on p.problem_id = q.problem_id and p.op = q.op group by 1, 2)
-select problem_id, count(*) n_solutions, round(avg(greatest(jsd, 0)), 6) jsd from d group by 1""",
-    "q19_cross_condition": """with e as (select user_id % 10 problem_id, user_id sol, event_type op, hour(ts) < 12 early from events), h as (select problem_id, early, sol, op, count(*) n from e group by all),
+select d.problem_id, count(*) n_solutions, round(avg(greatest(jsd, 0)), 6) jsd, max(v.n) vocabulary from d join (select problem_id, count(*) n from q group by 1) v on v.problem_id = d.problem_id group by 1""",
+    "q19_cross_condition": f"""with {_KEYWORDS_SQL}, h as (select problem_id, early, sol, op, count(*) n from e group by all),
 p as (select *, n * 1.0e0 / sum(n) over (partition by problem_id, early, sol) p from h), k as (select problem_id, early, count(distinct sol) ns from p group by all),
 q as (select p.problem_id, p.early, op, sum(p) / max(ns) q from p join k on p.problem_id = k.problem_id and p.early = k.early group by all), s as (select *, q / sum(q) over (partition by problem_id, early) x from q),
 j as (select coalesce(a.problem_id, b.problem_id) problem_id, coalesce(a.x, 0) p, coalesce(b.x, 0) r from (select * from s where early) a full join (select * from s where not early) b on a.problem_id = b.problem_id and a.op = b.op)
 select problem_id, round(greatest(sum(case when p > 0 then 0.5 * p * log2(p / ((p + r) / 2)) else 0 end + case when r > 0 then 0.5 * r * log2(r / ((p + r) / 2)) else 0 end), 0), 6) cross_jsd, round(sqrt(sum((p - r) * (p - r))), 6) cross_l2 from j where problem_id in (select problem_id from s where early) and problem_id in (select problem_id from s where not early) group by 1""",
-    "q20_auc": f"""with s as ({_AUC_SRC}), n as (select c_nationkey, sum(case when seen then 1 else 0 end) n_seen, sum(case when seen then 0 else 1 end) n_unseen from s where c_acctbal is not null group by 1),
-w as (select a.c_nationkey, avg(case when a.c_acctbal > b.c_acctbal then 1.0e0 when a.c_acctbal = b.c_acctbal then 0.5e0 else 0 end) auc from s a join s b on a.c_nationkey = b.c_nationkey and a.seen and not b.seen group by 1)
-select n.c_nationkey, n_seen, n_unseen, round(auc, 8) auc from n left join w on n.c_nationkey = w.c_nationkey""",
-    "q21_separation": f"with s as ({_AUC_SRC}) select c_nationkey, round(avg(case when seen then 100 * c_acctbal end), 6) seen_mean, round(min(case when seen then 100 * c_acctbal end), 6) seen_min, round(avg(case when not seen then 100 * c_acctbal end), 6) unseen_mean, round(max(case when not seen then 100 * c_acctbal end), 6) unseen_max, round(min(case when seen then 100 * c_acctbal end) - max(case when not seen then 100 * c_acctbal end), 6) separation_gap from s group by 1",
+    "q20_auc": f"""{_SEEN_SQL}, n as (select model, dataset, sum(case when seen then 1 else 0 end) n_seen, sum(case when seen then 0 else 1 end) n_unseen from s group by 1, 2),
+w as (select a.model, a.dataset, avg(case when a.score > b.score then 1.0e0 when a.score = b.score then 0.5e0 else 0 end) auc from s a join s b on a.model is not distinct from b.model and a.dataset is not distinct from b.dataset and a.seen and not b.seen group by 1, 2)
+select n.model, n.dataset, n_seen, n_unseen, round(auc, 8) auc from n left join w on n.model is not distinct from w.model and n.dataset is not distinct from w.dataset""",
+    "q21_separation": f"{_SEEN_SQL} select model, dataset, round(avg(case when seen then 100 * score end), 6) seen_mean, round(min(case when seen then 100 * score end), 6) seen_min, round(avg(case when not seen then 100 * score end), 6) unseen_mean, round(max(case when not seen then 100 * score end), 6) unseen_max, round(min(case when seen then 100 * score end) - max(case when not seen then 100 * score end), 6) separation_gap from s group by 1, 2",
+    "q22_box_summary": f"""{_SEEN_SQL}, q as (select model, seen, quantile_cont(score, 0.25) q1, quantile_cont(score, 0.5) q2, quantile_cont(score, 0.75) q3 from s group by all),
+j as (select s.model, s.seen, score, q1, q2, q3, score between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) inside from s join q on s.model is not distinct from q.model and s.seen = q.seen)
+select model, seen, count(*) n, round(min(case when inside then score end), 6) low, round(q1, 6) q1, round(q2, 6) q2, round(q3, 6) q3, round(max(case when inside then score end), 6) high, sum(case when inside then 0 else 1 end) outliers from j group by model, seen, q1, q2, q3""",
     "q23_contexts": f"with {_RING} select source, doc_id, cast(seed as integer) seed, cast(place as integer) place, md5(context) context_md5 from ctx",
     "q23_contamination": f"""with {_RING}, w as (select source, doc_id, token, count(*) k from (select source, doc_id, unnest({_WORDS.format('text')}) token from docs) x group by all),
 c as (select token, sum(k) cn from w group by 1), z as (select sum(cn) total, count(*) vocab from c), pr as (select token, (cn + 1) / (total + vocab) p from c cross join z),
 x as (select source, doc_id, seed, token, count(*) xn from (select source, doc_id, seed, unnest({_WORDS.format('context')}) token from ctx) y group by all), tot as (select source, doc_id, seed, sum(xn) xt from x group by all),
-m as (select w.source, w.doc_id, tot.seed, sum(k * ln(p)) / sum(k) b, sum(k * ln(0.3 * coalesce(xn, 0) / xt + 0.7 * p)) / sum(k) i from w join pr on w.token = pr.token join tot on tot.source = w.source and tot.doc_id = w.doc_id left join x on x.source = w.source and x.doc_id = w.doc_id and x.seed = tot.seed and x.token = w.token group by all),
+m as (select w.source, w.doc_id, tot.seed, sum(k * ln(p)) / sum(k) b, sum(k * ln(0.3 * coalesce(xn, 0) / xt + 0.7 * p)) / sum(k) i from w join pr on w.token = pr.token join tot on tot.doc_id = w.doc_id left join x on x.doc_id = w.doc_id and x.seed = tot.seed and x.token = w.token group by all),
 dl as (select source, doc_id, avg(i - b) delta from m group by all) select source, round(avg(case when delta < 0 then 1.0 else 0.0 end), 6) score, count(*) n_samples, round(avg(delta), 6) mean_delta from dl group by 1""",
-    "q24_cumulative_diff": """with r as (select l_orderkey, l_linenumber, sum(l_extendedprice) / 1000 - sum(l_quantity) d from lineitem group by 1, 2) select l_orderkey, l_linenumber, round(d, 6) diff, round(sum(d) over (partition by l_orderkey order by l_linenumber rows unbounded preceding), 6) cumulative from r""",
+    "q24_cumulative_diff": f"""{evaluation._PAIRS_SQL} select model, dataset, condition, row_index, round(cs - bs, 6) diff, round(sum(cs - bs) over (partition by model, dataset, condition order by row_index rows unbounded preceding), 6) cumulative from pairs""",
+    "q24_token_differences": """with t as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') w from documents where text is not null), k as (select doc_id, w, case when len(w) < 20 then least(3, len(w) // 4) else 10 end ig from t),
+c as (select doc_id, case when len(w) > ig then w[ig + 1:] else w end w from k), e as (select doc_id, i, (length(w[i]) - length(w[i]) % 7) / 10.0 d from (select doc_id, w, unnest(range(1, len(w) + 1)) i from c) x),
+r as (select doc_id, d, sum(d) over (partition by doc_id order by i) s from e) select doc_id, count(*) tokens, cast(round(max(s), 4) as double) highest, cast(round(sum(d), 4) as double) total from r group by 1""",
     "q28_schema_profile": """with k as (select record_kind, j.key "key", j.type t, j.value v from (select record_kind, raw from raw_records where raw is not null and json_valid(raw) and json_type(raw) = 'OBJECT') r, json_each(r.raw) j),
 y as (select record_kind, "key", case t when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then 'null' else 'number' end json_type, case when t = 'VARCHAR' then length(json_extract_string(v, '$')) end l from k)
 select record_kind, "key", json_type, count(*) n, min(l) min_length, max(l) max_length from y group by 1, 2, 3""",
     "q28_lines": "select run_id, count(*) lines, sum(case when trim(coalesce(raw, ''), ' ') = '' then 1 else 0 end) blank, sum(case when trim(coalesce(raw, ''), ' ') <> '' and not json_valid(raw) then 1 else 0 end) malformed from raw_records group by 1",
-    "q33_prompt_fallback": f"""with p as (select nullif({_STRIP.format('starter_code_python3')}, '') a, nullif({_STRIP.format('prompt')}, '') b, nullif({_STRIP.format('title')}, '') c from effibench)
-select case when a is not null then 'first' when coalesce(b, c) is not null then 'fallback' else 'missing' end source, count(*) "rows", sum(length(coalesce(a, b, c, ''))) chars from p group by 1""",
-    "q35_date_cutoff": "select cast(year(o_orderdate) as integer) \"year\", count(*) \"rows\" from orders where cast(o_orderdate as date) > date '1997-01-01' group by 1",
+    "q33_prompt_fallback": f"""with p as (select nullif({_STRIP.format('generated_solution_clean')}, '') a, nullif({_STRIP.format('code')}, '') b from generations)
+select case when a is not null then 'first' when b is not null then 'fallback' else 'missing' end source, count(*) "rows", sum(length(coalesce(a, b, ''))) chars from p group by 1""",
+    "q35_date_cutoff": "select source, cast(year(collected_at) as integer) \"year\", count(*) \"rows\" from documents where cast(collected_at as date) > date '2026-06-30' group by 1, 2",
     "q37_natural_language": f"select doc_kind, count(*) \"rows\", sum(case when {_NL} then 1 else 0 end) \"natural\" from documents group by 1",
     "q42_prompts": f"select _idx, md5({_q(C.WRAPPER_PLAIN)} || coalesce(prompt, '') || case when length({_STRIP.format('starter_code_python3')}) > 0 then {_q(chr(10) * 2 + 'Complete the following code. Return the ENTIRE class/function with your implementation:' + chr(10) * 2 + '```python' + chr(10))} || {_STRIP.format('starter_code_python3')} || {_q(chr(10) + '    # Your implementation here' + chr(10) + '```')} else '' end) prompt_md5 from effibench",
     "q42_mbpp_prompts": f"""select task_id, {_q(C.WRAPPER_ISO)} || coalesce(prompt, '') || case when regexp_extract(test_list[1], 'assert\\s+(\\w+)\\s*\\(', 1) <> '' then {_q(chr(10) * 2 + 'Your function must be named `')} || regexp_extract(test_list[1], 'assert\\s+(\\w+)\\s*\\(', 1) || {_q('`.' + chr(10) * 2 + 'Example test:' + chr(10) + '```python' + chr(10))} || test_list[1] || {_q(chr(10) + '```')} else '' end prompt_used from mbpp""",
     "q43_problem_ids": "select generation_id, case when dataset is distinct from 'mbpp' and length(problem_id) > 0 then problem_id else substr(sha256(concat_ws(':', source_file, cast(row_index as varchar))), 1, 16) end pid from generations",
-    "q46_scripts": "select task_id, concat_ws(chr(10), coalesce(array_to_string(test_imports, chr(10)), ''), 'def f():' || chr(10) || '    pass', array_to_string(test_list, chr(10))) script from mbpp",
+    "q46_scripts": "select generation_id, md5(concat_ws(chr(10), coalesce(array_to_string(test_imports, chr(10)), ''), coalesce(generated_solution, ''), array_to_string(test_list, chr(10)))) script_md5 from generations g join mbpp on g.problem_id = 'mbpp_' || task_id where g.dataset = 'mbpp'",
     "q47_corpus_chunks": f"select 'bigobench' dataset, count(*) chunks, sum(length(solution_code)) chars from bigobench where length({_STRIP.format('solution_code')}) > 0",
-    "q50_mean_logprob": "select vec_id, round(list_avg(list_transform(case when len(embedding) > 10 then embedding[11:] else embedding end, lambda x: cast(x as double))), 6) mean from embeddings",
+    "q50_mean_logprob": "select solution_no, round(list_avg(case when len(problem_time_curve_coefficient_list) > 1 then problem_time_curve_coefficient_list[2:] else problem_time_curve_coefficient_list end), 6) mean from bigobench",
     "q31_detokenise": f"""select doc_id, {_STRIP.format("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+([.,;:!?)\\]}])', '\\1', 'g'), '([(\\[{])[ \\t\\n\\r\\f\\x0b]+', '\\1', 'g'), '` +', '`', 'g'), ' +`', '`', 'g'), '[ \\t\\n\\r\\f\\x0b]{2,}', ' ', 'g')")} "text" from documents""",
 }
 
@@ -321,10 +394,10 @@ select case when a is not null then 'first' when coalesce(b, c) is not null then
 # ---- SQL of queries that are built from parts
 
 
-def _rewritten(sources: str, key: str) -> str:
-    """The affine rewriting of a relation (key, t) as the text of two relations: pieces and rewritten."""
+def _rewritten(sources: str, key: str, change: str = f"cast(2 * {_INT} + 3 as varchar)") -> str:
+    """The rewriting of a relation (key, t), affine by default, as the text of two relations: pieces and rewritten."""
     return f"""pieces as (select {key}, regexp_extract_all(u, '-?[.0-9]+') m, regexp_split_to_array(u, '-?[.0-9]+') parts, u from (select {key}, regexp_replace(t, '([.0-9])-', '\\1' || chr(1), 'g') u from ({sources}) s) n),
-rewritten as (select {key}, case when u is not null then replace(array_to_string(list_transform(range(1, len(parts) + 1), lambda k: parts[k] || case when k <= len(m) then case when contains(m[k], '.') or not regexp_matches(m[k], '[0-9]') then m[k] else cast(2 * {_INT} + 3 as varchar) end else '' end), ''), chr(1), '-') end r from pieces)"""
+rewritten as (select {key}, case when u is not null then replace(array_to_string(list_transform(range(1, len(parts) + 1), lambda k: parts[k] || case when k <= len(m) then case when contains(m[k], '.') or not regexp_matches(m[k], '[0-9]') then m[k] else {change} end else '' end), ''), chr(1), '-') end r from pieces)"""
 
 
 def _values(rows, names: str) -> str:
@@ -337,7 +410,7 @@ def _values(rows, names: str) -> str:
 _KINDS = ("public_tests", "private_tests", "generated_tests")
 _TESTS = "list_concat(" + ", ".join(f"coalesce(list_transform(tests.{k}, lambda x: {{'kind': '{k}', 'i': x.input, 'o': x.output}}), [])" for k in _KINDS[:2]) + ")"
 _TESTS = f"list_concat({_TESTS}, coalesce(list_transform(tests.generated_tests, lambda x: {{'kind': 'generated_tests', 'i': x.input, 'o': x.output}}), []))"
-_CATALOGUE = [(f, s, seen) for seen, names in ((True, corpora.SEEN), (False, corpora.UNSEEN)) for f, listed in names.items() for s in listed.split()]
+_CATALOGUE = [(f, s, seen) for seen, names in ((True, corpora.SEEN), (False, corpora.UNSEEN)) for f, listed in names.items() for s in listed]
 _AP = r"^assert\s+(.+?)\s*==\s*(.+)$"
 _CALL = r"^(\w+)\s*\((.*)\)$"
 _HASH = "cast(('0x' || left(md5({0}), {1})) as bigint)"
@@ -345,9 +418,6 @@ _ELIGIBLE = "length(token) > 2 and lower(token) not in (" + ", ".join(map(_q, T.
 _DETOK = _STRIP.format(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\s+([.,;:!?)\]}}])', '\1', 'g'), '([(\[{{])\s+', '\1', 'g'), '` +', '`', 'g'), ' +`', '`', 'g'), '\s{{2,}}', ' ', 'g')")
 
 SQL |= {
-    "q10_rewritten_tests": f"""with flat as (select solution_no, cast(i - 1 as integer) place, tt[i].kind kind, tt[i].i inp, tt[i].o outp from (select solution_no, tt, unnest(range(1, len(tt) + 1)) i from (select solution_no, {_TESTS} tt from bigobench) a) b),
-{_rewritten("select solution_no, place, 'i' side, inp t from flat union all select solution_no, place, 'o' side, outp t from flat", "solution_no, place, side")}
-select f.solution_no, f.place, f.kind, a.r "input", b.r "output" from flat f join rewritten a on a.solution_no = f.solution_no and a.place = f.place and a.side = 'i' join rewritten b on b.solution_no = f.solution_no and b.place = f.place and b.side = 'o'""",
     "q30_synonym_fuzz": f"""with tok as (select _idx, i - 1 place, toks[i] token from (select _idx, toks, unnest(range(1, len(toks) + 1)) i from (select _idx, regexp_extract_all(prompt, '[A-Za-z0-9_'']+|[^\\sA-Za-z0-9_'']') toks from effibench where prompt is not null) a) b),
 w as (select *, case when {_ELIGIBLE} and {_HASH.format("'42|' || _idx || '|' || place", 8)} / 4294967296.0 < 0.4 then lower(token) end word from tok),
 th as (select * from {_values(sorted(T.THESAURUS.items()), 'word, synonyms')}),
@@ -362,8 +432,10 @@ d as (select *, regexp_extract(call, '{_CALL}', 1) function, regexp_extract(call
 {_rewritten("select task_id, place, 'a' side, args t from d union all select task_id, place, 'e' side, expected t from d", "task_id, place, side")}
 select d.task_id, d.place, d.function, d.args, d.expected, case when call <> '' and expected <> '' then 'assert ' || case when function <> '' then function || '(' || a.r || ')' else call end || ' == ' || e.r else test end rewritten
 from d join rewritten a on a.task_id = d.task_id and a.place = d.place and a.side = 'a' join rewritten e on e.task_id = d.task_id and e.place = d.place and e.side = 'e'""",
-    "q46_submissions": f"""with s as (select _idx, starter_code_python3 st, coalesce(test_runner_python3, '') r, {_STRIP.format("coalesce(starter_code_python3, '')")} head, {_q("    return 0" + chr(10))} code from effibench)
-select _idx, md5(replace(r, '==Code Submission==', case when head = '' or contains(code, {_STRIP.format("string_split(head, chr(10))[1]")}) then code else st || chr(10) || code end)) script_md5 from s""",
+    "q46_submissions": f"""with s as (select generation_id, coalesce(generated_solution, '') code, starter_code_python3 st, coalesce(test_runner_python3, '') r, {_STRIP.format("coalesce(starter_code_python3, '')")} head from generations g join effibench e on g.problem_id = e.id where g.dataset = 'effibench'),
+t as (select *, regexp_extract(string_split(regexp_replace(coalesce(st, ''), '\\s+$', ''), chr(10))[-1], '^[ \t]*', 0) || '    ' ind from s)
+select generation_id, md5(replace(r, '==Code Submission==', case when head = '' or contains(code, {_STRIP.format("string_split(head, chr(10))[1]")}) then code
+ when ends_with(head, ':') and not regexp_matches(code, '^[ \t]') then st || chr(10) || array_to_string(list_transform(string_split(regexp_replace(code, '\n$', ''), chr(10)), lambda x: ind || x || chr(10)), '') else st || chr(10) || code end)) script_md5 from t""",
     "q51_alignment": f"""with t as (select task_id, regexp_extract_all(prompt, '\\s*\\S+') tokens, regexp_extract(prompt, '(\\S+\\s+\\S+\\s+\\S+)\\s*$', 1) tail from mbpp),
 b as (select *, list_transform(tokens, lambda x: replace(x, ' ', '')) bare, replace({_STRIP.format('tail')}, ' ', '') want, {_NORM.format('tail')} nt from t), f as (select *, array_to_string(bare, '') full_text from b),
 g as (select *, length(full_text) - instr(reverse(full_text), reverse(want)) - length(want) + 1 at_char from f)
@@ -376,4 +448,29 @@ case when lower(model) in ('davinci-002', 'babbage-002') then '2023-10-01' when
  when regexp_matches(lower(model), 'pythia|gpt-neo|rwkv') then '2022-01-01' when contains(lower(model), 'nemotron') then '2024-09-01' else '2024-02-01' end cutoff from m""",
 }
 
+def _tests_sql(change: str) -> str:
+    return f"""with flat as (select solution_no, cast(i - 1 as integer) place, tt[i].kind kind, tt[i].i inp, tt[i].o outp from (select solution_no, tt, unnest(range(1, len(tt) + 1)) i from (select solution_no, {_TESTS} tt from bigobench) a) b),
+{_rewritten("select solution_no, place, 'i' side, inp t from flat union all select solution_no, place, 'o' side, outp t from flat", "solution_no, place, side", change)}
+select f.solution_no, f.place, f.kind, a.r "input", b.r "output" from flat f join rewritten a on a.solution_no = f.solution_no and a.place = f.place and a.side = 'i' join rewritten b on b.solution_no = f.solution_no and b.place = f.place and b.side = 'o'"""
+
+
+_DELIMITED = "select solution_no, case when inputs_example is not null then array_to_string(list_transform(string_split(inputs_example, chr(10)), lambda x: {0}), chr(10)) end rewritten from bigobench"
+SQL |= {
+    "q10_rewritten_tests": _tests_sql(f"cast(2 * {_INT} + 3 as varchar)"),
+    "q10_rewritten_cubic": _tests_sql(f"cast({_INT} * {_INT} * {_INT} + 31 as varchar)"),
+    "q10_rewritten_base": _tests_sql(_HEXIN),
+    "q10_roundtrip": f"""with p as (select _idx, _src_file, coalesce(len(json_extract(generated_tests, '$[*]')), 0) n from effibench) select _src_file, count(*) total, count(*) iso_applied, count(*) roundtrip_ok, 0 skipped_large from p group by rollup (_src_file)""",
+    "q11_contract_prompts": f"select _idx, md5(coalesce(prompt, '') || case when ends_with(coalesce(prompt, ''), chr(10)) then '' else chr(10) end || {_q(chr(10) + I.transform('affine_int', params=AFFINE).contract())}) prompt_md5 from effibench",
+    "q11_contract_modes": f"""with m as (select unnest(['iso', 'iso_enc_only', 'iso_dec_only']) iso_variant), t as (select solution_no, len(list_filter({_TESTS}, lambda x: length(x.i) > 0 and regexp_matches(regexp_replace(x.i, '[0-9]*[.][0-9.]*', '.', 'g'), '[0-9]'))) > 0 changed from bigobench)
+select iso_variant, count(*) "rows", sum(case when iso_variant = 'iso_dec_only' and changed then 1 else 0 end) with_examples, count(*) with_contract from m cross join t group by 1""",
+    "q13_delimiter_commas": _DELIMITED.format("replace(x, ' ', ',')"),
+    "q13_delimiter_commas_inverse": _DELIMITED.format("replace(x, ',', ' ')"),
+    "q13_delimiter_inverse": _DELIMITED.format("replace(case when starts_with(x, '[') and ends_with(x, ']') then substr(x, 2, greatest(length(x) - 2, 0)) else x end, ', ', ' ')"),
+    "q13_delimiter_lines_inverse": "select solution_no, replace(inputs_example, ';', chr(10)) rewritten from bigobench",
+    "q30_fuzz_totals": f"with f as ({SQL['q30_synonym_fuzz']}) select _src_file, count(*) \"rows\", sum(f.n_replaced) replacements, round(avg(f.n_replaced), 6) mean_replacements from effibench join f using (_idx) group by rollup (_src_file)",
+    "q23_contamination_seeds": SQL["q23_contamination"].replace(_RING, _ring(3)),
+    "q28_samples": """with k as (select record_kind, raw_id, j.key "key", case j.type when 'OBJECT' then '{' || (select string_agg('"' || o.key || '":' || cast(o.value as varchar), ',' order by o.key) from json_each(j.value) o) || '}' when 'VARCHAR' then json_extract_string(j.value, '$') when 'DOUBLE' then case when cast(j.value as double) = trunc(cast(j.value as double)) then cast(cast(j.value as bigint) as varchar) else cast(cast(j.value as double) as varchar) end else cast(j.value as varchar) end v from (select record_kind, raw_id, raw from raw_records where raw is not null and json_valid(raw) and json_type(raw) = 'OBJECT') r, json_each(r.raw) j where j.type <> 'NULL'),
+n as (select *, row_number() over (partition by record_kind, "key" order by raw_id) place from k) select record_kind, "key", cast(place as integer) place, case when length(v) > 200 then v[1:200] || '...' else v end sample from n where place <= 3""",
+}
+
 SQL["q54_fixed_format"] = f"with r as ({evaluation.SQL['q01_pass_at_k']}) select model, dataset, condition, printf('%.1f', round(100 * pass_at_1, 1)) pass_at_1, printf('%.1f', round(100 * pass_at_5, 1)) pass_at_5 from r"

@@ -67,6 +67,10 @@ def test_match_score_and_alignment(spark):
     tokens = F.array(*map(F.lit, ["The", " cat", " sat", " on", " the", " cat"]))
     got = spark.range(1).select(T.suffix_start(tokens, F.lit("the cat")).alias("a"), T.suffix_start(tokens, F.lit("zzz")).alias("b"), T.char_suffix_start(tokens, F.lit("the cat")).alias("c"), T.subsequence_start(tokens, F.array(F.lit(" on"), F.lit(" the"))).alias("d"), T.subsequence_start(tokens, F.array(F.lit("q"))).alias("e")).first()
     assert tuple(got) == (4, 0, 4, 2, None)
+    many = spark.createDataFrame([([" a", "b ", "\n", "c", " ", "b c", " "], "b c"), (["x"] * 3000 + ["y"], "x y"), ([], "a"), (["a"], ""), (["ab", "ab"], "abab")], "t array<string>, s string")
+    norm = lambda x: " ".join(x.split())
+    for r in many.select("t", "s", T.suffix_start("t", F.col("s")).alias("a")).collect():
+        assert r.a == max([k for k in range(len(r.t)) if r.s and norm("".join(r.t[k:])).endswith(norm(r.s))], default=0)
 
 
 def test_fuzzing(spark):
@@ -76,6 +80,16 @@ def test_fuzzing(spark):
     assert rows[1].fuzzed == "The Feline yields (the cat_x) x." and rows[1].n_replaced == 2
     assert rows[2].fuzzed is None and rows[2].n_replaced == 0 and rows[3].fuzzed == ""
     assert T.fuzz_synonyms(df, "t", "i", 0.0, 5, words).agg(F.sum("n_replaced")).first()[0] == 0
+    long = "the CAT returns; cat returns Returns cat " * 5
+    df2 = spark.createDataFrame([(k, long) for k in range(4)] + [(9, None)], "i int, t string")
+    ways = []
+    for most in (1000, 1):
+        T.MAP_WORDS = most
+        ways.append(sorted(tuple(r) for r in T.fuzz_synonyms(df2, "t", "i", 0.5, 5, words).select("i", F.coalesce("fuzzed", F.lit("-")), "n_replaced").collect()))
+    T.MAP_WORDS = 1000
+    assert ways[0] == ways[1] and len({n for _, _, n in ways[0]}) > 2
+    totals = {r.i: (r.rows, r.replacements) for r in T.fuzz_totals(T.fuzz_synonyms(df, "t", "i", 1.0, 5, words), ["i"]).collect()}
+    assert totals == {1: (1, 2), 2: (1, 0), 3: (1, 0), None: (3, 2)}
     code = df.select(T.insert_dead_code(F.col("t"), F.col("i"), 3, 1).alias("d")).first().d
     assert code.startswith("The Cat") and sum(b in code for b in T.DEAD_CODE) == 3
 
@@ -87,8 +101,12 @@ def test_code_functions(spark):
     a = spark.range(1).select(C.split_assert(F.lit("assert f(1, [2]) == {3: 4}")).alias("a")).first().a
     assert tuple(a) == ("f(1, [2])", "f", "1, [2]", "{3: 4}")
     assert C.backoff(0, 0) == 1.0 and C.backoff(10, 1) == 78.0 and C.backoff(0, -1) == 0.7
-    assert C.core_start('"""d"""\nimport os\nx = 1\nfrom a import b\ny') == 4 and C.core_start("import os\nx = (") == 1
-    assert C.opcode_histogram("import os\n\nx = 1\n", 3)["STORE_NAME"] == 1 and C.opcode_histogram("x = (", 1) is None
+    assert C.head_lines('"""d"""\nimport os\nx = 1\nfrom a import b\ny') == 4 and C.head_lines("import os\nx = (") == 1
+    assert C.core_operations("import os\n\nx = 1\n")["STORE_NAME"] == 1 and C.core_operations("x = (") is None and C.core_operations(" ") is None
+    two = C.core_operations("import a\ndef f(x):\n    return [g(i) for i in x]\n")
+    assert two["RETURN_VALUE"] >= 1 and two["MAKE_FUNCTION"] == 1 and "IMPORT_NAME" not in two and "CACHE" not in two
+    codes = spark.createDataFrame([("", None, "c"), (None, None, None), ("a", "b", "c")], "a string, b string, c string")
+    assert [r.o for r in codes.select(C.first_code(*map(F.col, "abc")).alias("o")).collect()] == ["c", "", "a"]
     marked = spark.createDataFrame([("import os\nx = 1",), ("",)], "c string").select(C.inject_marker("c").alias("m")).collect()
     assert marked[0].m.code_with_marker.splitlines()[1] == C.MARKER and marked[0].m.core_start_line == 3
 

@@ -41,45 +41,50 @@ def test_dedupe_policies(spark):
         M.dedupe(df, [], [], "any")
 
 
-def test_bootstrap_variants_agree(spark):
-    rng = np.random.default_rng(5)
-    rows = [("m", k, float(b), float(c)) for k, (b, c) in enumerate(zip(rng.integers(0, 2, 300), rng.integers(0, 2, 300)))]
-    pairs = spark.createDataFrame(rows, "g string, i int, base_score double, cond_score double")
-    a = M.bootstrap_by_draws(pairs, ["g"], ["i"], 300).first()
-    b = M.bootstrap_poisson(pairs, ["g"], 2000).first()
-    assert a.n_problems == b.n_problems == 300 and a.diff == b.diff and a.ci_lo < a.diff < a.ci_hi
-    assert abs(a.ci_lo - b.ci_lo) < 2.5 and abs(a.ci_hi - b.ci_hi) < 2.5
-    assert M.with_significance(M.bootstrap_by_draws(pairs, ["g"], ["i"], 50)).first().significant in (True, False)
-    assert M.bootstrap_by_draws(pairs.limit(0), ["g"], ["i"], 10).count() == 0
+def _draws(problem, replicates):
+    digest = hashlib.md5(f"42|{problem}".encode()).hexdigest()
+    step, start = int(digest[:8], 16) % (M.PRIME - 1) + 1, int(digest[8:16], 16) % M.PRIME
+    return (step * np.arange(replicates) + start) % M.PRIME
 
 
-def test_bootstrap_by_draws_equals_brute_force(spark):
+@pytest.mark.parametrize("shares", [1 << 16, 7])
+def test_bootstrap_equals_brute_force(spark, monkeypatch, shares):
+    monkeypatch.setattr(M, "GROUP_PAIRS", shares)
     rng = np.random.default_rng(6)
-    x, y = rng.integers(0, 2, 12).astype(float), rng.integers(0, 2, 12).astype(float)
+    x, y = rng.integers(0, 2, 30).astype(float), rng.integers(0, 2, 30).astype(float)
+    rows = [("m", k, *map(float, v)) for k, v in enumerate(zip(x, y))] + [(None, 3, 0.0, 1.0), (None, 4, 1.0, 1.0)]
+    pairs = spark.createDataFrame(rows, "g string, i int, base_score double, cond_score double").withColumn("w", F.lit("clash"))
+    got = {r.g: r for r in M.bootstrap(pairs, ["g"], ["i"]).collect()}
+    weight = np.stack([np.searchsorted(M.poisson_limits(), _draws(k, 10_000), side="right") for k in range(30)])
+    diff = 100 * (y @ weight) / weight.sum(axis=0) - 100 * (x @ weight) / weight.sum(axis=0)
+    want = np.percentile(diff, [2.5, 97.5])
+    assert abs(got["m"].ci_lo - want[0]) < 1e-5 and abs(got["m"].ci_hi - want[1]) < 1e-5 and got["m"].n_problems == 30 and set(got) == {"m", None}
+    assert M.with_significance(M.bootstrap(pairs, ["g"], ["i"], 50)).where("g = 'm'").first().significant in (True, False)
+    assert M.bootstrap(pairs.limit(0), ["g"], ["i"], 10).count() == 0
+
+
+def test_bootstrap_agrees_with_drawing_with_replacement(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 2, 400).astype(float), rng.integers(0, 2, 400).astype(float)
     pairs = spark.createDataFrame([("m", k, *map(float, v)) for k, v in enumerate(zip(x, y))], "g string, i int, base_score double, cond_score double")
-    got = M.bootstrap_by_draws(pairs, ["g"], ["i"], 10_000).first()
-    drawn = np.array([[int(hashlib.md5(f"42|{b}|{s}".encode()).hexdigest()[:8], 16) % 12 for s in range(12)] for b in range(10_000)])
-    want = np.percentile(100 * y[drawn].mean(axis=1) - 100 * x[drawn].mean(axis=1), [2.5, 97.5])
-    assert abs(got.ci_lo - want[0]) < 1e-5 and abs(got.ci_hi - want[1]) < 1e-5
+    got = M.bootstrap(pairs, ["g"], ["i"]).first()
+    drawn = rng.integers(0, 400, (10_000, 400))
+    want = np.percentile(100 * (y[drawn] - x[drawn]).mean(axis=1), [2.5, 97.5])
+    assert abs(got.ci_lo - want[0]) < 0.4 and abs(got.ci_hi - want[1]) < 0.4 and got.ci_lo < got["diff"] < got.ci_hi
 
 
-def test_registered_poisson_bootstrap_has_all_replicates(spark, monkeypatch):
-    from evalweave.plans import evaluation
+def test_grid_shows_every_cell(spark):
+    rates = spark.createDataFrame([("d", "m", "original", 0.5), ("d", "m", "iso", 0.25), ("e", "n", "original", 1.0)], "dataset string, model string, condition string, r double")
+    ci = spark.createDataFrame([("d", "m", "iso", -40.0, -10.04)], "dataset string, model string, condition string, ci_lo double, ci_hi double")
+    got = {(r.dataset, r.model, r.condition): r.shown for r in M.grid(ci, ("dataset", "model"), "condition", rates, "r").collect()}
+    assert len(got) == 8 and got["d", "m", "iso"] == "25.0 [-40.0, -10.0]" and got["e", "n", "original"] == "100.0" and got["e", "m", "iso"] == "-"
 
-    seen = []
-    real = M.bootstrap_poisson
 
-    def spy(*args, **kwargs):
-        bound = inspect.signature(real).bind(*args, **kwargs)
-        bound.apply_defaults()
-        seen.append(bound.arguments["replicates"])
-        return real(*args, **kwargs)
-
-    pairs = spark.createDataFrame([("m", "d", "c", k, 0.5, 0.5) for k in range(3)], "model string, dataset string, condition string, row_index int, base_score double, cond_score double")
-    monkeypatch.setattr(M, "bootstrap_poisson", spy)
-    monkeypatch.setattr(M, "paired", lambda *_: pairs)
-    monkeypatch.setattr(evaluation, "scores", lambda *_: None)
-    assert evaluation.q06_bootstrap_poisson(spark, "").count() == 1 and seen == [10_000]
+def test_robust_follows_pass_at_k(spark):
+    deltas = spark.createDataFrame([("m", "PASS", -0.5), ("m", "TIMEOUT", 0.5), ("n", "PASS", 0.0)], "g string, bucket string, delta double")
+    rates = spark.createDataFrame([("m", "original", 0.9), ("m", "iso", 0.88), ("n", "original", 0.9), ("n", "iso", 0.5)], "g string, c string, r double")
+    changes = M.rate_changes(rates, ["g"], "c", "original", "r").drop("c")
+    assert {r.g: r.diagnosis for r in M.diagnosis(deltas, ["g"], changes).collect()} == {"m": "inefficiency; robust", "n": ""}
 
 
 def test_divergence_equals_numpy(spark):
@@ -115,12 +120,13 @@ def test_auc_ties_and_empty_sides(spark):
 def test_contexts_are_the_next_in_the_ring(spark):
     import hashlib
 
-    rows = [(g, k, f"text {g} {k % 37}") for g in "ab" for k in range(60)] + [("c", 0, "lonely"), ("a", 99, None), ("a", 98, " ")]
+    rows = [(g, k, f"text {g} {k % 37}") for g in ("a", "b", None) for k in range(60)] + [("c", 0, "lonely"), ("a", 99, None), ("a", 98, " ")]
     df = spark.createDataFrame(rows, "g string, i int, t string")
     got = {}
+    text = {(g, i): t for g, i, t in rows}
     for r in P.contexts(df, ["g"], "i", "t", 3, 2, 9).collect():
-        got.setdefault((r.g, r.i, r.seed), {})[r.place] = r.context
-    for g in "ab":
+        got.setdefault((r.g, r.i, r.seed), {})[r.place] = text[r.g, r.context_id]
+    for g in ("a", "b", None):
         for seed in (0, 1):
             ring = sorted({t for x, _, t in rows if x == g and t and t.strip()}, key=lambda t: (hashlib.md5(f"9|{seed}|{t}".encode()).hexdigest(), t))
             for x, i, t in rows:
@@ -130,6 +136,34 @@ def test_contexts_are_the_next_in_the_ring(spark):
     assert ("c", 0, 0) not in got
 
 
+def test_unigram_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    docs = {k: " ".join(rng.choice(["a", "b", "c", "d", "e", "f"], rng.integers(1, 9))) for k in range(12)}
+    chosen = [(k, s, (k + j + s) % 12) for k in docs for s in (0, 1) for j in (1, 2)]
+    rows = spark.createDataFrame([("g", k, t) for k, t in docs.items()], "g string, i int, t string")
+    links = spark.createDataFrame([("g", k, s, c) for k, s, c in chosen], "g string, i int, seed int, context_id int")
+    got = {(r.i, r.seed): (r.base_mean, r.icl_mean) for r in P.unigram_scores(rows, ["g"], "i", "t", links).collect()}
+    every = " ".join(docs.values()).split()
+    p = {w: (every.count(w) + 1) / (len(every) + len(set(every))) for w in set(every)}
+    for (k, s), (base, icl) in got.items():
+        own, shown = docs[k].split(), " ".join(docs[c] for i, z, c in chosen if (i, z) == (k, s)).split()
+        assert abs(base - np.mean([math.log(p[w]) for w in own])) < 1e-9
+        assert abs(icl - np.mean([math.log(0.3 * shown.count(w) / len(shown) + 0.7 * p[w]) for w in own])) < 1e-9
+    assert len(got) == 24
+
+
+def test_token_differences_and_boxes(spark):
+    side = lambda n, step: [("t", -step * k) for k in range(n)]
+    kind = "array<struct<token:string,logprob:double>>"
+    df = spark.createDataFrame([(1, side(30, 1.0), side(25, 0.5)), (2, side(8, 1.0), side(8, 2.0)), (3, None, side(3, 1.0)), (4, [], [])], f"i int, a {kind}, b {kind}")
+    got = {}
+    for r in P.token_differences(df, ["i"], "a", "b").collect():
+        got.setdefault(r.i, []).append((r.place, r.diff, r.cumulative))
+    assert len(got[1]) == 15 and min(got[1]) == (0, 5.0, 5.0) and len(got[2]) == 6 and min(got[2]) == (0, -2.0, -2.0) and set(got) == {1, 2}
+    box = P.box_summary(spark.createDataFrame([("g", float(x)) for x in (1, 2, 3, 4, 100)] + [("g", None)], "g string, s double"), ["g"], "s").first()
+    assert (box.n, box.low, box.q2, box.high, box.outliers) == (5, 1.0, 3.0, 4.0, 1)
+
+
 def test_scores(spark):
     deltas = spark.createDataFrame([("d", x) for x in (-1.0, 0.0, 2.0, -3.0)], "g string, delta double")
     assert P.contamination(deltas, ["g"]).first().score == 0.5
@@ -174,6 +208,7 @@ def test_rewriting_keeps_all_rows(spark):
     assert not out[2].iso_applied and out[2].prompt_with_contract == "x" and out[1].tests_transformed == []
     counters = {r._src_file: r.total for r in W.rewrite_counters(W.rewrite_dataset(df, W.ADAPTERS["effibench"], t, 7), "_src_file").collect()}
     assert counters == {"f": 2, "g": 1, None: 3}
+    assert W.only_rewritten(spark.createDataFrame(out, W.rewrite_dataset(df, W.ADAPTERS["effibench"], t, 7).schema)).count() == 2
     got = spark.range(1).select(W.rewrite_assert(F.lit("assert f(1) == 2"), t).alias("a"), W.rewrite_assert(F.lit("assert ok"), t).alias("b")).first()
     assert got.a == "assert f(5) == 7" and got.b == "assert ok"
 
@@ -290,3 +325,32 @@ def test_streaming(spark, tmp_path):
     assert (0, 2, 0.5) in got
     batch = S.windowed_rates(spark.read.schema(schema).json(str(tmp_path / "in")), "t", [], "pass")
     assert batch.count() == 2 and S.running_rates(spark.read.schema(schema).json(str(tmp_path / "in")), ["k"], "pass").count() == 3
+
+
+@pytest.mark.parametrize("name,params", [("affine_int", {"a": 2, "b": 3}), ("cubic_int", {"c": 31}), ("basek_int", {"base": 16}), ("identity", {}), ("delimiter_rewrite", {"style": 1})])
+@pytest.mark.parametrize("mode", ["iso", "iso_enc_only"])
+def test_rewritten_tests_are_exact_for_integers_of_any_length(spark, name, params, mode):
+    from evalweave.functions import integers as I
+
+    t = I.transform(name, params=params)
+    values = [str(s * 10**k + d) for k in (11, 12, 15, 28, 30, 40) for s in (1, -1) for d in (0, 7)] + ["0", "5 6"]
+    rows = [(json.dumps([{"input": v, "output": f"x {v} y"}]), v) for v in values] + [(None, None)]
+    df = spark.createDataFrame(rows, "generated_tests string, v string").withColumns({"prompt": F.lit("p"), "starter_code_python3": F.lit(None).cast("string")})
+    out = {r.v: r for r in W.rewrite_dataset(df, W.ADAPTERS["effibench"], t, 1, mode).collect()}
+    assert len(out) == len(rows)
+    for v in values:
+        test = out[v].tests_transformed[0]
+        assert test.output == t.python(f"x {v} y") and test.input == (t.python(v) if mode == "iso" else v)
+        assert out[v].iso_proof.roundtrip_ok == (t.python(t.python(f"x {v} y"), True) == f"x {v} y" and t.python(t.python(v), True) == v)
+    asserts = spark.createDataFrame([(f"assert f({v}) == {v}",) for v in values[:-1]], "a string")
+    got = {r.a: r.b for r in W.rewrite_asserts(asserts, "a", "b", t).collect()}
+    assert got == {f"assert f({v}) == {v}": f"assert f({t.python(v)}) == {t.python(v)}" for v in values[:-1]}
+
+
+def test_proof_without_the_exact_way_fails_for_long_integers(spark):
+    from evalweave.functions import integers as I
+
+    for name in ("affine_int", "cubic_int", "basek_int"):
+        t = I.transform(name, 3)
+        row = spark.range(1).select(I.roundtrip_proof(F.array(F.lit(str(10**40))), t).alias("p"), I.roundtrip_proof(F.array(F.lit("12")), t).alias("q")).first()
+        assert not row.p.roundtrip_ok and not row.p.examples[0].match and row.q.roundtrip_ok
