@@ -3,14 +3,12 @@
 1. Records are canonicalised (case, punctuation, white space) and hashed as a whole. Evaluation hashes are joined with
    training hashes: equal records form a class, which meets both sides at once, however many copies it has.
 2. One record of each class is also hashed piece by piece, as all runs of ``width`` words. Pieces are put into one order for
-   all records, the frequent ones last by their counts (a bounded table, see ``common``). Two sets of similarity t or more
-   share one of the first n - ceil(t n) + 1 pieces of each, so only these go into the join, as narrow rows of piece, class,
-   size and place. Evaluation pieces are joined with training pieces, frequent ones salted; the places of the shared piece
-   bound how many pieces can be shared at all.
-3. The shared pieces of a pair are counted. At least s = t / (1 + t) (n + m) of all are shared, and behind the prefix that ends
-   first stand at most ceil(t n) - 1 more, so s - ceil(t max(n, m)) + 1 shared ones lie in both prefixes: nearly all chance
-   pairs have fewer. What is left meets the texts, for the exact similarity. All filters are exact: no pair at or above t is
-   lost.
+   all records, the frequent ones last by their counts (a bounded table, see ``common``). Sets of n and m pieces at similarity
+   t or more share at least s = t / (1 + t) (n + m) of them, and at least ``SHARED`` of these stand among the first
+   n - s + ``SHARED`` and m - s + ``SHARED`` pieces. Only first pieces go into the join, as narrow rows of piece, class, size and
+   place; evaluation pieces are joined with training pieces, frequent ones salted.
+3. The shared first pieces of a pair are counted: nearly all chance pairs have fewer. What is left meets the texts, for the exact
+   similarity. All filters are exact: no pair at or above t is lost.
 """
 
 from __future__ import annotations
@@ -29,6 +27,8 @@ from evalweave.session import materialize, spread, table
 
 #: Pieces above 2/FREQUENT of all are ordered by their counts (fewer than FREQUENT / 2 by that, 8 MB).
 FREQUENT = 1 << 20
+#: First pieces that a pair has to share (all of s, where that is less).
+SHARED = 4
 #: Bits of the place in a packed piece row, the size standing above; either is an int, so both fit a long.
 PLACE_BITS = 31
 
@@ -60,7 +60,7 @@ def _prepared(df: DataFrame, width: int, threshold: float) -> DataFrame:
         ordered = h[order]
         starts = np.cumsum(n) - n
         place = np.arange(len(h)) - np.repeat(starts, n)
-        length = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+        length = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + SHARED
         taken = place < np.repeat(length, n)
         offsets = np.concatenate(([0], np.cumsum(np.bincount(doc[taken], minlength=len(n))))).astype(np.int32)
         prefix = pa.ListArray.from_arrays(offsets, pa.array(ordered[taken].view(np.int64)))
@@ -113,12 +113,11 @@ def cross_split_overlaps(df: DataFrame, id_col: str, text_col: str, is_train: Co
         return F.shiftright(c, PLACE_BITS), F.col(c).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
 
     (n, p), (m, q) = unpack("e"), unpack("t")
-    needed = F.lit(threshold / (1 + threshold)) * (n + m) - F.lit(1e-9)
-    possible = (F.col("eval_class") != F.col("train_class")) & (F.least(n - p, m - q) + F.least(p, q) >= needed)
-    met = salted_join(evals, trains, "piece").where(possible).select("eval_class", "train_class", needed.alias("needed"), F.greatest(n, m).alias("larger"))
-    met = met.groupBy("eval_class", "train_class").agg(F.count("*").alias("shared"), F.max("needed").alias("needed"), F.max("larger").alias("larger"))
-    least = F.ceil("needed") - F.ceil(F.lit(threshold) * F.col("larger") - F.lit(1e-9)) + 1
-    pairs = materialize(met.where(F.col("shared") >= least).select("eval_class", "train_class"))
+    needed = F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - F.lit(1e-9))
+    least = F.least(needed, F.lit(SHARED))
+    possible = (F.col("eval_class") != F.col("train_class")) & (p < n - needed + least) & (q < m - needed + least) & (F.least(n - p, m - q) + F.least(p, q) >= needed)
+    met = salted_join(evals, trains, "piece").where(possible).select("eval_class", "train_class", least.alias("least"))
+    pairs = materialize(met.groupBy("eval_class", "train_class").agg(F.count("*").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("eval_class", "train_class"))
     wanted = pairs.select(F.col("eval_class").alias("id")).union(pairs.select("train_class")).distinct()
     text = materialize(src.select("id", "text").join(wanted, "id", "left_semi"))
     both = salted_join(pairs, text.select(F.col("id").alias("eval_class"), F.col("text").alias("a")), "eval_class")
