@@ -82,7 +82,7 @@ FILES = {
 
 def test_changes(spark):
     df = raw(spark, FILES)
-    got = {tuple(r)[2:] for r in drift.changes(drift.fields(df), df).collect()}
+    got = {tuple(r)[2:] for r in drift.changes(drift.schemas(drift.fields(df), df)).collect()}
     assert got == {
         (2, "renamed", "status", "outcome"), (2, "type_changed", "passed", "passed"), (2, "renamed", "harness.version", "harness.ver"),
         (3, "type_changed", "outcome", "outcome"), (3, "removed", "passed", "passed"), (3, "removed", "harness.workers", "harness.workers"), (3, "added", "x", "x"), (3, "added", "y", "y"),
@@ -91,24 +91,25 @@ def test_changes(spark):
 
 def test_file_without_fields_counts(spark):
     df = raw(spark, {1: [{"a": 1}], 2: ["{broken"], 3: [{"a": 1}]})
-    got = {tuple(r)[2:] for r in drift.changes(drift.fields(df), df).collect()}
+    got = {tuple(r)[2:] for r in drift.changes(drift.schemas(drift.fields(df), df)).collect()}
     assert got == {(2, "removed", "a", "a"), (3, "added", "a", "a")}
 
 
 def test_null_runs_and_empty_table(spark):
     df = raw(spark, FILES).withColumn("run_id", F.lit(None).cast("string"))
-    assert drift.changes(drift.fields(df), df).count() == 8
+    assert drift.changes(drift.schemas(drift.fields(df), df)).count() == 8
     empty = df.limit(0)
-    assert drift.changes(drift.fields(empty), empty).count() == 0
-    assert drift.versions(drift.fields(empty)).count() == 0
+    assert drift.changes(drift.schemas(drift.fields(empty), empty)).count() == 0
+    assert drift.versions(drift.schemas(drift.fields(empty), empty)).count() == 0
 
 
 def test_one_consistent_table(spark):
     df = raw(spark, FILES)
     found = drift.fields(df)
-    rules = drift.chained(drift.changes(found, df), found, drift.TARGETS)
+    routed = drift.schemas(found, df)
+    rules = drift.chained(drift.changes(routed), found, drift.TARGETS)
     assert "outcome" in next(r for r in rules if r.name == "status").aliases
-    rows = drift.unified(df, rules, ("file_no", "line_no")).orderBy("file_no", "line_no").collect()
+    rows = drift.unified(df, routed, rules, ("file_no", "line_no")).orderBy("file_no", "line_no").collect()
     assert len(rows) == sum(map(len, FILES.values()))
     assert [r.status for r in rows if r.parsed][:3] == ["success"] * 3
     assert [r.passed for r in rows if r.parsed][:2] == [True, True]
@@ -119,8 +120,9 @@ def test_one_consistent_table(spark):
 def test_migration_steps(spark):
     df = raw(spark, FILES)
     found = drift.fields(df)
-    rules = drift.chained(drift.changes(found, df), found, (drift.Rule("status", "string"), drift.Rule("passed", "boolean"), drift.Rule("harness.version", "string")))
-    got = {tuple(r)[2:] for r in drift.migration(found, rules).collect()}
+    routed = drift.schemas(found, df)
+    rules = drift.chained(drift.changes(routed), found, (drift.Rule("status", "string"), drift.Rule("passed", "boolean"), drift.Rule("harness.version", "string")))
+    got = {tuple(r)[2:] for r in drift.migration(routed, rules).collect()}
     assert {x for x in got if x[1] != "drop"} == {
         (2, "rename", "outcome", "status"), (2, "cast", "passed", "passed"), (2, "rename", "harness.ver", "harness.version"),
         (3, "rename", "outcome", "status"), (3, "cast", "outcome", "status"), (3, "rename", "harness.ver", "harness.version"), (3, "default", None, "passed"),
@@ -130,5 +132,24 @@ def test_migration_steps(spark):
 
 
 def test_versions_rise_with_each_change(spark):
-    got = {r.file_no: r.version for r in drift.versions(drift.fields(raw(spark, FILES))).collect()}
+    got = {r.file_no: r.version for r in drift.versions(drift.schemas(drift.fields(raw(spark, FILES)), raw(spark, FILES))).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 5: 4}
+
+
+def test_files_of_one_schema_share_a_fingerprint_and_lines_take_the_steps_of_their_file(spark):
+    df = raw(spark, {1: [{"passed": True, "code": "x"}], 2: [{"pass": 1, "code": ["a", "b"]}], 3: [{"passed": False, "code": "y"}], 4: [{"passed": True, "pass": False, "code": "z"}], 7: ["broken"]})
+    found = drift.fields(df)
+    routed = drift.schemas(found, df)
+    prints = {r.file_no: r.fingerprint for r in routed.collect()}
+    assert prints[1] == prints[3] and len(set(prints.values())) == 4 and drift.registry(routed).count() == 4
+    rules = (drift.Rule("passed", "boolean", ("pass",)), drift.Rule("code", "string", default="-"))
+    got = {r.file_no: (r.passed, r.code) for r in drift.unified(df, routed, rules, ("file_no",)).collect()}
+    assert got == {1: (True, "x"), 2: (True, "a\nb"), 3: (False, "y"), 4: (True, "z"), 7: (None, "-")}
+    steps = {tuple(r)[2:] for r in drift.migration(routed, rules).where("file_no in (2, 4)").collect()}
+    assert (2, "rename", "pass", "passed") in steps and (2, "cast", "code", "code") in steps and (4, "drop", "pass", None) in steps
+
+
+def test_empty_and_nested_objects(spark):
+    df = raw(spark, {1: [{"harness": {}, "generation_metadata": {"seed": {"a": 1}, "x": None}, "other": {"k": 1}, "e": {}}]})
+    got = {(r.parent, r.field_name): r.json_type for r in drift.fields(df).collect()}
+    assert got == {("generation_metadata", "generation_metadata.seed"): "object", ("", "other"): "object", ("", "e"): "object"}
