@@ -351,5 +351,30 @@ select run_id, record_kind, file_no, 'rename' step, field_name, target from take
 union all select run_id, record_kind, file_no, 'drop', field_name, null from held where target is null or k > 1
 union all select f.run_id, f.record_kind, f.file_no, 'default', null, r.target from files f cross join rules r where not exists (select 1 from taken t where {_same("t", "f")} and t.target = r.target)"""
 
-SQL = {"p7_found": _CHANGES_SQL, "p7_versions": _VERSIONS_SQL, "p7_migration": _MIGRATION_SQL}
+
+def _field_sql(rule: Rule) -> tuple[str, str]:
+    name = f"max(case when target = '{rule.name}' then field_name end)"
+    path = "'$.' || (case when {0} like 'harness.%' or {0} like 'generation_metadata.%' then {0} else '\"' || {0} || '\"' end)"
+    return f"{name} as n_{rule.name.replace('.', '_')}", path.format(f"n_{rule.name.replace('.', '_')}")
+
+
+def _value_sql(rule: Rule) -> str:
+    column = rule.name.replace(".", "_")
+    v = f"case when parsed then json_extract(raw, {_field_sql(rule)[1]}) end"
+    text = f"case json_type({v}) when 'NULL' then null else json_extract_string({v}, '$') end"
+    if rule.kind == "string":
+        out = f"case json_type({v}) when 'OBJECT' then json_extract_string({v}, '$.' || json_keys({v})[1]) when 'ARRAY' then array_to_string(json_extract_string({v}, '$[*]'), chr(10)) else {text} end"
+    elif rule.kind == "boolean":
+        out = f"case when lower({text}) in ('true', '1') then true when lower({text}) in ('false', '0') then false end"
+    else:
+        out = f"try_cast({text} as {rule.kind})" if rule.kind == "double" else f"case when regexp_full_match({text}, '[+-]?[0-9]+') then try_cast({text} as {rule.kind}) end"
+    return f"{out if rule.default is None else f'coalesce({out}, {rule.default})'} as \"{column}\""
+
+
+_TABLE_SQL = f"""{_ALIAS_SQL}, route as (select run_id, record_kind, file_no, {", ".join(_field_sql(r)[0] for r in TARGETS)} from taken group by 1, 2, 3),
+whole as (select raw_id, run_id, record_kind, file_no, line_no, case when json_valid(coalesce(raw, '')) then raw else '[]' end raw from raw_records),
+lines as (select r.* replace (case when json_type(raw) = 'OBJECT' then raw else '{{}}' end as raw), t.* exclude (run_id, record_kind, file_no), json_type(raw) = 'OBJECT' parsed from whole r left join route t on {_same("t", "r")})
+select raw_id, run_id, record_kind, file_no, line_no, coalesce(parsed, false) parsed, {", ".join(_value_sql(r) for r in TARGETS)} from lines"""
+
+SQL = {"p7_found": _CHANGES_SQL, "p7_versions": _VERSIONS_SQL, "p7_migration": _MIGRATION_SQL, "p7_table": _TABLE_SQL}
 QUERIES = {"p7_found": p7_found, "p7_versions": p7_versions, "p7_migration": p7_migration, "p7_table": p7_table}
