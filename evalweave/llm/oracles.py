@@ -23,7 +23,14 @@ def _pairs(kind: str, table: str, key: str, text: str) -> str:
 {kind}_p as (select a key_lo, b key_hi from {kind}_s join {kind}_n x on x.id = a join {kind}_n y on y.id = b where s / (x.n + y.n - s) >= 0.6)"""
 
 
+_HITS = f"""with d as (select distinct doc_id, {_grams(13)} g from (select doc_id, {_words("text")} w from documents where text is not null) x where len(w) >= 13),
+i as (select distinct item_id, {_grams(13)} g from (select item_id, {_words("text")} w from heldout_items where text is not null) x where len(w) >= 13)"""
+
 SQL = {
+    "p2_limits": """with s as (select model, dataset, n, unnest([{'unit': 'characters', 'size': c}, {'unit': 'bytes', 'size': b}]) u from (select model, dataset, length(generated_solution) c, strlen(generated_solution) b, count(*) n from generations where generated_solution is not null group by all) x),
+t as (select model, dataset, u.unit unit, u.size size, n, max(u.size) over (partition by model, dataset, u.unit) top from s),
+h as (select model, dataset, unit, top, sum(case when size = top then n else 0 end) n_at, sum(case when size < top then n else 0 end) below from t where size >= top - 50 group by all)
+select model, dataset, unit, cast(top as integer) "limit", cast(n_at as bigint) rows_at_limit from h where n_at >= 5 and n_at >= 5.0 * (below / 50.0 + 1)""",
     "p4_found": f"""with {_pairs("bigobench", "bigobench", "solution_no", "solution_code")}, {_pairs("generation", "generations", "generation_id", "generated_solution")}
 select 'bigobench' record_kind, key_lo, key_hi from bigobench_p union all select 'generation', key_lo, key_hi from generation_p""",
     "p4_groups": f"""with recursive {_pairs("bigobench", "bigobench", "solution_no", "solution_code")}, {_pairs("generation", "generations", "generation_id", "generated_solution")},
@@ -45,7 +52,5 @@ g as (select distinct _idx, train, {_grams(3)} g from k), n as (select _idx, cou
 p as (select e, t from c join n x on x._idx = e join n y on y._idx = t where s / (x.n + y.n - s) >= 0.5), l as (select e own, t other from p union all select t, e from p),
 d as (select k.class, k.train, count(distinct o.class) n from l join k on k._idx = l.own join k o on o._idx = l.other group by 1, 2)
 select _idx, k.class class_idx, coalesce(n, 0) n_links from k left join d on d.class = k.class and d.train = k.train""",
-    "p9_found": f"""with d as (select distinct doc_id, {_grams(13)} g from (select doc_id, {_words("text")} w from documents where text is not null) x where len(w) >= 13),
-i as (select distinct item_id, {_grams(13)} g from (select item_id, {_words("text")} w from heldout_items where text is not null) x where len(w) >= 13)
-select distinct doc_id, item_id from d join i using (g)""",
+    "p9_found": f"{_HITS} select distinct doc_id, item_id from d join i using (g)",
 }

@@ -13,7 +13,7 @@
 from __future__ import annotations
 
 import base64
-from functools import cache
+from functools import cache, reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -24,8 +24,9 @@ from evalweave.llm.arrow import map_texts
 from evalweave.session import materialize, spread, table
 
 BLOCK_ITEMS = 20_000
-#: Budgets of one call; each repeats the items once.
-MOST_BUDGETS = 100
+#: Budgets that one pass over the items carries; more take several passes.
+PASS_BUDGETS = 100
+PACKED = "budget_name string, bin_id string, doc long, piece int, first_token int, n_tokens int"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -99,6 +100,11 @@ def pack(counts: DataFrame, budgets: list[tuple[str, int]]) -> DataFrame:
     rows = materialize(counts.where("n_tokens > 0").withColumn("deal", F.xxhash64(F.monotonically_increasing_id())))
     total = rows.count()
     blocks = max(1, -(-total // BLOCK_ITEMS))
+    passes = [_packed_pass(rows, blocks, budgets[k : k + PASS_BUDGETS]) for k in range(0, len(budgets), PASS_BUDGETS)]
+    return reduce(DataFrame.unionByName, passes) if passes else counts.sparkSession.createDataFrame([], PACKED)
+
+
+def _packed_pass(rows: DataFrame, blocks: int, budgets: list[tuple[str, int]]) -> DataFrame:
     options = F.array(*(F.struct(F.lit(n).alias("budget_name"), F.lit(int(c)).alias("capacity")) for n, c in budgets))
     cut = rows.select("doc", "deal", "n_tokens", F.inline(options))
     pieces = cut.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_tokens") / F.col("capacity")).cast("int") - 1)))
@@ -106,8 +112,6 @@ def pack(counts: DataFrame, budgets: list[tuple[str, int]]) -> DataFrame:
     pieces = pieces.withColumn("size", F.least("capacity", F.col("n_tokens") - F.col("first_token")))
     alone = F.col("size") == F.col("capacity")
     whole = pieces.where(alone).select("budget_name", F.concat_ws("-", F.lit("f"), F.hex("deal"), "piece").alias("bin_id"), "doc", "piece", "first_token", F.col("size").alias("n_tokens"))
-    schema = "budget_name string, bin_id string, doc long, piece int, first_token int, n_tokens int"
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         block, capacity = int(pdf["block"].iloc[0]), int(pdf["capacity"].iloc[0])
         pdf = pdf.sort_values(["size", "deal", "piece"], ignore_index=True)
@@ -118,15 +122,13 @@ def pack(counts: DataFrame, budgets: list[tuple[str, int]]) -> DataFrame:
         return pdf.assign(bin_id=names, n_tokens=pdf["size"])[["budget_name", "bin_id", "doc", "piece", "first_token", "n_tokens"]]
 
     shared = pieces.where(~alone).withColumn("block", F.pmod("deal", F.lit(blocks)).cast("int"))
-    return shared.groupBy("budget_name", "block").applyInPandas(run, schema).unionByName(whole)
+    return shared.groupBy("budget_name", "block").applyInPandas(run, PACKED).unionByName(whole)
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pack_budgets").where("capacity_tokens > 0").limit(MOST_BUDGETS + 1).collect()
-    if len(rows) > MOST_BUDGETS:
-        raise ValueError(f"more than {MOST_BUDGETS} budgets: pack them in several calls")
+    budgets = [(r["budget_name"], r["capacity_tokens"]) for r in table(spark, sf_dir, "pack_budgets").where("capacity_tokens > 0").toLocalIterator()]  # settings, not data
     counts = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return pack(counts, [(r["budget_name"], r["capacity_tokens"]) for r in rows]).withColumnRenamed("doc", "doc_id")
+    return pack(counts, budgets).withColumnRenamed("doc", "doc_id")
 
 
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from evalweave.llm import fuzzyhash, oracles, packing, pairs, reading, splits, s
 QUERIES = {
     "p2_found": truncation.p2_found,
     "p2_report": truncation.p2_report,
+    "p2_limits": truncation.p2_limits,
     "p3_found": pairs.p3_found,
     "p3_labels": pairs.p3_labels,
     "p4_found": fuzzyhash.p4_found,
@@ -19,6 +20,7 @@ QUERIES = {
     "p8_packing": packing.p8_packing,
     "p8_report": packing.p8_report,
     "p9_found": tiling.p9_found,
+    "p9_covered": tiling.p9_covered,
     "p9_report": tiling.p9_report,
     "p10_found": reading.p10_found,
     "p10_profile": reading.p10_profile,

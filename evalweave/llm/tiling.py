@@ -1,31 +1,33 @@
 """Evaluation texts leaking into training text: greedy string tiling over shared-token seeds.
 
-The held-out items are the stated query set. They are taken in blocks of at most ``BLOCK_WORDS`` words, so what a task
-holds is bounded however many items there are; a block goes over all documents in one narrow pass without a shuffle:
-
-1. Seeds: Karp-Rabin fingerprints of all runs of ``least`` words of the items (sorted array) are looked up for all runs
-   of each document, from one running sum over the document.
-2. Seeds of one item and document on a diagonal join to maximal matches. The longest is marked, the others are cut back to
-   their unmarked words, and so on down to ``least`` words: the tiles. Order does not matter, so reordered passages count.
-3. The covered share of the item's words, the longest tile and the number of tiles are reported.
+1. Seeds: Karp-Rabin fingerprints of all runs of ``least`` words of the held-out items, from one running sum, as a table
+   (seed, item, place). Items never pass through the driver and may be of any number.
+2. A filter of fixed size (``FILTER_BITS`` bits, 8 MB, whatever the number of items) is made of the seeds and broadcast. The
+   documents are fingerprinted in one narrow pass, and only those seeds of theirs that pass the filter go on: next to none.
+3. Seeds of documents are joined with seeds of items; seeds that many documents hold are salted. The join is exact, so what
+   the filter lets through by chance ends here.
+4. For each pair of item and document, seeds on a diagonal join to maximal matches. The longest is marked, the others are cut
+   back to their unmarked words, and so on down to ``least`` words: the tiles. Order does not matter, so reordered passages
+   count. The covered share of the item's words, the longest tile and the number of tiles are reported.
 """
 
 from __future__ import annotations
 
 import heapq
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm.arrow import map_texts
-from evalweave.llm.shingles import tokens, windows
-from evalweave.session import spread, table
+from evalweave.llm.shingles import mix, tokens, windows
+from evalweave.operators.skew import salted_join
+from evalweave.session import materialize, spread, table
 
-#: Words of items that one pass over the documents carries (8 MB of fingerprints, and as much of places).
-BLOCK_WORDS = 1 << 20
+#: Bits of the filter: 8 MB. With 10 million seeds it lets a twelfth of chance seeds pass, with 100,000 one in 100,000.
+FILTER_BITS = 1 << 26
 
 
 def matches(item_at: np.ndarray, doc_at: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -70,62 +72,62 @@ def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id
     words hold nothing; empty tables give an empty result; equal items are reported each; repeated documents are reported
     each; texts of any length are searched whole.
     """
-    query = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
-    parts = []
-    for block in _blocks(query):
-        parts.append(_pass(docs, doc_id, doc_text, block, least))
-    schema = f"{doc_id} long, {item_id} long, tiles int, covered_words int, longest_tile int, coverage double"
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, parts).toDF(doc_id, item_id, "tiles", "covered_words", "longest_tile", "coverage")
-
-
-def _blocks(query: DataFrame):
-    """The items as lists of (id, text) of bounded size, streamed to the driver a partition at a time."""
-    block, size = [], 0
-    for row in query.toLocalIterator():
-        words = len(row["text"]) // 2 + 1
-        if block and size + words > BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-        block.append((row["item"], row["text"]))
-        size += words
-    if block:
-        yield block
-
-
-def _pass(docs: DataFrame, doc_id: str, doc_text: str, block: list, least: int) -> DataFrame:
-    hashes, counts = tokens([t for _, t in block], code=False)
-    seed, owner, at = windows(hashes, counts, least)
-    order = np.argsort(seed, kind="stable")
-    shared = docs.sparkSession.sparkContext.broadcast((seed[order], owner[order].astype(np.int32), at[order].astype(np.int32), np.array([i for i, _ in block], np.int64), counts))
+    query = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
+    seeds = materialize(_seeds(query, least, None).select("seed", F.col("id").alias("item"), F.col("place").alias("at"), F.col("words").alias("item_words")))
+    src = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text")).where("id is not null and text is not null"))
+    hits = materialize(_seeds(src, least, seed_filter(seeds)).select("seed", F.col("id").alias("doc"), "place", F.col("words").alias("doc_words")))
+    met = salted_join(hits, seeds, "seed").select("doc", "item", "at", "place", "item_words", "doc_words")
+
+    def tiled(pairs: pa.Table) -> pa.Table:
+        words = pairs.column("item_words")[0].as_py()
+        tiles = tile(matches(pairs.column("at").to_numpy().astype(np.int64), pairs.column("place").to_numpy().astype(np.int64), least), words, pairs.column("doc_words")[0].as_py(), least)
+        covered = sum(n for n, _, _ in tiles)
+        head = pairs.slice(0, 1)
+        return pa.table({"doc": head.column("doc"), "item": head.column("item"), "tiles": pa.array([len(tiles)], pa.int32()), "covered_words": pa.array([covered], pa.int32()), "longest_tile": pa.array([tiles[0][0]], pa.int32()), "coverage": pa.array([covered / words])})
+
+    found = met.groupBy("doc", "item").applyInArrow(tiled, "doc long, item long, tiles int, covered_words int, longest_tile int, coverage double")
+    return found.toDF(doc_id, item_id, "tiles", "covered_words", "longest_tile", "coverage")
+
+
+def _seeds(texts: DataFrame, least: int, bits: Broadcast | None) -> DataFrame:
+    """seed, id, place, words for each run of ``least`` words of each text, or for those that pass a filter."""
 
     def make(batch: pa.RecordBatch, texts: list[str]) -> dict:
-        seed, owner, at, ids, item_words = shared.value
-        out = {k: [] for k in ("doc", "item", "tiles", "covered_words", "longest_tile", "coverage")}
-        if len(seed):
-            h, counts = tokens(texts, code=False)
-            w, doc, place = windows(h, counts, least)
-            lo = np.searchsorted(seed, w)
-            hit = seed[np.minimum(lo, len(seed) - 1)] == w
-            w, doc, place, lo = w[hit], doc[hit], place[hit], lo[hit]
-            times = np.searchsorted(seed, w, side="right") - lo
-            which = np.repeat(np.arange(len(w)), times)
-            entry = np.repeat(lo, times) + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-            pair = doc[which].astype(np.int64) * len(ids) + owner[entry]
-            order = np.argsort(pair, kind="stable")
-            names = batch.column("doc").to_pylist() if len(pair) else []
-            pair, which, entry = pair[order], which[order], entry[order]
-            for part in np.split(np.arange(len(pair)), np.flatnonzero(np.diff(pair)) + 1) if len(pair) else ():
-                d, i = divmod(int(pair[part[0]]), len(ids))
-                tiles = tile(matches(at[entry[part]].astype(np.int64), place[which[part]], least), int(item_words[i]), int(counts[d]), least)
-                covered = sum(n for n, _, _ in tiles)
-                for k, v in zip(out, (names[d], int(ids[i]), len(tiles), covered, tiles[0][0], covered / int(item_words[i]))):
-                    out[k].append(v)
-        return out
-
-    src = spread(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(doc_text).alias("text")).where("doc is not null and text is not null"))
-    return map_texts(src, "text", "doc long, item long, tiles int, covered_words int, longest_tile int, coverage double", make)
+        hashes, counts = tokens(texts, code=False)
+        seed, owner, place = windows(hashes, counts, least)
+        if bits is not None:
+            kept = np.flatnonzero(_passes(bits.value, seed))
+            seed, owner, place = seed[kept], owner[kept], place[kept]
+        return {"seed": seed.view(np.int64), "id": batch.column("id").take(pa.array(owner)), "place": place.astype(np.int32), "words": counts[owner].astype(np.int32)}
+
+    return map_texts(texts, "text", "seed long, id long, place int, words int", make)
+
+
+def _probes(seed: np.ndarray, size: int) -> list[np.ndarray]:
+    return [mix(seed ^ np.uint64(k)) % np.uint64(size) for k in (1, 2)]
+
+
+def _passes(bits: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    out = np.ones(len(seed), bool)
+    for at in _probes(seed, 64 * len(bits)):
+        out &= bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+    return out
+
+
+def seed_filter(seeds: DataFrame) -> Broadcast:
+    """A filter that every seed of the table passes: ``FILTER_BITS`` bits as 64-bit words, broadcast."""
+
+    size = FILTER_BITS
+
+    def run(batches):
+        for b in batches:
+            at = np.concatenate(_probes(b.column("seed").to_numpy().view(np.uint64), size))
+            yield pa.RecordBatch.from_pydict({"word": pa.array((at >> np.uint64(6)).astype(np.int32)), "bits": pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))})
+
+    rows = seeds.select("seed").mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
+    bits = np.zeros(size // 64, np.uint64)
+    bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return seeds.sparkSession.sparkContext.broadcast(bits)
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +139,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p9_covered(spark: SparkSession, sf_dir: str, coverage: float = 0.5) -> DataFrame:
+    """Documents whose tiles cover at least half of a held-out item, in whatever order its passages stand."""
+    found = _found(spark, sf_dir).where(F.col("coverage") >= coverage)
+    return found.select("doc_id", "item_id", "tiles", "covered_words", F.round("coverage", 6).alias("coverage"))
+
+
 def p9_report(spark: SparkSession, sf_dir: str, coverage: float = 0.5) -> DataFrame:
     """Per held-out item: documents that hold a passage, those that hold at least half of it, and the largest coverage."""
     hits = _found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.count_if(F.col("coverage") >= coverage).alias("documents_covered"), F.round(F.max("coverage"), 6).alias("most_covered"))

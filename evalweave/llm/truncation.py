@@ -89,29 +89,37 @@ def _names_known(last: str, before: str) -> bool:
     return value and rest <= set(_WORDS.findall(before))
 
 
-def is_cut_off(text: str | None, at_limit: bool) -> bool:
-    """Whether a text lost its end."""
+def cut_evidence(text: str | None, at_limit: bool) -> str | None:
+    """Why a text counts as cut off: ``spike`` (at a length spike, without an ending), ``mark`` (the mark of a cut stands at the
+    end) or ``parse`` (the derivative parser runs to the last line, which breaks off); None for all others."""
     if not text or not text.strip():
-        return False
+        return None
     code = is_code(text)
     mark = MARK.search(text)
     if mark and (code or _WORDS.search(text[: mark.start()])):
-        return not (code and parse(text).valid and ends_complete(text))
+        if code and parse(text).valid and ends_complete(text):
+            return None
+        return "spike" if at_limit else "mark"
     if not code:
-        return at_limit and not _SENTENCE.search(text.rstrip()) and text.rstrip()[-1] not in "`}]);0123456789"
+        return "spike" if at_limit and not _SENTENCE.search(text.rstrip()) and text.rstrip()[-1] not in "`}]);0123456789" else None
     if at_limit:
-        return text[-1] in " \t" or not (ends_complete(text) or _prose_end(text))
+        return "spike" if text[-1] in " \t" or not (ends_complete(text) or _prose_end(text)) else None
     out = parse(text)
     if not out.valid and not out.truncated and out.line <= (lead := _lead_lines(text)):
         text = "\n" * lead + text.split("\n", lead)[lead]
         out = parse(text)
     if out.valid:
         last, before, indent = _last_statement(text)
-        return indent > 0 and _LONE_NAME.match(last) is not None and last not in _WORDS.findall(before)
+        return "parse" if indent > 0 and _LONE_NAME.match(last) is not None and last not in _WORDS.findall(before) else None
     bottom = text.rstrip().count("\n") + 1
     if not out.truncated and out.line < bottom:
-        return False
-    return not _prose_end(text) and not _statement_done(text)
+        return None
+    return None if _prose_end(text) or _statement_done(text) else "parse"
+
+
+def is_cut_off(text: str | None, at_limit: bool) -> bool:
+    """Whether a text lost its end."""
+    return cut_evidence(text, at_limit) is not None
 
 
 def _lead_lines(text: str) -> int:
@@ -151,7 +159,7 @@ def length_limits(df: DataFrame, source: list[str], text: str) -> DataFrame:
 
 
 def cut_off(df: DataFrame, source: list[str], text: str, keep: list[str]) -> DataFrame:
-    """Every row of ``df``: ``keep``, ``source``, at_limit, truncated (boolean, never null).
+    """Every row of ``df``: ``keep``, ``source``, at_limit, truncated (boolean, never null), evidence (see ``cut_evidence``).
 
     Null and blank texts are not truncated; a source of null is a source; an empty table gives no rows; repeated rows stay.
     """
@@ -164,12 +172,12 @@ def cut_off(df: DataFrame, source: list[str], text: str, keep: list[str]) -> Dat
     rows = spread(df.select(*columns, F.col(text).alias("__text"))).join(wide, same, "left")
     at = F.coalesce(F.length("__text") == F.col("__chars"), F.lit(False)) | F.coalesce(F.octet_length("__text") == F.col("__bytes"), F.lit(False))
     rows = rows.select(*columns, "__text", at.alias("at_limit"))
-    schema = rows.select(*columns, "at_limit").schema.add("truncated", "boolean")
+    schema = rows.select(*columns, "at_limit").schema.add("truncated", "boolean").add("evidence", "string")
 
     def run(batches):
         for b in batches:
-            flags = [is_cut_off(t, a) for t, a in zip(b.column("__text").to_pylist(), b.column("at_limit").to_pylist())]
-            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in [*columns, "at_limit"]} | {"truncated": pa.array(flags, pa.bool_())})
+            found = pa.array([cut_evidence(t, a) for t, a in zip(b.column("__text").to_pylist(), b.column("at_limit").to_pylist())], pa.string())
+            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in [*columns, "at_limit"]} | {"truncated": found.is_valid(), "evidence": found})
 
     return rows.mapInArrow(run, schema)
 
@@ -179,9 +187,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_off(table(spark, sf_dir, "generations"), ["model", "dataset"], "generated_solution", ["generation_id"]).where("truncated").select("generation_id")
 
 
+def p2_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length spikes of each source, in characters and bytes."""
+    return length_limits(table(spark, sf_dir, "generations"), ["model", "dataset"], "generated_solution")
+
+
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each source truncates."""
+    """How often each source truncates, and by which evidence."""
     rows = cut_off(table(spark, sf_dir, "generations"), ["model", "dataset"], "generated_solution", [])
     return rows.groupBy("model", "dataset").agg(
-        F.count("*").alias("rows"), F.count_if("at_limit").alias("rows_at_limit"), F.count_if("truncated").alias("truncated"), F.round(F.avg(F.col("truncated").cast("double")), 6).alias("truncated_share")
+        F.count("*").alias("rows"), F.count_if("at_limit").alias("rows_at_limit"), F.count_if("truncated").alias("truncated"),
+        *(F.count_if(F.col("evidence") == e).alias(f"by_{e}") for e in ("spike", "mark", "parse")), F.round(F.avg(F.col("truncated").cast("double")), 6).alias("truncated_share")
     )

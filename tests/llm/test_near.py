@@ -246,14 +246,22 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
         want |= {(d, i) for i, x in items if plain_set(x, 13, False) & runs}
     left = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item", F.lit(1))
     right = spark.createDataFrame(items, "item_id long, text string")
-    for block in (tiling.BLOCK_WORDS, 50):
-        monkeypatch.setattr(tiling, "BLOCK_WORDS", block)
+    for size in (tiling.FILTER_BITS, 64):
+        monkeypatch.setattr(tiling, "FILTER_BITS", size)
         rows = tiling.leaks(left, "doc_id", "text", right, "item_id", "text").collect()
         assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want) and all(0 < r.coverage <= 1 and r.longest_tile >= 13 for r in rows)
     assert tiling.leaks(left, "doc_id", "text", right.limit(0), "item_id", "text").count() == 0
     assert tiling.leaks(left.limit(0), "doc_id", "text", right, "item_id", "text").count() == 0
 
 
+def test_one_passage_in_a_third_of_the_documents(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    docs = spark.createDataFrame([(k, f"{passage} d{k}" if k % 3 == 0 else f"d{k} " * 20) for k in range(600)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage + " end"), (2, "x y " * 30)], "item_id long, text string")
+    rows = tiling.leaks(docs, "doc_id", "text", items, "item_id", "text").collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(k, 1) for k in range(0, 600, 3)} and {r.covered_words for r in rows} == {20}
+
+
 def test_tiles_do_not_overlap_and_find_reordered_passages():
     item = [f"a{k}" for k in range(40)]
     doc = item[20:] + ["x"] * 5 + item[:20] + item[5:18]
