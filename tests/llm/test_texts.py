@@ -159,25 +159,48 @@ def test_defects(spark):
     filler = [(100 + k, DONE.replace("total", f"t{k}"), "stop") for k in range(200)]
     df = spark.createDataFrame([(i, "q1" if i % 2 else "q2", a, f, "m") for i, a, f in answers + filler], "generation_id long, problem_id string, a string, f string, model string")
     questions = spark.createDataFrame([("q1", QUESTION), ("q2", QUESTION)], "problem_id string, prompt string")
-    patterns = pairs.vote_patterns(df, questions, "generation_id", "problem_id", "a", "prompt", "f", ["model"])
-    got = {r.generation_id: r.defect for r in pairs.defect_labels(patterns, "generation_id").collect()}
+    patterns, programs = pairs.vote_patterns(df, questions, "generation_id", "problem_id", "a", "prompt", "f", ["model"])
+    got = {r.generation_id: r.defect for r in pairs.defect_labels(patterns, programs, "generation_id").collect()}
     assert got == {1: "empty", 2: "empty", 3: "empty", 4: "refusal", 5: "copies_prompt", 6: "other_language", 7: "other_language", 8: "truncated"}
     none = pairs.vote_patterns(df.limit(0), questions, "generation_id", "problem_id", "a", "prompt", "f", ["model"])
-    assert pairs.defect_labels(none, "generation_id").count() == 0
+    assert pairs.defect_labels(*none, "generation_id").count() == 0 and none[1] == [] and 100 < len(programs) <= pairs.PLANTED
 
 
-def test_label_model_recovers_a_planted_defect():
+def test_answers_with_two_defects_keep_both_labels(spark):
+    java = "class Solution {\n    public int f(int[] a) {\n        int best = 0;\n        for (int x : a) { best += x; }\n        return best + "
+    filler = [(100 + k, DONE.replace("total", f"t{k}"), "stop") for k in range(300)] + [(500 + k, DONE[: 60 + k % 9], "length") for k in range(30)] + [(600 + k, java + "1;\n    }\n}", "stop") for k in range(20)]
+    df = spark.createDataFrame([(i, "q1", a, f, "m") for i, a, f in [(1, java + "...", "length"), *filler]], "generation_id long, problem_id string, a string, f string, model string")
+    questions = spark.createDataFrame([("q1", QUESTION)], "problem_id string, prompt string")
+    got = {r.generation_id: r for r in pairs.defect_labels(*pairs.vote_patterns(df, questions, "generation_id", "problem_id", "a", "prompt", "f", ["model"]), "generation_id").collect()}
+    assert set(got[1].labels) == {"truncated", "other_language"} and all(got[600 + k].labels == ["other_language"] for k in range(20)) and not any(100 + k in got for k in range(300))
+
+
+def test_label_model_recovers_hidden_classes():
     rng = np.random.default_rng(1)
-    truth = rng.random(20_000) < 0.05
-    bits = np.zeros((len(truth), len(pairs.FUNCTIONS)))
-    for k, (name, d) in enumerate(pairs.FUNCTIONS):
-        rate = (0.7, 0.03) if d == "refusal" else (0.02, 0.9) if d == "ok" else (0.02, 0.02)
-        bits[:, k] = rng.random(len(truth)) < np.where(truth, *rate)
-    model = pairs.LabelModel("refusal").fit(bits, np.ones(len(truth)))
-    p = model.posterior(bits)
-    cut = pairs.validated_cutoff(p, np.ones(len(truth)))
-    hit = p >= cut
-    assert (hit & truth).sum() / truth.sum() > 0.85 and (hit & truth).sum() / hit.sum() > 0.8 and 0.03 < model.share < 0.07
+
+    def draw(truth):
+        out = np.zeros((len(truth), len(pairs.FUNCTIONS)), np.int8)
+        for k, name in enumerate(pairs.FUNCTIONS):
+            own = next((1 + j for j, d in enumerate(pairs.DEFECTS) if name in pairs.BEARING[d]), None)
+            rate = np.where(truth == 0, 0.9, 0.02) if own is None else np.where(truth == own, 0.7, 0.02)
+            out[:, k] = np.where(rng.random(len(truth)) < rate, 2 if own is None else 1, 0)
+        return out
+
+    truth = rng.choice(6, 20_000, p=[0.8, 0.04, 0.04, 0.04, 0.04, 0.04])
+    anchors = np.arange(600) % 6
+    found = draw(truth)
+    model = pairs.LabelModel(draw(anchors), anchors).fit(found, np.ones(len(truth)))
+    p = model.posteriors(found)
+    held = draw(anchors)
+    for k in range(5):
+        cut = pairs.validated_cutoff(model.posteriors(held)[:, k], anchors == k + 1, model.prior[anchors])
+        hit = p[:, k] >= cut
+        assert (hit & (truth == k + 1)).sum() > 0.8 * (truth == k + 1).sum() and (hit & (truth == k + 1)).sum() > 0.75 * hit.sum()
+    assert abs(model.prior[0] - 0.8) < 0.03
+
+
+def test_cutoff_parts_the_examples():
+    assert 0.3 < pairs.validated_cutoff(np.array([0.9, 0.3, 0.8, 0.1]), np.array([1, 0, 1, 0]), np.ones(4)) < 0.8
 
 
 def test_language():
