@@ -9,13 +9,13 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.functions.code import BUCKETS, assemble_prompt, prompt_with_fallback, stable_id
+from evalweave.functions.code import BUCKETS, assemble_prompt, compose_script, compose_submission, prompt_with_fallback, stable_id
 from evalweave.functions.integers import transform
 from evalweave.functions.text import context_text
 from evalweave.operators import probe as P
 from evalweave.operators import tasks as K
-from evalweave.operators.rewriting import ADAPTERS, Adapter, rewrite_dataset
-from evalweave.plans.providers import CompletionProvider, EchoProvider, HashLogprobs, LogprobProvider, generate, score
+from evalweave.operators.rewriting import ADAPTERS, Adapter, only_rewritten, rewrite_dataset
+from evalweave.plans.providers import CompletionProvider, EchoProvider, HashLogprobs, HttpCompletions, LogprobProvider, Retrying, generate, in_rounds, run_test_lists, run_tests, score
 from evalweave.sources import sinks
 
 MODES = ("iso", "iso_enc_only", "iso_dec_only")
@@ -107,9 +107,32 @@ def family_summary(scores: DataFrame, catalogue: DataFrame) -> DataFrame:
     return P.auc(rows, ("model", "family"), "score", "is_seen").join(P.separation(rows, ("model", "family"), "score", "is_seen"), ["model", "family"])
 
 
+#: What a record of a test result holds.
+RESULT = ("dataset", "model", "temperature", "problem_id", "completion_index", "source_file", "row_index", "iso_family", "iso_seed", "iso_params", "status", "pass", "error", "time_s", "timeout")
+
+
+def test_records(rows: DataFrame, dataset: str, timeout_s: float = 10.0, done: DataFrame | None = None, allow: bool = False) -> DataFrame:
+    """Results of testing the answers of one data set, without those already ``done`` (problem_id, completion_index).
+
+    ``rows`` are answers beside the columns of their problem: bigobench ones have tests (public, private, generated), run in
+    order until one fails; effibench ones a starter and a runner, mbpp ones imports and asserts, run as one script. Columns
+    of a record that ``rows`` lack are null.
+    """
+    todo = rows if done is None else K.pending(rows, done, ("problem_id", "completion_index"))
+    if dataset == "bigobench":
+        out = run_test_lists(todo.withColumn("__tests", ADAPTERS[dataset].tests()), "generated_solution", "__tests", timeout_s, allow=allow)
+    else:
+        answer = F.coalesce("generated_solution", F.lit(""))
+        script = compose_submission(answer, F.col("starter_code_python3"), F.coalesce("test_runner_python3", F.lit(""))) if dataset == "effibench" else compose_script(answer, F.col("test_imports"), F.col("test_list"))
+        out = run_tests(todo.withColumn("__script", F.when(F.length(F.trim(answer)) > 0, script)), "__script", timeout_s=timeout_s, allow=allow)
+        out = out.withColumn("pass", F.col("status") == "success").withColumn("timeout", F.col("status") == "timeout")
+    out = out.withColumn("dataset", F.lit(dataset))
+    return out.select(*(F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in RESULT))
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("stage", choices=("rewrite", "generate", "report", "probe"))
+    parser.add_argument("stage", choices=("rewrite", "generate", "test", "report", "probe"))
     parser.add_argument("--input", required=True, help="a Parquet table")
     parser.add_argument("--output", required=True)
     parser.add_argument("--dataset", choices=sorted(ADAPTERS), default="effibench")
@@ -117,6 +140,13 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--seed", type=int, default=42)
     parser.add_argument("--completions", type=int, default=5)
     parser.add_argument("--max-problems", type=int)
+    parser.add_argument("--only-rewritten", action="store_true", help="generate only for rows whose rewriting was applied")
+    parser.add_argument("--url", help="a chat-completions server; offline completions without it")
+    parser.add_argument("--model", default="offline")
+    parser.add_argument("--key-variable", help="environment variable of the workers that holds the server's key")
+    parser.add_argument("--rounds", type=int, default=1, help="shares in which completions are generated and appended")
+    parser.add_argument("--timeout", type=float, default=10.0)
+    parser.add_argument("--allow-run", action="store_true", help="the test stage runs code from the data; only in a sandbox")
     parser.add_argument("--dry-run", action="store_true", help="print the plan and three rows, write nothing")
     mode = parser.add_mutually_exclusive_group()
     mode.add_argument("--encode-only", action="store_true")
@@ -128,10 +158,18 @@ def main(argv: list[str] | None = None) -> None:
     if args.stage == "rewrite":
         out = rewrite_dataset(rows, adapter, transform(args.family, args.seed), args.seed, "iso_enc_only" if args.encode_only else "iso_dec_only" if args.decode_only else "iso")
     elif args.stage == "generate":
+        if args.only_rewritten:
+            rows = only_rewritten(rows)
         rows = rows.withColumn("row_index", F.col(adapter.row_index).cast("bigint"))
         rows = rows if "source_file" in rows.columns else rows.withColumn("source_file", F.lit(args.dataset))
-        provider: CompletionProvider = EchoProvider()
-        out = generate(build_tasks(rows, args.dataset, adapter, "offline", args.completions, max_problems=args.max_problems), "prompt_used", provider)
+        provider: CompletionProvider = Retrying(HttpCompletions(args.url, args.model, key_variable=args.key_variable)) if args.url else EchoProvider()
+        tasks = build_tasks(rows, args.dataset, adapter, args.model, args.completions, max_problems=args.max_problems, iso=args.only_rewritten)
+        if args.rounds > 1 and not args.dry_run:
+            in_rounds(tasks, ("problem_id", "completion_index"), args.rounds, lambda t: generate(t, "prompt_used", provider), lambda t: sinks.write_jsonl(t, args.output, append=True))
+            return
+        out = generate(tasks, "prompt_used", provider)
+    elif args.stage == "test":
+        out = test_records(rows, args.dataset, args.timeout, allow=args.allow_run)
     elif args.stage == "probe":
         out = P.contamination(probe(rows.select(F.lit(args.dataset).alias("dataset"), F.col(adapter.row_index).alias("row_id"), F.col(adapter.prompt).alias("text")), ("dataset",), "row_id", "text", HashLogprobs(), 100), ("dataset",))
     else:
@@ -143,6 +181,5 @@ def main(argv: list[str] | None = None) -> None:
         sinks.write_jsonl(out, args.output)
 
 
-
 if __name__ == "__main__":
     main()
