@@ -202,137 +202,6 @@ def continuations(rows: DataFrame, prefix: str, provider: ContinuationProvider)
     return rows.mapInPandas(run, schema)
 
 
-def score(self, texts: list[str], suffixes: list[str | None]) -> list[list[tuple[str, float]] | None]:
-        """Tokens with log-probabilities, of the suffix only where one is given; null where scoring failed."""
-
-
-class EchoProvider:
-    """An offline completion: a fenced function whose name hangs on the prompt."""
-
-    def complete(self, prompts: list[str]) -> list[tuple[str | None, str | None]]:
-        return [(f"```python\ndef solve_{hashlib.sha256(p.encode()).hexdigest()[:8]}(x):\n    return x\n```", None) for p in prompts]
-
-
-class HttpCompletions:
-    """Completions and continuations of a server with the common chat-completions format, one request a prompt.
-
-    The key is read from an environment variable of the worker, so it is never part of a plan. A status other than 200, a
-    body without choices, an empty text and a lost connection each become an error message.
-    """
-
-    def __init__(self, url: str, model: str, temperature: float = 0.0, max_tokens: int = 4096, timeout_s: float = 60.0, key_variable: str | None = None) -> None:
-        self.url, self.model, self.temperature, self.max_tokens, self.timeout_s, self.key_variable = url, model, temperature, max_tokens, timeout_s, key_variable
-
-    def _post(self, prompt: str, more: dict) -> dict:
-        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": self.temperature, "max_tokens": self.max_tokens} | more
-        headers = {"Content-Type": "application/json"}
-        if self.key_variable:
-            headers["Authorization"] = f"Bearer {os.environ.get(self.key_variable, '')}"
-        request = urllib.request.Request(self.url, json.dumps(body).encode(), headers)
-        with urllib.request.urlopen(request, timeout=self.timeout_s) as reply:
-            return json.load(reply)
-
-    def complete(self, prompts: list[str]) -> list[Completion]:
-        return [self._one(p) for p in prompts]
-
-    def _one(self, prompt: str) -> Completion:
-        try:
-            body = self._post(prompt, {})
-        except urllib.error.HTTPError as e:
-            return Completion(None, f"HTTP_{e.code}: {e.read()[:500].decode(errors='replace')}")
-        except Exception as e:
-            return Completion(None, f"HTTP_ERROR: {type(e).__name__}: {e}"[:500], None, {"exception_type": type(e).__name__})
-        choices = body.get("choices") or []
-        if not choices:
-            return Completion(None, "No candidates in response")
-        reason = choices[0].get("finish_reason")
-        text = (choices[0].get("message") or {}).get("content") or ""
-        about = {"model_returned": str(body.get("model", self.model))} | {f"usage.{k}": str(v) for k, v in (body.get("usage") or {}).items()}
-        return Completion(text, None, reason, about) if text.strip() else Completion(None, "No content in response", reason, about)
-
-    def continue_(self, prefixes: list[str]) -> list[tuple[str, list[tuple[str, float]]] | None]:
-        out: list = []
-        for prefix in prefixes:
-            try:
-                choice = self._post(prefix, {"logprobs": True, "temperature": 0.0})["choices"][0]
-                tokens = [(t["token"], float(t["logprob"])) for t in (choice.get("logprobs") or {}).get("content") or [] if t.get("logprob") is not None]
-                out.append((choice["message"]["content"] or "", tokens))
-            except Exception:
-                out.append(None)
-        return out
-
-
-class HashContinuations:
-    """Offline continuations: a few of the prefix's words, each with a log-probability that hangs on the word."""
-
-    def __init__(self, words: int = 5) -> None:
-        self.words = words
-
-    def continue_(self, prefixes: list[str]) -> list[tuple[str, list[tuple[str, float]]] | None]:
-        out: list = []
-        for p in prefixes:
-            words = sorted(set(p.split()), key=lambda w: hashlib.md5(w.encode()).hexdigest())[: self.words]
-            out.append((" ".join(words), [(w, -1.0 - int(hashlib.md5(w.encode()).hexdigest()[:4], 16) / 65536) for w in words]) if words else None)
-        return out
-
-
-class Retrying:
-    """A provider that tries again, with rising waits, where an error is worth it; what fails to the end says so."""
-
-    def __init__(self, inner: CompletionProvider, attempts: int = 7, wait=time.sleep) -> None:
-        self.inner, self.attempts, self.wait = inner, attempts, wait
-
-    def complete(self, prompts: list[str]) -> list[tuple]:
-        from evalweave.functions.code import RETRYABLE
-
-        def again(error: str | None) -> bool:
-            return bool(error) and any(p.lower() in error.lower() for p in RETRYABLE)
-
-        out = list(self.inner.complete(prompts))
-        for attempt in range(self.attempts - 1):
-            failed = [k for k, r in enumerate(out) if again(r[1])]
-            if not failed:
-                break
-            jitter = int(hashlib.md5(f"{prompts[failed[0]]}|{attempt}".encode()).hexdigest()[:4], 16) / 32768 - 1
-            self.wait(backoff(attempt, jitter))
-            for k, r in zip(failed, self.inner.complete([prompts[k] for k in failed])):
-                out[k] = r
-        return [(None, f"RETRY_EXHAUSTED({self.attempts}): {r[1]}", *r[2:]) if again(r[1]) else r for r in out]
-
-
-class HashLogprobs:
-    """Offline log-probabilities: each word has one that hangs on the word, and a better one if the text before holds it."""
-
-    def score(self, texts: list[str], suffixes: list[str | None]) -> list[list[tuple[str, float]] | None]:
-        out = []
-        for text, suffix in zip(texts, suffixes):
-            start = len(text) - len(suffix) if suffix and text.endswith(suffix) else 0
-            seen = set(text[:start].split())
-            words = text[start:].split()
-            out.append([(w, -1.0 - int(hashlib.md5(w.encode()).hexdigest()[:4], 16) / 65536 * 8 + (2.0 if w in seen else 0.0)) for w in words])
-        return out
-
-
-def generate(tasks: DataFrame, prompt: str, provider: CompletionProvider, batch: int = 16) -> DataFrame:
-    """Tasks with raw_llm_output, error_message, latency_s, generated_solution, ast_error and prompt_hash."""
-    schema = StructType([*tasks.schema.fields]).add("raw_llm_output", "string").add("error_message", "string").add("latency_s", "double")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for a in range(0, len(pdf), batch):
-                part = pdf.iloc[a : a + batch]
-                began = time.monotonic()
-                try:
-                    found = provider.complete(part[prompt].fillna("").tolist())
-                except Exception as e:
-                    found = [(None, f"{type(e).__name__}: {e}")] * len(part)
-                took = (time.monotonic() - began) / max(1, len(part))
-                yield part.assign(raw_llm_output=[t for t, _ in found], error_message=[e for _, e in found], latency_s=took)
-
-    out = tasks.mapInPandas(run, schema).withColumn("generated_solution", extract_code(F.col("raw_llm_output")))
-    return out.withColumn("ast_error", syntax_error("generated_solution")).withColumn("prompt_hash", F.sha2(F.coalesce(F.col(prompt), F.lit("")), 256))
-
-
 def score(rows: DataFrame, text: str, suffix: str | None, provider: LogprobProvider) -> DataFrame:
     """Rows with logprobs: an array of (token, logprob), null where scoring failed."""
     kind = ArrayType(StructType([StructField("token", StringType()), StructField("logprob", DoubleType())]))
