@@ -201,7 +201,7 @@ def fuzz_synonyms(df: DataFrame, text: str, row_id: str, level: float, seed: int
 
     def one(token: Column, place: Column) -> Column:
         synonyms = F.when(F.lower(token).isin(*(r["word"] for r in known)) & is_eligible(token), F.try_element_at(table, F.lower(token)))
-        new = F.when(_drawn(place, row, seed) < level, _replacement(token, synonyms, place, row, seed))
+        new = F.when(synonyms.isNotNull(), F.when(_drawn(place, row, seed) < level, _replacement(token, synonyms, place, row, seed)))
         return F.struct(F.coalesce(new, token).alias("t"), new.isNotNull().cast("int").alias("n"))
 
     out = df.withColumn("__new", F.transform(tokens, one))

@@ -166,13 +166,13 @@ def bootstrap(pairs: DataFrame, by: Sequence[str], problem: Sequence[str], repli
         r = np.arange(replicates)
         for a in range(0, len(step), 64):
             draws = (step[a : a + 64, None] * r + start[a : a + 64, None]) % PRIME
-            weight = np.zeros(draws.shape)
+            weight = np.zeros(draws.shape, np.int8)
             for limit in limits:
                 over = draws >= limit
                 if not over.any():
                     break
                 weight += over
-            sums += values[:, a : a + 64] @ weight
+            sums += values[:, a : a + 64] @ weight.astype(float)
         lists = {c: pa.ListArray.from_arrays(pa.array([0, replicates], pa.int32()), pa.array(x)) for c, x in zip("wxy", sums)}
         return pa.table({c: pairs_.column(c).slice(0, 1) for c in columns} | lists)
 

@@ -31,19 +31,26 @@ def capped_scan(rows: DataFrame, position: str, keep: Column, cap: int, n: int)
     return head.where(keep).orderBy(position).limit(n)
 
 
+#: Texts of a stretch of a ring.
+STRETCH = 4096
+
+
 def contexts(pool: DataFrame, by: Sequence[str], row_id: str, text: str, k: int, seeds: int, seed: int) -> DataFrame:
     """``k`` other texts of the group for every text and seed: ``by``, row_id, seed, place, context_id.
 
     For each seed the distinct texts of a group are put in a ring by hash, and a text's contexts are the k after it: n log n
     instead of the pairs of a group, and never the text itself or a copy of it (equal 128-bit hashes). context_id is the
     smallest id of the texts that equal the context. Groups with k texts or fewer give all others. Only ids and hashes are
-    moved. Rings are cut into 256 stretches, so a group may be of any size; null groups are groups; blank texts have no
-    place in a ring.
+    moved. Rings are cut into stretches of about ``STRETCH`` texts (up to 256 of them), so a group may be of any size; the
+    result does not hang on the cuts. Null groups are groups; blank texts have no place in a ring.
     """
     hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("seed").cast("string"), F.col("__text")))
     named = pool.where(F.length(strip(F.col(text))) > 0).select(F.struct(*by).alias("group"), F.col(row_id).alias("id"), F.col(text).alias("__text"), F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
     places = materialize(named.select("group", "id", "seed", hashed.alias("h")))
-    ring = places.groupBy("group", "seed", "h").agg(F.min("id").alias("rep")).withColumn("stretch", F.substring("h", 1, 2))
+    ring = places.groupBy("group", "seed", "h").agg(F.min("id").alias("rep"))
+    parts = places.groupBy("group", "seed").agg(F.least(F.ceil(F.count("*") / STRETCH), F.lit(256)).alias("parts"))
+    number = F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint")  # rises with the hash
+    ring = ring.join(parts, ["group", "seed"]).withColumn("stretch", F.shiftright(number * F.col("parts"), 32)).drop("parts")
     inside = Window.partitionBy("group", "seed", "stretch").orderBy("h")
     ahead = ring.select("*", *(F.lead("rep", j).over(inside).alias(f"c{j}") for j in range(1, k + 1)), F.row_number().over(inside).alias("r"))
     # The ends of a stretch go on with the heads of the stretches that follow: at most k + 1 ids of each stretch.

@@ -125,7 +125,7 @@ def q22_box_summary(spark, d):
 
 
 def _probe(spark, d):
-    docs = table(spark, d, "documents").where("length(text) > 0").select("source", "doc_id", "text")
+    docs = spread(table(spark, d, "documents").where("length(text) > 0").select("source", "doc_id", "text"))
     return docs, P.contexts(docs, ("source",), "doc_id", "text", 3, 1, 42)
 
 
@@ -142,7 +142,7 @@ def q23_contamination(spark, d):
 
 def q23_contamination_seeds(spark, d):
     """The same with the mean shift of three seeds."""
-    docs = table(spark, d, "documents").where("length(text) > 0").select("source", "doc_id", "text")
+    docs = spread(table(spark, d, "documents").where("length(text) > 0").select("source", "doc_id", "text"))
     scores = P.unigram_scores(docs, ("source",), "doc_id", "text", P.contexts(docs, ("source",), "doc_id", "text", 3, 3, 42))
     return P.contamination(P.shifts(scores, ("source",), "doc_id"), ("source",))
 
@@ -184,7 +184,7 @@ def q28_lines(spark, d):
 
 def _fuzzed(spark, d) -> DataFrame:
     words = spark.createDataFrame(sorted(T.THESAURUS.items()), "word string, synonyms array<string>")
-    return T.fuzz_synonyms(table(spark, d, "effibench").select("_idx", "_src_file", "prompt"), "prompt", "_idx", 0.4, 42, words)
+    return T.fuzz_synonyms(spread(table(spark, d, "effibench").select("_idx", "_src_file", "prompt")), "prompt", "_idx", 0.4, 42, words)
 
 
 def q30_synonym_fuzz(spark, d):

@@ -117,7 +117,9 @@ def test_auc_ties_and_empty_sides(spark):
     assert sep == {"a": 0.0, "b": None}
 
 
-def test_contexts_are_the_next_in_the_ring(spark):
+@pytest.mark.parametrize("stretch", [4096, 5])
+def test_contexts_are_the_next_in_the_ring(spark, monkeypatch, stretch):
+    monkeypatch.setattr(P, "STRETCH", stretch)
     import hashlib
 
     rows = [(g, k, f"text {g} {k % 37}") for g in ("a", "b", None) for k in range(60)] + [("c", 0, "lonely"), ("a", 99, None), ("a", 98, " ")]
