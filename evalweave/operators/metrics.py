@@ -198,12 +198,12 @@ def grid(intervals: DataFrame, by: Sequence[str], condition_col: str, rates: Dat
     """Every combination of the keys and conditions that occur, with its rate and, where there is one, its interval.
 
     ``by`` and condition, rate, ci_lo, ci_hi, shown: the rate in percent with the interval of its change, ``-`` where the
-    grid has no result. The dimensions are the distinct values of each key, joined as a small product.
+    grid has no result. The dimensions are the distinct values of each key, spread out in one row: no join.
     """
-    cells = None
-    for name in (*by, condition_col):
-        values = rates.select(name).where(F.col(name).isNotNull()).distinct().agg(F.sort_array(F.collect_list(name)).alias("v"))
-        cells = values.select(F.explode("v").alias(name)) if cells is None else cells.join(F.broadcast(values)).select(*cells.columns, F.explode("v").alias(name))
+    names = (*by, condition_col)
+    cells = rates.agg(*(F.sort_array(F.collect_set(c)).alias(c) for c in names))
+    for c in names:
+        cells = cells.withColumn(c, F.explode(c))
     found = rates.select(*by, condition_col, F.round(100 * F.col(rate), 6).alias("rate"))
     out = cells.join(found, [*by, condition_col], "left").join(intervals.select(*by, condition_col, "ci_lo", "ci_hi"), [*by, condition_col], "left")
     number = F.format_string("%.1f", F.round("rate", 1))
