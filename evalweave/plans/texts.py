@@ -262,7 +262,7 @@ def q47_corpus_chunks(spark, d):
 
 def q50_mean_logprob(spark, d):
     rows = table(spark, d, "bigobench")
-    return rows.select("solution_no", F.round(P.mean_logprob(F.col("problem_time_curve_coefficient_list"), 1), 6).alias("mean"))
+    return rows.select("solution_no", F.round(P.mean_logprob(F.col("problem_time_curve_coefficient_list"), 1), 9).alias("mean"))
 
 
 def q51_alignment(spark, d):
@@ -386,7 +386,7 @@ select case when a is not null then 'first' when b is not null then 'fallback' e
     "q43_problem_ids": "select generation_id, case when dataset is distinct from 'mbpp' and length(problem_id) > 0 then problem_id else substr(sha256(concat_ws(':', source_file, cast(row_index as varchar))), 1, 16) end pid from generations",
     "q46_scripts": "select generation_id, md5(concat_ws(chr(10), coalesce(array_to_string(test_imports, chr(10)), ''), coalesce(generated_solution, ''), array_to_string(test_list, chr(10)))) script_md5 from generations g join mbpp on g.problem_id = 'mbpp_' || task_id where g.dataset = 'mbpp'",
     "q47_corpus_chunks": f"select 'bigobench' dataset, count(*) chunks, sum(length(solution_code)) chars from bigobench where length({_STRIP.format('solution_code')}) > 0",
-    "q50_mean_logprob": "select solution_no, round(list_avg(case when len(problem_time_curve_coefficient_list) > 1 then problem_time_curve_coefficient_list[2:] else problem_time_curve_coefficient_list end), 6) mean from bigobench",
+    "q50_mean_logprob": "select solution_no, round(list_avg(case when len(problem_time_curve_coefficient_list) > 1 then problem_time_curve_coefficient_list[2:] else problem_time_curve_coefficient_list end), 9) mean from bigobench",
     "q31_detokenise": f"""select doc_id, {_STRIP.format("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+([.,;:!?)\\]}])', '\\1', 'g'), '([(\\[{])[ \\t\\n\\r\\f\\x0b]+', '\\1', 'g'), '` +', '`', 'g'), ' +`', '`', 'g'), '[ \\t\\n\\r\\f\\x0b]{2,}', ' ', 'g')")} "text" from documents""",
 }
 
