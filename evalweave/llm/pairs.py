@@ -1,13 +1,13 @@
 """Broken prompt and response pairs: noisy labelling functions under an expectation-maximisation label model.
 
 1. Every answer is read once. A labelling function votes for a defect, against it, or abstains; the votes of an answer are one
-   bit pattern (``SIGNALS``). Functions that compare with the question abstain on answers that hold a finished program;
-   all others see it through a salted join, as one question may hold a third of all answers.
+   bit pattern (``SIGNALS``). Every answer is compared with its question, finished programs too; it meets it through a salted
+   join, as one question may hold a third of all answers.
 2. Patterns are counted (map-side combined). There are at most 2 ** len(SIGNALS) of them, whatever the number of answers (a
    few hundred in practice), so the counts may go to the driver.
-3. Planted examples: ``PLANTED`` finished programs (the first by hash; a documented bound) are kept as they are, made wordy or
-   faulty, or spoilt in a known way. They go through the same functions. One half anchors the label model, so that its
-   hidden classes keep their meaning; the other half is held out.
+3. Planted examples: in the same pass, every finished program is once more kept as it is, made wordy or faulty, or spoilt in a
+   known way, and goes through the same functions. Only counts of classes and patterns go to the driver. One half anchors the
+   label model, so that its hidden classes keep their meaning; the other half is held out.
 4. Label model: a hidden class (fine, or one of the defects) and for each class and function the probabilities of the three
    votes, fitted by expectation-maximisation to the pattern counts of all answers and the anchors. The posterior of a
    defect is taken over the votes that bear on it (``BEARING``), so one answer may have several defects.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm.language import language
-from evalweave.llm.shingles import shingle_sets
+from evalweave.llm.shingles import chunks, shingle_sets
 from evalweave.llm.truncation import MARK, cut_off, ends_complete, is_code, is_cut_off
 from evalweave.operators.skew import salted_join
 from evalweave.session import materialize, table
@@ -44,7 +45,8 @@ PYTHON = {d: FUNCTIONS[18:] if d == "truncated" else FUNCTIONS[16:] for d in DEF
 #: (function, vote) of each bit of a pattern: 1 is a vote for its defect, 2 one against.
 SIGNALS = (*((name, 1) for name in FUNCTIONS[:16]), ("few_words", 2), ("words_of_question", 2), ("sentences_of_question", 2), ("python_lines", 2), ("program", 2), ("finished_program", 2))
 BIT = {signal: 1 << k for k, signal in enumerate(SIGNALS)}
-#: Finished programs that planted examples are made of.
+#: Planted examples (anchors and held out) that weigh in full in the fit; more of them weigh no more than so many, or than their
+#: share of the answers. It bounds a weight, not the examples.
 PLANTED = 1000
 CLASSES = ("fine", *DEFECTS)
 
@@ -77,21 +79,27 @@ def has_program(text: str) -> bool:
     return is_code(text) and _ENDS.search(text) is not None
 
 
-def _overlaps(answers: list[str], questions: list[str]) -> list[tuple[float, float]]:
-    """Shares of an answer's distinct words, and of its runs of 5 words, that stand in the question."""
-    out = []
-    shares = []
-    for width in (1, 5):
-        a, n, _ = shingle_sets(answers, width, code=False)
-        q, m, _ = shingle_sets(questions, width, code=False)
-        pa_, pq = np.split(a, np.cumsum(n)[:-1]), np.split(q, np.cumsum(m)[:-1])
-        shares.append([len(np.intersect1d(x, y, assume_unique=True)) / len(x) if len(x) else 0.0 for x, y in zip(pa_, pq)])
-    out = list(zip(*shares))
+def _overlaps(answers: list[str | None], questions: list[str | None]) -> list[tuple[float, float] | None]:
+    """Shares of an answer's distinct words, and of its runs of 5 words, that stand in the question; None without a question."""
+    out: list = [None] * len(answers)
+    need = [i for i, q in enumerate(questions) if q]
+    plain = [_plain(answers[i] or "") for i in need]
+    for start, part in chunks([p + questions[i] for p, i in zip(plain, need)]):
+        at, texts = need[start : start + len(part)], plain[start : start + len(part)]
+        distinct = {q: k for k, q in enumerate(dict.fromkeys(questions[i] for i in at))}
+        shares = []
+        for width in (1, 5):
+            a, n, _ = shingle_sets(texts, width, code=False)
+            q, m, _ = shingle_sets(list(distinct), width, code=False)
+            own, asked = np.split(a, np.cumsum(n)[:-1]), np.split(q, np.cumsum(m)[:-1])
+            shares.append([len(np.intersect1d(x, asked[distinct[questions[i]]], assume_unique=True)) / len(x) if len(x) else 0.0 for x, i in zip(own, at)])
+        for i, o in zip(at, zip(*shares)):
+            out[i] = o
     return out
 
 
 def votes(answer: str | None, overlap: tuple[float, float] | None, finish: str | None, at_limit: bool, truncated: bool) -> int:
-    """The bit pattern of the functions that vote on an answer; ``overlap`` is None where the question was not looked at."""
+    """The bit pattern of the functions that vote on an answer; ``overlap`` is None where there is no question."""
     text = answer or ""
     plain = _plain(text)
     code = is_code(text)
@@ -142,10 +150,12 @@ def states(patterns: np.ndarray) -> np.ndarray:
 class LabelModel:
     """Hidden classes and independent three-way votes, fitted to pattern counts with anchored examples."""
 
-    def __init__(self, anchors: np.ndarray, truth: np.ndarray, share: float = 0.2, smooth: float = 0.5) -> None:
-        """``anchors`` and ``truth``: votes and classes of examples; they weigh ``share`` of the answers they are fitted with."""
+    def __init__(self, anchors: np.ndarray, truth: np.ndarray, share: float = 0.2, smooth: float = 0.5, counts: np.ndarray | None = None) -> None:
+        """``anchors`` and ``truth``: votes and classes of examples, each ``counts`` times; they weigh ``share`` of the answers they
+        are fitted with, and half of ``PLANTED`` examples at least if there are so many."""
         self.anchors, self.share, self.smooth = anchors, share, smooth
-        self.labels = np.eye(len(CLASSES))[truth]
+        counts = np.ones(len(truth)) if counts is None else counts
+        self.labels, self.size = np.eye(len(CLASSES))[truth] * counts[:, None], max(1.0, counts.sum())
         self.prior = np.array([0.85, *[0.15 / len(DEFECTS)] * len(DEFECTS)])
         self._maximise(np.zeros((0, len(FUNCTIONS)), np.int8), np.zeros((0, len(CLASSES))), 1.0)
 
@@ -159,7 +169,7 @@ class LabelModel:
         return np.log(self.prior) + sum(log[:, k, :][:, votes_[:, k]].T for k in map(FUNCTIONS.index, names))
 
     def fit(self, votes_: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
-        scale = max(1.0, self.share * counts.sum() / max(1, len(self.anchors)))
+        scale = max(min(1.0, PLANTED / 2 / self.size), self.share * counts.sum() / self.size)
         for _ in range(rounds):
             joint = self.log_joint(votes_)
             p = np.exp(joint - joint.max(axis=1, keepdims=True))
@@ -205,101 +215,103 @@ _OTHER = (
 _EMPTY = ("", "  \n", "```python\n```", "# TODO", "pass", "...", "# your code here", "None")
 
 
-def planted(programs: list[tuple[str, str]], seed: int = 7) -> list[tuple[str, str, str, str, bool]]:
-    """(class, answer, question, finish reason, at limit) made of finished programs and their questions, in turn of the classes."""
-    rng = random.Random(seed)
-    out = []
-    for k, (code, question) in enumerate(programs):
-        kind = DEFECTS[k // 2 % len(DEFECTS)] if k % 2 else "fine"
-        finish, limit = rng.choice(["stop", "stop", "stop", "length"]), rng.random() < 0.05
-        text = code
-        if kind == "empty":
-            text = rng.choice(_EMPTY)
-        elif kind == "refusal":
-            r = rng.choice(_REFUSALS)
-            text = rng.choice([r, r, f"# {r}", f"raise NotImplementedError({r!r})", f"print({r!r})\npass"])
-        elif kind == "copies_prompt":
-            text = rng.choice([question, "# " + question.replace("\n", "\n# "), f'"""{question}"""\n', "Question: " + question])
-        elif kind == "other_language":
-            text = rng.choice(_OTHER)
-        elif kind == "truncated":
-            text = code.rstrip()[: rng.randrange(len(code.rstrip()) // 3, max(len(code.rstrip()) // 3 + 1, len(code.rstrip()) - 4))]
-            limit = rng.random() < 0.4
-        elif rng.random() < 0.3:
-            lines = code.split("\n")
-            faulty = rng.randrange(max(1, len(lines) // 2))
-            text = rng.choice([f"Here is a solution:\n```python\n{code}\n```\nIt takes linear time.", "\n".join(x.replace(":", "", 1) if j == faulty else x for j, x in enumerate(lines))])
-        out.append((kind, text, question, finish, limit))
-    return out
-
+_STUBS = ("def solve(*args):\n    return None", "class Solution:\n    def solve(self, *args):\n        return 0", "def solve(a):\n    print('TODO')\n\n\nsolve([])")
 
-def planted_votes(programs: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Votes and classes of the planted examples; those that turn out not to be what they were made for are left out."""
-    rows = planted(programs)
-    truncated = [is_cut_off(t, a) for _, t, _, _, a in rows]
-    overlaps = _overlaps([_plain(t) for _, t, _, _, _ in rows], [q for _, _, q, _, _ in rows]) if rows else []
-    masks, truth = [], []
-    for (kind, text, _, finish, limit), o, cut in zip(rows, overlaps, truncated):
-        if kind == "truncated" and ends_complete(text):
-            continue
-        masks.append(votes(text, None if has_program(text) and not cut else o, finish, limit, cut))
-        truth.append(CLASSES.index(kind))
-    return states(np.array(masks, np.int64)), np.array(truth, np.int64)
 
-
-def vote_patterns(answers: DataFrame, questions: DataFrame, answer_id: str, question_id: str, answer: str, question: str, finish: str, source: list[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """(answer_id, pattern) of each answer, and ``PLANTED`` finished programs with their questions.
+def planted(code: str, question: str, seed: int) -> tuple[str, bool, str, str, bool]:
+    """An example made of a finished program and its question: class, whether it is held out, answer, finish reason, at limit."""
+    rng = random.Random(seed)
+    held, kind = rng.random() < 0.5, rng.choice(DEFECTS) if rng.random() < 0.5 else "fine"
+    finish, limit = rng.choice(["stop", "stop", "stop", "length"]), rng.random() < 0.05
+    text = code
+    if kind == "empty":
+        text = rng.choice(_EMPTY)
+    elif kind == "refusal":
+        r = rng.choice(_REFUSALS)
+        text = rng.choice([r, r, f"# {r}", f"raise NotImplementedError({r!r})", f"print({r!r})\npass"])
+    elif kind == "copies_prompt":
+        commented = "# " + question.replace("\n", "\n# ")
+        text = rng.choice([question, commented, f'"""{question}"""\n', "Question: " + question, f"{commented}\n{rng.choice(_STUBS)}"])
+    elif kind == "other_language":
+        text = rng.choice(_OTHER)
+    elif kind == "truncated":
+        text = code.rstrip()[: rng.randrange(len(code.rstrip()) // 3, max(len(code.rstrip()) // 3 + 1, len(code.rstrip()) - 4))]
+        limit = rng.random() < 0.4
+    elif rng.random() < 0.3:
+        lines = code.split("\n")
+        faulty = rng.randrange(max(1, len(lines) // 2))
+        text = rng.choice([f"Here is a solution:\n```python\n{code}\n```\nIt takes linear time.", "\n".join(x.replace(":", "", 1) if j == faulty else x for j, x in enumerate(lines)), "# " + question.replace("\n", "\n# ") + "\n" + code])
+    return kind, held, text, finish, limit
+
+
+class Examples(Sequence):
+    """Planted examples (class, held out, pattern), held as counts of equal ones: at most 2 ** len(SIGNALS) a class and half."""
+
+    def __init__(self, rows: list[tuple[int, bool, int, int]]) -> None:
+        self.rows = sorted(rows)
+        self.ends = np.cumsum([0, *(r[3] for r in self.rows)])
+
+    def __len__(self) -> int:
+        return int(self.ends[-1])
+
+    def __getitem__(self, k: int) -> tuple[int, bool, int]:
+        return self.rows[int(np.searchsorted(self.ends, range(len(self))[k], "right")) - 1][:3]
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Sequence) and len(self) == len(other) and all(x == y for x, y in zip(self, other))
+
+
+def vote_patterns(answers: DataFrame, questions: DataFrame, answer_id: str, question_id: str, answer: str, question: str, finish: str, source: list[str]) -> tuple[DataFrame, Examples]:
+    """(answer_id, pattern) of each answer, and planted examples made of all finished programs that have a question.
 
     ``questions`` has one row for each ``question_id``. Null answers vote as empty ones; answers without a question keep
     all other votes; repeated rows vote each.
     """
-    cut = cut_off(answers, source, answer, [answer_id, question_id, answer, finish])
-    finished = F.coalesce(F.col(answer).rlike(r"(?m)^\s*(def|class|from|import|async|@)\s?\w") & F.col(answer).rlike(r"(?m)^\s+(return\b\s*\S|print\b\s*\S|yield\b)") & ~F.col("truncated"), F.lit(False))
-    cut = materialize(cut.withColumn("__finished", finished))
+    cut = materialize(cut_off(answers, source, answer, [answer_id, question_id, answer, finish]))
     asked = questions.select(F.col(question_id), F.col(question).alias("__question"))
-    columns = [answer_id, question_id, answer, finish, "at_limit", "truncated"]
-    with_question = salted_join(cut.where(~F.col("__finished")).select(columns), asked, question_id, "left").select(*columns, "__question")
-    rows = with_question.unionByName(cut.where("__finished").select(*columns, F.lit(None).cast("string").alias("__question")))
+    columns = [answer, "__question", finish, "at_limit", "truncated", "__seed"]
+    rows = salted_join(cut, asked, question_id, "left").withColumn("__seed", F.xxhash64(answer_id, answer, question_id)).select(answer_id, *columns)
 
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                text, asked_ = part.column(answer).to_pylist(), part.column("__question").to_pylist()
-                need = [i for i, q in enumerate(asked_) if q]
-                overlap: list = [None] * len(text)
-                if need:
-                    for i, o in zip(need, _overlaps([_plain(text[i] or "") for i in need], [asked_[i] for i in need])):
-                        overlap[i] = o
-                found = [votes(t, o, f, a, c) for t, o, f, a, c in zip(text, overlap, part.column(finish).to_pylist(), part.column("at_limit").to_pylist(), part.column("truncated").to_pylist())]
-                yield pa.RecordBatch.from_pydict({answer_id: part.column(answer_id), "pattern": pa.array(found, pa.int64())})
-
-    patterns = materialize(rows.mapInArrow(run, rows.select(answer_id).schema.add("pattern", "long")))
-    sample = cut.where("__finished and not at_limit").select(answer, question_id).orderBy(F.xxhash64(answer), answer, question_id).limit(PLANTED)
-    programs = sample.join(asked.where(F.length("__question") > 0), question_id).orderBy(F.xxhash64(answer), answer, question_id).select(answer, "__question").collect()
-    return patterns, [(r[0], r[1]) for r in programs if ends_complete(r[0])]
-
-
-def fitted(patterns: DataFrame, programs: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
+                text, asked_, finish_, limit, truncated, seed = (part.column(c).to_pylist() for c in columns)
+                made = {i: planted(text[i], q, seed[i]) for i, q in enumerate(asked_) if q and text[i] and not limit[i] and not truncated[i] and has_program(text[i]) and ends_complete(text[i])}
+                made = {i: x for i, x in made.items() if x[0] != "truncated" or not ends_complete(x[2])}  # else it isn't what it was made for
+                overlap = _overlaps([*text, *(x[2] for x in made.values())], [*asked_, *(asked_[i] for i in made)])
+                found = [votes(*x) for x in zip(text, overlap, finish_, limit, truncated)]
+                kind, held, example = [None] * len(text), [None] * len(text), [None] * len(text)
+                for (i, (c, h, t, f, a)), o in zip(made.items(), overlap[len(text) :]):
+                    kind[i], held[i], example[i] = CLASSES.index(c), h, votes(t, o, f, a, is_cut_off(t, a))
+                yield pa.RecordBatch.from_pydict({answer_id: part.column(answer_id), "pattern": pa.array(found, pa.int64()), "kind": pa.array(kind, pa.int32()), "held": pa.array(held, pa.bool_()), "example": pa.array(example, pa.int64())})
+
+    schema = rows.select(answer_id).schema.add("pattern", "long").add("kind", "integer").add("held", "boolean").add("example", "long")
+    voted = materialize(rows.mapInArrow(run, schema))
+    examples = voted.where("example is not null").groupBy("kind", "held", "example").agg(F.count("*").alias("n")).collect()  # at most 2 ** len(SIGNALS) a class and half
+    return voted.select(answer_id, "pattern"), Examples([tuple(r) for r in examples])
+
+
+def fitted(patterns: DataFrame, examples: Examples) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
     """Patterns, posteriors (patterns x defects), log joint of the classes, and the cut-off of each defect."""
     rows = patterns.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # at most 2 ** len(SIGNALS) rows
     values = np.array([r["pattern"] for r in rows], np.int64)
-    examples, truth = planted_votes(programs)
-    held = np.arange(len(truth)) // 2 % 2 == 1
-    model = LabelModel(examples[~held], truth[~held]).fit(states(values), np.array([r["n"] for r in rows], float))
-    weight = model.prior[truth[held]] / np.maximum(np.bincount(truth[held], minlength=len(CLASSES))[truth[held]], 1)
-    p = model.posteriors(examples[held])
+    truth, held, made, n = np.array(examples.rows, np.int64).reshape(-1, 4).T
+    held, made = held == 1, states(made)
+    model = LabelModel(made[~held], truth[~held], counts=n[~held]).fit(states(values), np.array([r["n"] for r in rows], float))
+    weight = model.prior[truth[held]] * n[held] / np.maximum(np.bincount(truth[held], n[held], len(CLASSES))[truth[held]], 1)
+    p = model.posteriors(made[held])
     cutoffs = {d: validated_cutoff(p[:, k], truth[held] == k + 1, weight) for k, d in enumerate(DEFECTS)} if held.any() else dict.fromkeys(DEFECTS, 0.5)
     return values, model.posteriors(states(values)), model.log_joint(states(values)), cutoffs
 
 
-def defect_labels(patterns: DataFrame, programs: list[tuple[str, str]], answer_id: str) -> DataFrame:
+def defect_labels(patterns: DataFrame, examples: Examples, answer_id: str) -> DataFrame:
     """answer_id, labels (array of defects above their cut-offs), defect (the likeliest of them), posterior.
 
     Only defective answers. An empty table gives an empty result; without a finished program among the answers there are no
     planted examples, and the votes decide under the priors alone.
     """
-    values, posterior, joint, cutoffs = fitted(patterns, programs)
+    values, posterior, joint, cutoffs = fitted(patterns, examples)
     limits = np.array([cutoffs[d] for d in DEFECTS])
     table_rows = []
     for v, p, j in zip(values.tolist(), posterior, joint):

@@ -175,6 +175,19 @@ def test_answers_with_two_defects_keep_both_labels(spark):
     assert set(got[1].labels) == {"truncated", "other_language"} and all(got[600 + k].labels == ["other_language"] for k in range(20)) and not any(100 + k in got for k in range(300))
 
 
+def test_finished_programs_are_compared_with_their_questions_and_all_planted(spark):
+    quoted = "# " + QUESTION.replace("\n", "\n# ") + "\n"
+    answers = [(1, quoted + "def f(n):\n    return None"), (2, quoted + DONE), (3, DONE)]
+    filler = [(100 + k, DONE.replace("total", f"t{k}")) for k in range(1300)]
+    df = spark.createDataFrame([(i, "q1", a, "stop", "m") for i, a in answers + filler], "generation_id long, problem_id string, a string, f string, model string")
+    questions = spark.createDataFrame([("q1", QUESTION)], "problem_id string, prompt string")
+    patterns, examples = pairs.vote_patterns(df, questions, "generation_id", "problem_id", "a", "prompt", "f", ["model"])
+    seen = {r.generation_id: r.pattern for r in patterns.collect()}
+    assert seen[1] & pairs.BIT["finished_program", 2] and seen[1] & pairs.BIT["words_of_question", 1] and seen[3] & pairs.BIT["words_of_question", 2]
+    assert {r.generation_id: r.defect for r in pairs.defect_labels(patterns, examples, "generation_id").collect()} == {1: "copies_prompt"}
+    assert 1200 < len(examples) <= 1303
+
+
 def test_label_model_recovers_hidden_classes():
     rng = np.random.default_rng(1)
 
